@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, packing, sharding, tiff, token_counts, url_filter
+from . import mixing, packing, sharding, simhash, tiff, token_counts, url_filter
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op3_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op7_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_packing": op2_packing,
     "op3_token_counts": op3_token_counts,
+    "op7_simhash": op7_simhash,
     "op8_mixing": op8_mixing,
     "op9_tiff": op9_tiff,
     "op10_sharding": op10_sharding,
