@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, packing, sharding, simhash, tiff, token_counts, url_filter
+from . import chunking, mixing, packing, sharding, simhash, tiff, token_counts, url_filter
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op3_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op6_chunk_fingerprints(spark, sf_dir):
+    return chunking.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_packing": op2_packing,
     "op3_token_counts": op3_token_counts,
+    "op6_chunk_fingerprints": op6_chunk_fingerprints,
     "op7_simhash": op7_simhash,
     "op8_mixing": op8_mixing,
     "op9_tiff": op9_tiff,
