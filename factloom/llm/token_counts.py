@@ -15,6 +15,7 @@ own; repeated rows are counted each; an empty table gives no rows; other columns
 from __future__ import annotations
 
 import json
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -107,13 +108,19 @@ def greedy(pieces: set, word) -> int:
     return n
 
 
+@lru_cache(maxsize=2)
+def word_counts(tokenizer_path: str) -> Memo:
+    """word -> its number of pieces, remembered in each Python worker."""
+    count = Automaton(vocabulary(tokenizer_path)).count
+    return Memo(lambda word: count((*word, END)), 350_000)
+
+
 def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_tokens) of each document. The automaton is built once in each Python worker."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        count = Automaton(vocabulary(tokenizer_path)).count
-        memo = Memo(lambda word: count((*word, END)))
+        memo = word_counts(tokenizer_path)
         for batch in batches:
             words, tokens = [], []
             for text in batch.column(1):
