@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chunking, mixing, packing, sharding, simhash, tiff, token_counts, url_filter
+from . import chunking, mixing, packing, sharding, simhash, substrings, tiff, token_counts, url_filter
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op3_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op5_substring_dedup(spark, sf_dir):
+    return substrings.digests(substrings.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op6_chunk_fingerprints(spark, sf_dir):
     return chunking.compare_with_next(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_packing": op2_packing,
     "op3_token_counts": op3_token_counts,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_chunk_fingerprints": op6_chunk_fingerprints,
     "op7_simhash": op7_simhash,
     "op8_mixing": op8_mixing,
