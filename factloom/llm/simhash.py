@@ -77,7 +77,7 @@ def node_pairs(fps: DataFrame, budget: int, capacity: int, step: int) -> list[tu
     spark = fps.sparkSession
     done, depth = [], 0
     size = fps.count()
-    open_ = spark.createDataFrame([(0, 0, 0, size, size)] if size else [], "a long, b long, differing int, n_a long, n_b long")
+    open_ = written(spark.createDataFrame([(0, 0, 0, size, size)] if size else [], "a long, b long, differing int, n_a long, n_b long"))
     while True:
         fits = (F.col("n_a") + F.col("n_b") <= 2 * capacity) if depth < 64 else F.lit(True)
         done.append((depth, open_.where(fits).select("a", "b", "differing")))
@@ -99,7 +99,7 @@ def node_pairs(fps: DataFrame, budget: int, capacity: int, step: int) -> list[tu
         depth += wider
 
 
-def traverse(left: np.ndarray, right: np.ndarray | None, depth: int, differing: int, budget: int, most: int = 1 << 19):
+def traverse(left: np.ndarray, right: np.ndarray | None, depth: int, differing: int, budget: int, most: int = 1 << 15):
     """Links (positions in left, in right) between two sorted arrays of fingerprints below nodes `depth` bits deep, in blocks.
 
     A frontier of node pairs goes down bit by bit; a node is a range of its sorted array. Frontiers of over `most` pairs are cut in two, so memory is bounded.

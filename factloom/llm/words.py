@@ -47,7 +47,7 @@ class Words:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
 
-def groups(texts: list[bytes | None], most: int = 4 << 20):
+def groups(texts: list[bytes | None], most: int = 1 << 20):
     """Ranges of texts of up to `most` bytes in all, more only for a single longer text."""
     a, held = 0, 0
     for b, t in enumerate(texts):
