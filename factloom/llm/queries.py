@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chunking, mixing, packing, sharding, simhash, substrings, tiff, token_counts, url_filter
+from . import chunking, mixing, packing, sharding, simhash, substrings, tiff, token_counts, toxicity, url_filter
 from .common import table
 
 
@@ -26,6 +26,12 @@ def op3_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op4_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = (toxicity.fold_of(F.col("doc_id")) == 0).alias("held_out")
+    return toxicity.score(docs, table(spark, sf_dir, "labels")).select("doc_id", held_out, "score", "predicted", F.to_json("evidence").alias("evidence"))
+
+
 def op5_substring_dedup(spark, sf_dir):
     return substrings.digests(substrings.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -55,6 +61,7 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_packing": op2_packing,
     "op3_token_counts": op3_token_counts,
+    "op4_toxicity": op4_toxicity,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_chunk_fingerprints": op6_chunk_fingerprints,
     "op7_simhash": op7_simhash,
