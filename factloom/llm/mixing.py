@@ -96,9 +96,17 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: float = 3, block: int = 64, buck
     taken is the number of words that the mix takes from the document, repeats counted; it lies within
     `most` times its size. A source's taken words are its target, rounded down.
     """
-    rows = written(
-        docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), F.xxhash64(F.col("doc_id"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")), F.lit(seed)).alias("h"))
-    ).withColumn("bucket", F.pmod(F.shiftrightunsigned("h", 32), F.lit(buckets)).cast("int"))
+    return placed_rows(docs, weights, most, block, buckets, seed).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def row_hashes(seed: int) -> tuple[Column, Column]:
+    """Two hashes that tell the rows apart; the first gives their order in the streams."""
+    return F.xxhash64(F.col("doc_id"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")), F.lit(seed)).alias("h"), F.xxhash64(F.col("text"), F.lit(seed), F.col("doc_id")).alias("h2")
+
+
+def placed_rows(docs: DataFrame, weights, most: float, block: int, buckets: int, seed: int) -> DataFrame:
+    """What mix returns, with the rows' hashes."""
+    rows = written(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), *row_hashes(seed))).withColumn("bucket", F.pmod(F.shiftrightunsigned("h", 32), F.lit(buckets)).cast("int"))
     totals = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     sources = totals.groupBy("source").agg(F.sum("bucket_size").alias("source_size"))
     plan = written(
@@ -111,12 +119,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: float = 3, block: int = 64, buck
     starts = totals.select("source", "bucket", F.coalesce(F.sum("bucket_size").over(sums), F.lit(0)).alias("from"))
     facts = plan.select("source", "source_no", "source_size", "target", "words")
     starts = starts.join(facts, starts.source.eqNullSafe(facts.source)).drop(facts.source)
-    within = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size")
+    within = Window.partitionBy("source", "bucket").orderBy("h", "h2", "doc_id", "size")
     placed = rows.withColumn("row", F.row_number().over(within)).withColumn(
         "ahead", F.coalesce(F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     )
     placed = placed.join(starts, placed.source.eqNullSafe(starts.source) & (placed.bucket == starts.bucket)).select(
-        "doc_id", "size", "source_no", placed.bucket, "row", (F.col("from") + F.col("ahead")).alias("start"), "source_size", "target", "words"
+        "doc_id", "h", "h2", "size", "source_no", placed.bucket, "row", (F.col("from") + F.col("ahead")).alias("start"), "source_size", "target", "words"
     )
     # The document's stretches of the repeated stream, up to the target, and the blocks that each touches.
     rounds = F.when((F.col("size") > 0) & (F.col("words") > F.col("start")), F.floor((F.col("words") - 1 - F.col("start")) / F.col("source_size")).cast("int")).otherwise(F.lit(-1))
@@ -134,5 +142,25 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: float = 3, block: int = 64, buck
     slots = schedule(plan.select("source_no", "blocks"), block)
     taken = stretch.join(slots, ["source_no", "rank"]).groupBy("source_no", "bucket", "row").agg(F.sum("words_here").alias("taken"))
     return placed.join(taken, ["source_no", "bucket", "row"], "left").select(
-        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
+        "doc_id", "h", "h2", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
+    )
+
+
+def mixed(docs: DataFrame, weights=WEIGHTS, most: float = 3, block: int = 64, buckets: int = 256, seed: int = 7) -> DataFrame:
+    """The mix itself: docs' rows (doc_id, text, source and others), each as often as the mix takes it whole, and the last of a source cut to the words taken, joined by one space.
+
+    n_chars, where docs has it, follows the text.
+    """
+    taken = placed_rows(docs, weights, most, block, buckets, seed).where("taken > 0")
+    each = taken.groupBy("h", "h2").agg(
+        F.sum(F.floor(F.col("taken") / F.col("size"))).cast("int").alias("whole"), F.collect_list(F.when(F.col("taken") % F.col("size") > 0, (F.col("taken") % F.col("size")).cast("int"))).alias("parts")
     )
+    h, h2 = row_hashes(seed)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text", h, h2)
+    # Rows equal in all their hashes are one text: their copies are counted together and made from the first.
+    once = rows.join(each, ["h", "h2"]).withColumn("n", F.row_number().over(Window.partitionBy("h", "h2").orderBy(F.lit(0)))).where("n = 1")
+    copies = F.concat(F.when(F.col("whole") > 0, F.array_repeat(F.lit(0), F.col("whole"))).otherwise(F.array().cast("array<int>")), F.col("parts"))
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("cut")), " ")
+    out = once.withColumn("cut", F.explode(copies)).withColumn("text", F.when(F.col("cut") > 0, cut).otherwise(F.col("text")))
+    own = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return out.select(*[own.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

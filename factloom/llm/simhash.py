@@ -19,7 +19,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -234,3 +234,24 @@ def near_duplicates(docs: DataFrame, budget: int = 2, shingle: int = 3, seed: in
     found = written(fingerprints(docs, shingle, seed))
     of = classes(found, budget, **how)
     return found.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def deduplicate(docs: DataFrame, budget: int = 2, shingle: int = 3, seed: int = 42, **how) -> DataFrame:
+    """The rows of docs that stay: of each component the one of smallest doc_id (null last; then by its text's hash), once."""
+    digest = F.xxhash64("text").alias("digest")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(2).cast(pa.binary()).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(simhashes(texts, shingle, seed).view(np.int64))], names=["doc_id", "digest", "fp"])
+
+    found = written(docs.select("doc_id", digest, "text").mapInArrow(run, f"doc_id {kind}, digest long, fp long"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("first")
+    own = written(found.groupBy("fp").agg(first))
+    root = components(links(own.select("fp"), budget, **how))
+    stays = own.join(root, own.fp == root.node, "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    keys = stays.select(F.coalesce("first.doc_id", F.lit(0)).alias("_id"), F.col("first.doc_id").isNull().alias("_null"), F.col("first.digest").alias("_digest"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_null"), F.xxhash64("text").alias("_digest"))
+    once = rows.join(keys, ["_id", "_null", "_digest"], "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_null", "_digest").orderBy(F.lit(0)))).where("_n = 1")
+    return once.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -246,24 +246,30 @@ def subtree_repeats(found: DataFrame, window: int, most: int = 24 << 20) -> Data
     return found.mapInArrow(run, f"ord long, digest long, starts array<int>")
 
 
+def salted_join(rows: DataFrame, one: DataFrame, key: str, salts: int = 16) -> DataFrame:
+    """rows joined with `one`, which has a row for each key at most: each key's rows are dealt to `salts` tasks, by their own values, and its row of `one` to each of them."""
+    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).alias("salt")
+    return rows.select("*", salt).join(one.select("*", F.explode(F.array(*[F.lit(k).cast("long") for k in range(salts)])).alias("salt")), [key, "salt"]).drop("salt")
+
+
 def repeated_windows(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, crowd: int = CROWD) -> DataFrame:
     """(ord, digest, starts): for each document that has any, the words at which its repeated windows start."""
     prefix = min(prefix, window)
     rows = keyed(docs)
     every = written(prefixes(rows, window, prefix))
     shared = every.groupBy("key").agg(F.min("ord").alias("least"), F.max("ord").alias("most"), F.count("*").alias("n")).where("least < most").select("key", (F.col("n") > crowd).alias("crowded"))
-    wanted = every.join(shared, "key").groupBy("ord", "digest").agg(F.collect_set(F.struct("key", "crowded")).alias("keys"))
+    wanted = salted_join(every, shared, "key").groupBy("ord", "digest").agg(F.collect_set(F.struct("key", "crowded")).alias("keys"))
     found = written(suffixes(rows.join(wanted, ["ord", "digest"]).select("ord", "digest", "text", "keys"), window, prefix))
     trees = subtree_repeats(found.where("words is not null").repartition("key").sortWithinPartitions("key"), window)
     # Crowded prefixes: the prefix grown to the whole window, so a node is its equal windows, and their least id is a partial aggregate.
     windows = found.where("words is null").select("key", "ord", "digest", "anchor")
     least = windows.groupBy("key").agg(F.min("ord").alias("least"), F.max("ord").alias("most")).where("least < most").select("key", "least")
-    single = windows.join(least, "key").where("ord > least").groupBy("ord", "digest").agg(F.collect_list("anchor").alias("starts"))
+    single = salted_join(windows, least, "key").where("ord > least").groupBy("ord", "digest").agg(F.collect_list("anchor").alias("starts"))
     return trees.unionByName(single).groupBy("ord", "digest").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, crowd: int = CROWD) -> DataFrame:
-    """docs with text reduced to the kept words, joined by one space, and n_words and n_removed."""
+def dedup(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, crowd: int = CROWD, layout: bool = False) -> DataFrame:
+    """docs with text reduced to the kept words, joined by one space, and n_words and n_removed. layout: a text that keeps all its words stays as it is."""
     found = repeated_windows(docs.select("doc_id", "text"), window, prefix, crowd)
     rows = docs.drop("n_words", "n_removed")
     others = [c for c in rows.columns if c != "text"]
@@ -288,7 +294,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, crowd: in
                     left = [w for w, k in zip(words, keep, strict=True) if k]
                 else:
                     left = words
-                kept.append(b" ".join(left))
+                kept.append(text if layout and not gone else b" ".join(left))
                 counts.append(len(words))
                 removed.append(gone)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], names=["row", "text", "n_words", "n_removed"])
