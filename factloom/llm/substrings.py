@@ -8,8 +8,9 @@ least hash among the window's starts of `prefix` words. Equal windows have equal
 and neighbouring windows mostly share an anchor, so a group's suffix comes with the few words around it instead of with a copy for each window.
 
 Partition: suffixes are grouped by their first `prefix` words. A prefix that only one document has starts no repeat and goes no
-further. A prefix of up to `crowd` suffixes is one subtree. A more common one is split by longer prefixes, up to
-the whole window, where equal windows are counted with partial sums, so a passage of any frequency never fills one task.
+further. A prefix of up to `crowd` documents is one subtree; a more common one is dealt, by document, to as many subtrees as keep to that.
+What is first in its own subtree, and only that, is then grouped by a longer prefix, the whole window, and compared by
+partial sums. So no task holds all the suffixes of a common passage, and a passage gives few rows a subtree, however often it occurs.
 
 Subtrees: a task sorts its groups' suffixes and takes the common lengths of neighbours, which give the nodes of the subtree
 at any depth, and likewise of the words before the anchors, read backwards. A window that starts j words before its anchor is
@@ -102,75 +103,62 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def prefixes(rows: DataFrame, window: int, prefix: int) -> DataFrame:
-    """(key, ord, digest): the prefix of each suffix that is kept."""
+    """(key, ord, digest): the prefix of each suffix that is kept, once a document."""
 
     def run(batches):
         for batch in batches:
             texts = batch.column(2).cast(pa.binary()).to_pylist()
             for a, b in groups(texts):
                 found = Segments(texts[a:b], window, prefix)
-                take = pa.array(found.text + a)
-                yield pa.RecordBatch.from_arrays([pa.array(found.key.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take)], names=["key", "ord", "digest"])
+                order = np.lexsort((found.key, found.text))
+                key, text = found.key[order], found.text[order]
+                new = np.ones(len(key), bool)
+                new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
+                take = pa.array(text[new] + a)
+                yield pa.RecordBatch.from_arrays([pa.array(key[new].view(np.int64)), batch.column(0).take(take), batch.column(1).take(take)], names=["key", "ord", "digest"])
 
     return rows.mapInArrow(run, "key long, ord long, digest long")
 
 
-SUFFIX = "key long, ord long, digest long, anchor int, first int, last int, words binary"
+SUFFIX = "key long, tree int, shared boolean, ord long, digest long, anchors array<int>, first int, last int, words binary"
+SUFFIX_NAMES = [x.split()[0] for x in SUFFIX.split(", ")]
+SUFFIX_TYPES = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.binary()]
 
 
 def suffixes(rows: DataFrame, window: int, prefix: int) -> DataFrame:
-    """rows: ord, digest, text, keys: array<struct<key, crowded>> -> the suffixes at those prefixes.
+    """rows: ord, digest, text, keys: array<struct<key, trees>> -> the suffixes at those prefixes.
 
-    Of a prefix that is not crowded: the anchor (word number), how far before it its first and last window start, and the
-    words' hashes from the last of these to the end of the first. Of a crowded one, each window as a row of its own: key is its hash, words is null.
+    tree: which of the prefix's trees the document is dealt to (shared: there are several); anchors: the words where the suffix stands, more than
+    one if the document repeats it with all the words around it; first, last: how far before an anchor the nearest and farthest window start;
+    words: the hashes from the farthest window's start to the nearest one's end.
     """
-    names = [x.split()[0] for x in SUFFIX.split(", ")]
 
     def run(batches):
         for batch in batches:
-            texts, wanted = batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3)
+            ids, digests_, texts, wanted = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3)
             for a, b in groups(texts):
                 found = Segments(texts[a:b], window, prefix)
-                if not len(found.key):
-                    continue
-                # Which of the segments have a wanted prefix: compared within their text.
-                own, base = [], found.words.first
-                crowded = np.zeros(len(found.key), bool)
                 at = np.searchsorted(found.text, np.arange(b - a + 1))
+                out = []
                 for t in range(a, b):
-                    s = slice(at[t - a], at[t - a + 1])
-                    if s.start == s.stop:
+                    low, high = int(at[t - a]), int(at[t - a + 1])
+                    if low == high:
                         continue
                     flat = wanted[t].values
-                    keys, many = flat.field(0).to_numpy(zero_copy_only=False).view(np.uint64), flat.field(1).to_numpy(zero_copy_only=False)
+                    keys, trees = flat.field(0).to_numpy(zero_copy_only=False).view(np.uint64), flat.field(1).to_numpy(zero_copy_only=False)
                     order = np.argsort(keys)
-                    keys = keys[order]
-                    k = np.minimum(np.searchsorted(keys, found.key[s]), len(keys) - 1)
-                    hit = np.flatnonzero(keys[k] == found.key[s])
-                    own.append(hit + s.start)
-                    crowded[hit + s.start] = many[order][k[hit]]
-                own = np.concatenate(own) if own else np.empty(0, np.int64)
-                few, many = own[~crowded[own]], own[crowded[own]]
-                if len(few):
-                    take = pa.array(found.text[few] + a)
-                    first, last = found.anchor[few] - found.high[few], found.anchor[few] - found.low[few]
-                    ends = found.high[few] + window
-                    words = [found.hashes[x:y].tobytes() for x, y in zip(found.low[few].tolist(), ends.tolist(), strict=True)]
-                    word = found.anchor[few] - base[found.text[few]]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(found.key[few].view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array(word.astype(np.int32)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(words, pa.binary())],
-                        names=names,
-                    )
-                if len(many):
-                    n = found.high[many] - found.low[many] + 1
-                    start = np.repeat(found.low[many] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                    text = np.repeat(found.text[many], n)
-                    whole = rolled(found.hashes, window)[start]
-                    take, zero = pa.array(text + a), pa.array(np.zeros(len(start), np.int32))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(whole.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array((start - base[text]).astype(np.int32)), zero, zero, pa.nulls(len(start), pa.binary())],
-                        names=names,
-                    )
+                    keys, trees = keys[order], trees[order]
+                    k = np.minimum(np.searchsorted(keys, found.key[low:high]), len(keys) - 1)
+                    hit = np.flatnonzero(keys[k] == found.key[low:high])
+                    base = int(found.words.first[t - a])
+                    mine: dict[tuple, list[int]] = {}
+                    for i, n in zip((hit + low).tolist(), trees[k[hit]].tolist(), strict=True):
+                        p, q, anchor = int(found.low[i]), int(found.high[i]), int(found.anchor[i])
+                        mine.setdefault((int(found.key[i].view(np.int64)), n, anchor - q, anchor - p, found.hashes[p : q + window].tobytes()), []).append(anchor - base)
+                    place = (ids[t] * 0x9E3779B97F4A7C15 ^ digests_[t]) >> 7 & 0x7FFFFFFF
+                    out += [(key, place % n, n > 1, ids[t], digests_[t], anchors, first, last, words) for (key, n, first, last, words), anchors in mine.items()]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(zip(*out, strict=True), SUFFIX_TYPES, strict=True)], names=SUFFIX_NAMES)
 
     return rows.mapInArrow(run, SUFFIX)
 
@@ -219,31 +207,46 @@ def repeats(key, ord_, first, last, words: list[bytes], window: int) -> list[int
     return masks.tolist()
 
 
-def subtree_repeats(found: DataFrame, window: int, most: int = 24 << 20) -> DataFrame:
-    """found: SUFFIX with words -> (ord, digest, anchor, mask) where something is repeated. Whole groups of a prefix, up to `most` bytes of words at a time."""
-    def run(batches):
-        held, size = [], 0
+REPEATS = "ord long, digest long, starts array<int>, keys array<long>, anchors array<int>, offsets array<int>"
 
-        def close(rows):
-            key, ord_, digest, anchor, first, last, words = (list(x) for x in zip(*rows, strict=True))
-            masks = repeats(np.array(key, np.int64).view(np.uint64), np.array(ord_, np.int64), np.array(first), np.array(last), words, window)
-            kept = [i for i, m in enumerate(masks) if m]
-            starts = [[anchor[i] - j for j in range(first[i], last[i] + 1) if masks[i] >> j & 1] for i in kept]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([ord_[i] for i in kept], pa.int64()), pa.array([digest[i] for i in kept], pa.int64()), pa.array(starts, pa.list_(pa.int32()))], names=["ord", "digest", "starts"]
-            )
 
+def subtree_repeats(found: DataFrame, window: int, most: int = 16 << 20) -> DataFrame:
+    """SUFFIX rows, sorted by (key, tree) -> REPEATS: `starts` of the windows that are repeated within their tree; and, from prefixes with several trees,
+    the windows that are first in theirs: the hash of each, how far before the anchors it starts, and the anchors. Whole trees at a time, up to `most` bytes of words together.
+    """
+
+    def close(rows):
+        key, tree, shared, ord_, digest, anchors, first, last, words = (list(x) for x in zip(*rows, strict=True))
+        node = np.cumsum([0, *((a, b) != (c, d) for a, b, c, d in zip(key[1:], tree[1:], key, tree, strict=False))])
+        masks = repeats(node.astype(np.uint64), np.array(ord_, np.int64), np.array(first), np.array(last), words, window)
+        out = []
+        for i, m in enumerate(masks):
+            js = range(first[i], last[i] + 1)
+            starts = [a - j for j in js if m >> j & 1 for a in anchors[i]]
+            keys, offsets = [], []
+            if shared[i]:
+                whole = rolled(np.frombuffer(words[i], np.uint64), window).view(np.int64).tolist()
+                offsets = [j for j in js if not m >> j & 1]
+                keys = [whole[last[i] - j] for j in offsets]
+            if starts or keys:
+                out.append((ord_[i], digest[i], starts, keys, anchors[i] if keys else [], offsets))
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+        names = [x.split()[0] for x in REPEATS.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(list(zip(*out, strict=True)) or [[]] * len(kinds), kinds, strict=True)], names=names)
+
+    def run(batches):
+        held, size = [], 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size > most and row[0] != held[-1][0]:
+                if size > most and row[:2] != held[-1][:2]:
                     yield close(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[6])
+                size += len(row[8])
         if held:
             yield close(held)
 
-    return found.mapInArrow(run, f"ord long, digest long, starts array<int>")
+    return found.mapInArrow(run, REPEATS)
 
 
 def salted_join(rows: DataFrame, one: DataFrame, key: str, salts: int = 16) -> DataFrame:
@@ -257,15 +260,17 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX
     prefix = min(prefix, window)
     rows = keyed(docs)
     every = written(prefixes(rows, window, prefix))
-    shared = every.groupBy("key").agg(F.min("ord").alias("least"), F.max("ord").alias("most"), F.count("*").alias("n")).where("least < most").select("key", (F.col("n") > crowd).alias("crowded"))
-    wanted = salted_join(every, shared, "key").groupBy("ord", "digest").agg(F.collect_set(F.struct("key", "crowded")).alias("keys"))
-    found = written(suffixes(rows.join(wanted, ["ord", "digest"]).select("ord", "digest", "text", "keys"), window, prefix))
-    trees = subtree_repeats(found.where("words is not null").repartition("key").sortWithinPartitions("key"), window)
-    # Crowded prefixes: the prefix grown to the whole window, so a node is its equal windows, and their least id is a partial aggregate.
-    windows = found.where("words is null").select("key", "ord", "digest", "anchor")
+    trees = F.ceil(F.count("*") / F.lit(float(crowd))).cast("int").alias("trees")
+    shared = every.groupBy("key").agg(F.min("ord").alias("least"), F.max("ord").alias("most"), trees).where("least < most").select("key", "trees")
+    wanted = salted_join(every, shared, "key").groupBy("ord", "digest").agg(F.collect_set(F.struct("key", "trees")).alias("keys"))
+    found = suffixes(rows.join(wanted, ["ord", "digest"]).select("ord", "digest", "text", "keys"), window, prefix)
+    inside = written(subtree_repeats(found.repartition("key", "tree").sortWithinPartitions("key", "tree"), window))
+    # The prefix grown to the whole window: of each, the first of each tree.
+    windows = inside.select("ord", "digest", "anchors", F.explode(F.arrays_zip("keys", "offsets")).alias("w")).select("ord", "digest", "anchors", F.col("w.keys").alias("key"), F.col("w.offsets").alias("offset"))
     least = windows.groupBy("key").agg(F.min("ord").alias("least"), F.max("ord").alias("most")).where("least < most").select("key", "least")
-    single = salted_join(windows, least, "key").where("ord > least").groupBy("ord", "digest").agg(F.collect_list("anchor").alias("starts"))
-    return trees.unionByName(single).groupBy("ord", "digest").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    across = salted_join(windows, least, "key").where("ord > least").select("ord", "digest", F.transform("anchors", lambda a: a - F.col("offset")).alias("starts"))
+    both = inside.where(F.size("starts") > 0).select("ord", "digest", "starts").unionByName(across)
+    return both.groupBy("ord", "digest").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, crowd: int = CROWD, layout: bool = False) -> DataFrame:
