@@ -59,15 +59,8 @@ def indirect_search(spark, d):
 
 
 def word_match_facts(spark, d):
-    """Facts that share a word key with each user question: counts for each question. Words are joined by key, both sides reduced before."""
-    from ..functions import text as tx
-
-    key = lambda words: F.explode(F.array_distinct(F.transform(F.filter(words, lambda w: F.length(w) > 2), tx.index_token)))
-    values = views.facts(spark, d).groupBy("material", "process", "property").agg(F.count("*").alias("n"))
-    of_value = values.select("material", "process", "property", "n", key(tx.tokens(F.concat_ws(" ", "material", "process", "property"))).alias("key"))
-    of_question = views.questions(spark, d).select("conv_id", "turn", key(tx.tokens(F.col("question"))).alias("key"))
-    pairs = of_question.join(of_value, "key").select("conv_id", "turn", "material", "process", "property", "n").distinct()
-    return pairs.groupBy("conv_id", "turn").agg(F.sum("n").alias("facts"))
+    """The 30 most confident facts that share a word key with a question."""
+    return op.word_matches(views.facts(spark, d), ["promotional", "antiques", "mint"]).select("id", "material", "process", "confidence")
 
 
 def mark_conflicts(spark, d):
@@ -96,8 +89,6 @@ QUERIES = {
     )
 }
 
-_KEYS = "list_distinct(list_transform(list_filter(regexp_extract_all(replace(lower({0}), 'ё', 'е'), '[a-zа-я0-9]+'), lambda w: length(w) > 2), lambda w: case when length(w) <= 4 then w else substr(w, 1, 5) end))"
-
 ORACLE_SQL = {
     "visible_facts": f"with {views.SQL} select id, document_id, material, confidence from facts_v where document_id not in (select document_id from docs_v where hidden)",
     "facts_filtered_ranked": f"""with {views.SQL} select f.id, f.document_id, f.material, f.property,
@@ -118,12 +109,10 @@ ORACLE_SQL = {
         union all select 'Нет данных, напрямую подтверждающих целевой показатель «выход по току».' from c where n > 0""",
     "indirect_search": f"""with {views.SQL} select term, count(*) as facts from facts_v, (values ('PROMO'), ('almond'), ('ECONOMY'), ('nothing like it')) t(term)
         where contains(lower(material), lower(term)) or contains(lower(process), lower(term)) group by term""",
-    "word_match_facts": f"""with {views.SQL},
-        v as (select material, process, property, count(*) as n from facts_v group by all),
-        vk as (select material, process, property, n, unnest({_KEYS.format("concat_ws(' ', material, process, property)")}) as key from v),
-        qk as (select conv_id, turn, unnest({_KEYS.format("question")}) as key from q_v),
-        p as (select distinct conv_id, turn, material, process, property, n from qk join vk using (key))
-        select conv_id, turn, cast(sum(n) as bigint) as facts from p group by conv_id, turn""",
+    "word_match_facts": f"""with {views.SQL} select id, material, process, confidence from facts_v
+        where len(list_filter(regexp_extract_all(lower(concat_ws(' ', material, process, property)), '[a-zа-я0-9]+'),
+          lambda w: (length(w) <= 4 and w = 'mint') or (length(w) > 4 and substr(w, 1, 5) in ('promo', 'antiq')))) > 0
+        order by confidence desc, id limit 30""",
     "mark_conflicts": f"""with {views.SQL}, g as (select material, property from facts_v group by all having count(*) filter (where effect_direction = 'increase') > 0
         and count(*) filter (where effect_direction = 'decrease') > 0)
         select id, case when effect_direction <> 'neutral' and (material, property) in (select (material, property) from g) then 'conflicting' else 'approved' end as status from facts_v""",
