@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import written
 from .words import Words, groups, xxh64
 
-WINDOW, PREFIX, CROWD = 50, 16, 256
+WINDOW, PREFIX, CROWD = 50, 16, 96
 BASE = np.uint64(0x9E3779B97F4A7C15)
 LAST = (1 << 63) - 1
 
