@@ -90,9 +90,9 @@ select page_id, host, path, rule, case when rule in ('example.com/en/', 'net/es/
 with d as (select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as w from documents),
 win as (select doc_id, p, md5(array_to_string(w[p:p + 49], ' ')) as k from (select doc_id, w, unnest(generate_series(1, len(w) - 49)) as p from d where len(w) >= 50)),
 first as (select k, min(doc_id) as least from win group by k having min(doc_id) < max(doc_id)),
-gone as (select distinct doc_id, p + unnest(generate_series(0, 49)) as at from win join first using (k) where doc_id > least),
-word as (select doc_id, unnest(w) as x, unnest(generate_series(1, len(w))) as at from d where len(w) > 0),
-kept as (select word.doc_id, string_agg(word.x, ' ' order by word.at) as t from word left join gone using (doc_id, at) where gone.at is null group by word.doc_id)
+gone as (select distinct doc_id, p + unnest(generate_series(0, 49)) as pos from win join first using (k) where doc_id > least),
+word as (select doc_id, unnest(w) as x, unnest(generate_series(1, len(w))) as pos from d where len(w) > 0),
+kept as (select word.doc_id, string_agg(word.x, ' ' order by word.pos) as t from word left join gone using (doc_id, pos) where gone.pos is null group by word.doc_id)
 select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(coalesce(g.n, 0) as bigint) as n_removed, sha256(coalesce(kept.t, '')) as kept_sha256
 from d left join kept using (doc_id) left join (select doc_id, count(*) as n from gone group by doc_id) g using (doc_id)
 """,
