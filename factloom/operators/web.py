@@ -44,3 +44,58 @@ def relevant(results: DataFrame, question: str, stop: tuple[str, ...] = ()) -> D
 def from_domains(results: DataFrame, domains: tuple[str, ...]) -> DataFrame:
     """Results whose url holds one of the domains; without domains all."""
     return results.where(F.exists(F.array(*map(F.lit, domains)), lambda d: F.contains(F.lower("url"), d))) if domains else results
+
+
+def simplified(question: Column, stop: tuple[str, ...] = (), most: int = 8) -> Column:
+    """The question's first words of over three letters, without the stop words: what is searched for."""
+    words = F.regexp_extract_all(F.translate(F.lower(question), "ё", "е"), F.lit(r"[\p{L}\p{N}_-]+"), F.lit(0))
+    kept = F.filter(words, lambda w: (F.length(w) > 3) & (~w.isin(*stop) if stop else F.lit(True)))
+    return F.array_join(F.slice(kept, 1, most), " ")
+
+
+def with_glossary(text: Column, glossary: dict[str, str]) -> Column:
+    """Whole words replaced, any case."""
+    for word, other in glossary.items():
+        text = F.regexp_replace(text, rf"(?iu)\b\Q{word}\E\b", other)
+    return text
+
+
+def relevant_by_meaning(results: DataFrame, question_vector: list[float], least: float = 0.45) -> DataFrame:
+    """Results (with `embedding`) at least that near to the question."""
+    from ..functions.vectors import dot
+
+    return results.where(dot(F.col("embedding"), F.array(*[F.lit(float(x)) for x in question_vector])) >= least)
+
+
+def parse_atom(feeds: DataFrame, most: int = 5) -> DataFrame:
+    """feeds (question_id, body: Atom XML) -> title, url, snippet, year, source of its entries."""
+    body = F.regexp_replace("body", r'xmlns="[^"]*"', "")
+    field = lambda f: F.expr(f"xpath(_body, '//entry/{f}/text()')")
+    rows = feeds.withColumn("_body", body).withColumn("_n", F.expr("xpath(_body, '//entry/id/text()')"))
+    zipped = F.slice(F.arrays_zip(F.col("_n").alias("url"), field("title").alias("title"), field("summary").alias("snippet"), field("published").alias("published")), 1, most)
+    one = rows.select("question_id", F.posexplode(zipped).alias("position", "e"))
+    return _results(one, F.col("e.title"), F.col("e.url"), F.col("e.snippet"), tx.year_in(F.col("e.published")), "arxiv")
+
+
+def parse_crossref(answers: DataFrame, most: int = 5) -> DataFrame:
+    """answers (question_id, body: JSON of works) -> results."""
+    date = "struct<`date-parts`: array<array<string>>>"
+    work = f"struct<URL: string, title: array<string>, abstract: string, `container-title`: array<string>, published: {date}, issued: {date}, `published-print`: {date}, `published-online`: {date}>"
+    items = F.from_json("body", f"message struct<items: array<{work}>>")["message"]["items"]
+    one = answers.select("question_id", F.posexplode(F.slice(items, 1, most)).alias("position", "e"))
+    year = F.coalesce(*[tx.year_in(F.get(F.get(F.col(f"e.`{k}`.`date-parts`"), F.lit(0)), F.lit(0))) for k in ("published", "issued", "published-print", "published-online")])
+    snippet = F.coalesce(F.nullif(tx.strip_tags(F.col("e.abstract")), F.lit("")), F.get(F.col("e.`container-title`"), F.lit(0)))
+    return _results(one, F.get(F.col("e.title"), F.lit(0)), F.col("e.URL"), snippet, year, "crossref")
+
+
+def parse_semantic(answers: DataFrame, most: int = 5) -> DataFrame:
+    """answers (question_id, body: JSON of papers) -> results."""
+    items = F.from_json("body", "data array<struct<title: string, abstract: string, url: string, year: string>>")["data"]
+    one = answers.select("question_id", F.posexplode(F.slice(items, 1, most)).alias("position", "e"))
+    return _results(one, F.col("e.title"), F.col("e.url"), F.col("e.abstract"), tx.year_in(F.col("e.year")), "semanticscholar")
+
+
+def _results(rows: DataFrame, title: Column, url: Column, snippet: Column, year: Column, source: str) -> DataFrame:
+    named = F.coalesce(F.nullif(tx.strip_tags(title), F.lit("")), url)
+    out = rows.select("question_id", "position", named.alias("title"), tx.strip(url).alias("url"), F.substring(tx.strip_tags(snippet), 1, 300).alias("snippet"), year.alias("year"), F.lit(source).alias("source"))
+    return out.where(F.coalesce("url", F.lit("")) != "")

@@ -133,7 +133,7 @@ ORACLE_SQL = {
         select question_id, cast(n as bigint) as rank, url from r where take""",
     "offtopic_route": f"""with {views.SQL}, x as (select conv_id, turn, lower(trim(question)) as t from q_v)
         select conv_id, turn, t = '' or (not regexp_matches(t, '[0-9]') and length(t) <= 80) as off_topic, regexp_matches(t, '[0-9]') or contains(t, ' vs ') as full_path from x""",
-    "doc_origin": r"""select doc_id as document_id, case when length(regexp_replace(lower(text), '[^a-z]', '', 'g')) > 0.5 * length(regexp_replace(text, '[^\p{L}]', '', 'g')) then 'foreign' else 'domestic' end as origin from documents""",
+    "doc_origin": r"""select doc_id as document_id, case when length(regexp_replace(lower(text), '[^a-z]', '', 'g')) > 0.5 * length(regexp_replace(text, '[^\p{L}]', '', 'g')) then 'foreign' else 'ru' end as origin from documents""",
     "doc_year": "with c as (select o_custkey as document_id, year(o_orderdate) as y, count(*) as n from orders group by all) select document_id, cast(arg_max(y, (n, y)) as int) as year from c group by document_id",
     "unit_convert": "select l_quantity, round(l_quantity / 60, 9) as hours, round(l_quantity * 0.101325 * 10, 9) as bar, true as mismatch, count(*) as n from lineitem group by l_quantity",
     "quantity_hits": """with t as (select distinct cast(l_quantity as int) as q, l_linenumber as n from lineitem)
