@@ -32,7 +32,7 @@ def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: its lineage ends there, and a lost executor costs nothing before it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/factloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
