@@ -28,10 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def _own(spark: SparkSession) -> str:
+    """How this application's tables in the shared folder begin."""
+    return f"factloom-{spark.sparkContext.applicationId}-"
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: its lineage ends there, and a lost executor costs nothing before it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/factloom-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{_own(spark)}{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -62,3 +67,13 @@ class Memo(dict):
             self.clear()
         self[word] = value
         return value
+
+
+def forget_written(spark: SparkSession) -> int:
+    """Deletes every table that written() of this application has left in the shared folder; their number. For the end of a session: results that still read them are lost."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = [s.getPath() for s in (fs.listStatus(root) if fs.exists(root) else []) if s.getPath().getName().startswith(_own(spark))]
+    for path in gone:
+        fs.delete(path, True)
+    return len(gone)
