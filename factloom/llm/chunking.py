@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_width, written
+from .common import short, shuffle_width, written
 
 LEAST, NORMAL, MOST = 24, 96, 384
 #: log2(NORMAL) is between 6 and 7: two bits more before the normal size, two fewer after.
@@ -103,7 +103,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in short(batches):
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(chunks(t or b"")) for t in texts], pa.string())], names=[id_col, "fingerprint"])
 
@@ -142,7 +142,7 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         before, id_type = None, None  # (id, range, text, chunks) of the row before
-        for batch in batches:
+        for batch in short(batches):
             id_type = batch.schema.field(0).type
             ids, ranges, texts = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(1).to_pylist()
             rows = []
@@ -169,7 +169,7 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     ends = found.where(F.col("role") == LAST).select("doc_id", "range", "text").join(following, "range").select("doc_id", "text", "following")
 
     def close(batches):
-        for batch in batches:
+        for batch in short(batches):
             rows = [pair(t, chunks(t.encode()), n, chunks(n.encode())) for t, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             values = list(zip(*rows, strict=True)) or [[]] * len(PAIR_NAMES)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, t) for v, t in zip(values, PAIR_TYPES, strict=True))], names=["doc_id", *PAIR_NAMES])

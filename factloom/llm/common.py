@@ -33,14 +33,30 @@ def _own(spark: SparkSession) -> str:
     return f"factloom-{spark.sparkContext.applicationId}-"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back: its lineage ends there, and a lost executor costs nothing before it."""
+#: Rows of a few numbers that one file holds with ease.
+FILE_ROWS = 200_000
+
+
+def written(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder, read back: its lineage ends there, and a lost executor costs nothing before it.
+
+    rows: about how many short rows there are, if that is known; a small table then becomes few files.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(min(shuffle_width(spark), rows // FILE_ROWS + 1))
     path = f"{shared_dir(spark)}/{_own(spark)}{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def short(batches, rows: int = 256):
+    """Arrow batches in slices of up to `rows` rows, so that a task holds the objects of few texts at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """How many partitions a shuffle gets in this session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

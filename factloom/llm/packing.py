@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo
+from .common import Memo, short
 
 
 def piece_lengths(n: int, most: int) -> list[int]:
@@ -73,7 +73,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, max_tokens: int
 
     def run(batches):
         ids_of = token_ids(tokenizer_path)
-        for batch in batches:
+        for batch in short(batches):
             rows, starts, lengths, ids, totals, held = [], [], [], [], [], 0
 
             def out():

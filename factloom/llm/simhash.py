@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import short, written
 from .words import Words, groups, xxh64
 
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, id_col: str
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in short(batches):
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(simhashes(texts, shingle, seed).view(np.int64))], names=[id_col, "fp"])
 
@@ -77,7 +77,8 @@ def node_pairs(fps: DataFrame, budget: int, capacity: int, step: int) -> list[tu
     spark = fps.sparkSession
     done, depth = [], 0
     size = fps.count()
-    open_ = written(spark.createDataFrame([(0, 0, 0, size, size)] if size else [], "a long, b long, differing int, n_a long, n_b long"))
+    few = size // capacity * 256  # about how many pairs of nodes are open at once
+    open_ = written(spark.createDataFrame([(0, 0, 0, size, size)] if size else [], "a long, b long, differing int, n_a long, n_b long"), few)
     while True:
         fits = (F.col("n_a") + F.col("n_b") <= 2 * capacity) if depth < 64 else F.lit(True)
         done.append((depth, open_.where(fits).select("a", "b", "differing")))
@@ -94,7 +95,8 @@ def node_pairs(fps: DataFrame, budget: int, capacity: int, step: int) -> list[tu
             .join(right, "b")
             .withColumn("differing", (F.col("differing") + F.bit_count(F.col("child_a").bitwiseXOR(F.col("child_b")).bitwiseAND(F.lit((1 << wider) - 1)))).cast("int"))
             .where((F.col("differing") <= budget) & (F.col("child_a") <= F.col("child_b")))
-            .select(F.col("child_a").alias("a"), F.col("child_b").alias("b"), "differing", "n_a", "n_b")
+            .select(F.col("child_a").alias("a"), F.col("child_b").alias("b"), "differing", "n_a", "n_b"),
+            few,
         )
         depth += wider
 
@@ -207,14 +209,14 @@ def components(edges: DataFrame) -> DataFrame:
     """edges u, v -> node, root: each node of an edge with the least node of its component. Alternating large and small stars."""
     flip = lambda e: e.select(F.col("v").alias("u"), F.col("u").alias("v"))
     e = written(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    state = None
+    state, n = None, e.count()
     while True:
         both = e.unionByName(flip(e))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), n)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        e = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), n)
         before, state = state, e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if before == state:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -222,7 +224,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def classes(found: DataFrame, budget: int = 2, id_col: str = "doc_id", **how) -> DataFrame:
     """found: (id, fp) -> fp, component_id: the smallest id reachable from a fingerprint over links, its own documents included."""
-    own = written(found.groupBy("fp").agg(F.min(id_col).alias("least")))
+    own = written(found.groupBy("fp").agg(F.min(id_col).alias("least")), found.count())
     root = components(links(own.select("fp"), budget, **how))
     rooted = own.join(root, own.fp == root.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -242,13 +244,13 @@ def deduplicate(docs: DataFrame, budget: int = 2, shingle: int = 3, seed: int =
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in short(batches):
             texts = batch.column(2).cast(pa.binary()).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(simhashes(texts, shingle, seed).view(np.int64))], names=["doc_id", "digest", "fp"])
 
     found = written(docs.select("doc_id", digest, "text").mapInArrow(run, f"doc_id {kind}, digest long, fp long"))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("first")
-    own = written(found.groupBy("fp").agg(first))
+    own = written(found.groupBy("fp").agg(first), found.count())
     root = components(links(own.select("fp"), budget, **how))
     stays = own.join(root, own.fp == root.node, "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
     keys = stays.select(F.coalesce("first.doc_id", F.lit(0)).alias("_id"), F.col("first.doc_id").isNull().alias("_null"), F.col("first.digest").alias("_digest"))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import short, written
 from .words import Words, groups, xxh64
 
 WINDOW, PREFIX, CROWD = 50, 16, 96
@@ -106,7 +106,7 @@ def prefixes(rows: DataFrame, window: int, prefix: int) -> DataFrame:
     """(key, ord, digest): the prefix of each suffix that is kept, once a document."""
 
     def run(batches):
-        for batch in batches:
+        for batch in short(batches):
             texts = batch.column(2).cast(pa.binary()).to_pylist()
             for a, b in groups(texts):
                 found = Segments(texts[a:b], window, prefix)
@@ -134,7 +134,7 @@ def suffixes(rows: DataFrame, window: int, prefix: int) -> DataFrame:
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in short(batches):
             ids, digests_, texts, wanted = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3)
             for a, b in groups(texts):
                 found = Segments(texts[a:b], window, prefix)
@@ -236,7 +236,7 @@ def subtree_repeats(found: DataFrame, window: int, most: int = 16 << 20) -> Data
 
     def run(batches):
         held, size = [], 0
-        for batch in batches:
+        for batch in short(batches):
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if size > most and row[:2] != held[-1][:2]:
                     yield close(held)
@@ -283,7 +283,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, crowd: in
     row_kind = marked.schema["row"].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in short(batches):
             texts, starts = batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()
             kept, counts, removed = [], [], []
             for text, at in zip(texts, starts, strict=True):

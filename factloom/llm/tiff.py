@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import short
+
 #: Fixed values of the format: tag numbers, codec numbers, bytes per value of each field type.
 WIDTH, HEIGHT, BITS, CODEC, PHOTOMETRIC = 256, 257, 258, 259, 262
 STRIP_AT, SAMPLES, STRIP_ROWS, STRIP_BYTES, PLANAR, PREDICTOR = 273, 277, 278, 279, 284, 317
@@ -275,7 +277,7 @@ def pages(files: DataFrame, id_col: str = "doc_id", content_col: str = "content"
     limit = 8 << 20  # bytes of samples in a batch, more only for a single larger file
 
     def run(batches):
-        for batch in batches:
+        for batch in short(batches):
             picked, decoded, held = [], [], 0
             content = batch.column(len(cols))
 
@@ -319,7 +321,7 @@ def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in short(batches):
             sizes, files = [], []
             for text in batch.column(1):
                 text = text.as_py()

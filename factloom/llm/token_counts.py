@@ -20,7 +20,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Memo
+from .common import Memo, short
 
 END = 256  # the end-of-word symbol, beside the bytes 0-255
 
@@ -121,7 +121,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
     def run(batches):
         memo = word_counts(tokenizer_path)
-        for batch in batches:
+        for batch in short(batches):
             words, tokens = [], []
             for text in batch.column(1):
                 found = (text.as_py() or "").encode().lower().split()

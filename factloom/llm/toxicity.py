@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, written
+from .common import Memo, short, written
 
 TERM = re.compile(r"[^\W\d_]+")
 BLOCK = 64
@@ -126,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 16_384, vocabulary: in
     rows = written(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic", "text"))
 
     def families(batches):
-        for batch in batches:
+        for batch in short(batches):
             found = [set(terms_of(text)) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([family(f) for f in found], pa.int64()), pa.array([list(f) for f in found], pa.list_(pa.string()))], names=["toxic", "family", "terms"])
 
@@ -145,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 16_384, vocabulary: in
 
     def frequencies(batches):
         count, total = Counter(), 0
-        for batch in batches:
+        for batch in short(batches):
             for text in batch.column(0).to_pylist():
                 count.update(set(filter(number.__contains__, terms_of(text))))
                 total += 1
@@ -157,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 16_384, vocabulary: in
     idf = np.array([math.log((total + 1) / (df.get(i, 0) + 1)) + 1 for i in range(len(terms))])
 
     def vectors(batches):
-        for batch in batches:
+        for batch in short(batches):
             counts = [Counter(number[t] for t in filter(number.__contains__, terms_of(text))) for text in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([list(c.keys()) for c in counts], pa.list_(pa.int32())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))], names=["doc_id", "toxic", "terms", "counts"]
@@ -182,7 +182,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **how) ->
         names, at = shared.value
         number = {t: i for i, t in enumerate(names)}
         seen = Memo(lambda key: at.score(dict(key)), 20_000)
-        for batch in batches:
+        for batch in short(batches):
             found = [seen[tuple(sorted(Counter(number[t] for t in filter(number.__contains__, terms_of(text))).items()))] for text in batch.column(1).to_pylist()]
             scores = [f[0] for f in found]
             evidence = [[{"doc_id": i, "cosine": c, "toxic": y} for i, c, y in f[1]] for f in found]
