@@ -6,6 +6,7 @@ A hit is struct<value, unit, kind, normalized_value, normalized_unit>.
 from __future__ import annotations
 
 import re
+from functools import cached_property
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -45,8 +46,9 @@ class Quantities:
         """How units are looked up."""
         return F.lower(F.translate(F.regexp_replace(F.coalesce(unit, F.lit("")), r"(?U)\s+", ""), "³²μ", "32u"))
 
-    def spec(self, unit: Column) -> Column:
-        """struct<kind, unit, dimension, factor, offset, own_unit, own_factor> of a unit, or null; own: of the quantity that is named like its kind."""
+    @cached_property
+    def _units(self) -> Column:
+        """The units as one map, made once: it is used in many places of an expression."""
         pairs = []
         for alias, (kind, name, dimension, factor, offset, _) in self.units.items():
             own = self.domain.quantities.get(kind)
@@ -54,14 +56,22 @@ class Quantities:
             fields = {"kind": kind, "unit": name, "dimension": dimension, "factor": factor, "offset": offset, "own_unit": own[1] if same else None, "own_factor": own[2] if same else None}
             kinds = {"factor": "double", "offset": "double", "own_factor": "double"}
             pairs += [F.lit(alias), F.struct(*[F.lit(v).cast(kinds.get(k, "string")).alias(k) for k, v in fields.items()])]
-        return F.try_element_at(F.create_map(*pairs), self.key(unit))
+        return F.create_map(*pairs)
 
-    def target(self, quantity: Column) -> Column:
-        """struct<dimension, unit, factor> of a quantity, or null."""
+    @cached_property
+    def _targets(self) -> Column:
         pairs = []
         for name, (dimension, unit, factor) in self.domain.quantities.items():
             pairs += [F.lit(name), F.struct(F.lit(dimension).alias("dimension"), F.lit(unit).alias("unit"), F.lit(factor).alias("factor"))]
-        return F.try_element_at(F.create_map(*pairs), F.coalesce(quantity, F.lit("")))
+        return F.create_map(*pairs)
+
+    def spec(self, unit: Column) -> Column:
+        """struct<kind, unit, dimension, factor, offset, own_unit, own_factor> of a unit, or null; own: of the quantity that is named like its kind."""
+        return F.try_element_at(self._units, self.key(unit))
+
+    def target(self, quantity: Column) -> Column:
+        """struct<dimension, unit, factor> of a quantity, or null."""
+        return F.try_element_at(self._targets, F.coalesce(quantity, F.lit("")))
 
     def convert(self, value: Column, unit: Column, quantity: Column) -> Column:
         """struct<value, unit> of a value in the quantity's unit; null where the unit is unknown or of another dimension.

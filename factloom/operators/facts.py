@@ -201,3 +201,14 @@ def contradictions(facts: DataFrame, tolerance: float = 5.0, synonyms: dict | No
     same = (F.col("process") == F.col("process2")) | (F.col("process") == "") | (F.col("process2") == "")
     labs = F.array_join(F.array_sort(F.array_distinct(F.array(F.coalesce("lab", F.lit("")), F.coalesce("lab2", F.lit(""))))), ", ")
     return pairs.where(same).select(*key, labs.alias("labs")).distinct()
+
+
+def phrase(facts: DataFrame) -> DataFrame:
+    """id, phrase of facts with material and property: the direction with its value, else the result."""
+    col = lambda c, kind: F.col(c) if c in facts.columns else F.lit(None).cast(kind)
+    number = lambda v, u: F.concat(tx.general_number(v), F.coalesce(F.concat(F.lit(" "), F.nullif(u, F.lit(""))), F.lit("")))
+    effect, result = col("effect_value", "double"), col("result_value", "double")
+    way = F.when(F.col("effect_direction").isin("increase", "decrease", "neutral"), F.concat_ws(" на ", tx.direction_label(F.col("effect_direction")), F.when(effect.isNotNull(), number(effect, col("effect_unit", "string")))))
+    said = F.coalesce(way, F.when(result.isNotNull(), number(result, col("result_unit", "string"))))
+    named = facts.where(~tx.is_junk(F.col("material")) & ~tx.is_junk(F.col("property")))
+    return named.select("id", F.concat_ws(": ", F.concat_ws(", ", "material", "property"), said).alias("phrase"))

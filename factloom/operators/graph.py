@@ -162,3 +162,21 @@ def semantic_projection(claims: DataFrame, types: tuple[str, ...], predicates: d
     relation = F.transform("relations", lambda r: F.struct(tidy(r["subject"]).alias("subject"), r["predicate"].alias("predicate"), tidy(r["object"]).alias("object")))
     wanted = kept.withColumn("names", names).withColumn("relations", F.filter(relation, lambda r: r["predicate"].isin(*predicates) & F.array_contains("names", r["subject"]) & F.array_contains("names", r["object"])))
     return mentions, wanted.select(F.explode("relations").alias("r")).select("r.*").distinct()
+
+
+def claim_title(facts: DataFrame) -> DataFrame:
+    """id, title of facts: what it is about, then what it states."""
+    junk, col = tx.is_junk, lambda c, kind="string": F.col(c) if c in facts.columns else F.lit(None).cast(kind)
+    context = F.array_join(F.filter(F.array("material", "process"), lambda p: ~junk(p)), ", ")
+    value = F.when(col("effect_value", "double").isNull(), "").otherwise(F.concat(F.lit(" "), tx.general_number(col("effect_value", "double")), F.coalesce(col("effect_unit"), F.lit(""))))
+    effect = F.trim(F.concat(tx.direction_label(F.col("effect_direction")), value))
+    stated = F.when(effect != "", F.concat("property", F.lit(": "), effect)).otherwise(F.col("property"))
+    body = F.when(~junk(F.col("property")), stated).otherwise(F.coalesce(F.nullif(F.trim(col("quote")), F.lit("")), F.col("id")))
+    return facts.select("id", F.when(context != "", F.concat(context, F.lit(" — "), body)).otherwise(body).alias("title"))
+
+
+def context_entities(facts: DataFrame, fragments: DataFrame, documents: DataFrame, regions: dict | None = None) -> DataFrame:
+    """id, type, name: the regions that a fact's fragment names, and the authors of its document as experts."""
+    places = facts.select("id", "fragment_id").join(fragments.select("fragment_id", regions_in(F.col("text"), regions).alias("names")), "fragment_id").select("id", F.lit("Region").alias("type"), F.explode("names").alias("name"))
+    people = facts.select("id", "document_id").join(documents.select("document_id", "authors"), "document_id").select("id", F.lit("Expert").alias("type"), F.explode("authors").alias("name"))
+    return places.unionByName(people)

@@ -104,3 +104,24 @@ def reprocess(candidates: DataFrame, fresh: DataFrame) -> DataFrame:
 def missing(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows that are not done yet."""
     return rows.join(done.select(key), key, "left_anti")
+
+
+def evolved(target: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows added to a table whose columns they may lack or exceed; what either side lacks is null."""
+    return target.unionByName(rows, allowMissingColumns=True)
+
+
+def duplicates(rows: DataFrame, key: str) -> DataFrame:
+    """Keys that more than one row has: empty where the key is one."""
+    return rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def of_dimension(vectors: DataFrame, dimension: int) -> DataFrame:
+    """Vectors of the dimension in use; others are to be made anew."""
+    return vectors.where(F.size("embedding") == dimension)
+
+
+def current_version(documents: DataFrame, versions: DataFrame, checksum: str) -> DataFrame:
+    """The document whose current version has that checksum, with it."""
+    found = versions.where(F.col("checksum") == checksum).select(F.col("id").alias("current_version_id"), "version_number")
+    return documents.join(found, "current_version_id").orderBy("id").limit(1)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import facts, graph, lifecycle, search, texts
+from . import facts, graph, lifecycle, more, search, texts
 
-MODULES = (facts, graph, lifecycle, search, texts)
+MODULES = (facts, graph, lifecycle, search, texts, more)
 QUERIES: dict = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL: dict = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
