@@ -45,7 +45,7 @@ def cascade_delete(gone: DataFrame, **tables: DataFrame) -> dict[str, DataFrame]
     out = {}
     for name, table in tables.items():
         if "document_id" in table.columns:
-            out[name] = table.join(gone, "document_id", "left_anti")
+            out[name] = table.join(gone, "document_id", "left_anti").select(table.columns)
         elif "source" in table.columns:
             out[name] = table.where(F.col("source.document_id").isNull()).unionByName(
                 table.withColumn("document_id", F.col("source.document_id")).where("document_id is not null").join(gone, "document_id", "left_anti").drop("document_id")
