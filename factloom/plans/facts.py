@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from .. import views
 from ..operators import facts as op
 
-MATERIAL, PROCESS = "almond antique", "STANDARD"
 
 
 def _hidden(spark, d):
@@ -49,9 +48,21 @@ def scientific_share(spark, d):
     return op.scientific_share(op.filtered(views.facts(spark, d), property="Brand#13"), views.documents(spark, d))
 
 
+def about(spark, d, hypotheses=True):
+    """The facts that a question about one property is answered from."""
+    return op.filtered(views.facts(spark, d), hypotheses=hypotheses, property="Brand#13")
+
+
 def find_gaps(spark, d):
-    facts = views.facts(spark, d).where("lab = 'Supplier#000000001'")
-    return op.gaps(facts, "выход по току")
+    """What the evidence for a question lacks that names a target no number supports; then what one without facts lacks."""
+    none = op.filtered(views.facts(spark, d), property="Brand#99")
+    return op.gaps(about(spark, d), "выход по току").unionByName(op.gaps(none))
+
+
+def topic_gaps(spark, d):
+    """Experiments whose results with a process fewer than two laboratories report."""
+    topics = views.facts(spark, d).groupBy("experiment_id", "process").agg(F.count("*").alias("facts"), F.min("lab").alias("a"), F.max("lab").alias("b"))
+    return topics.where("a = b").select("experiment_id", "process", "facts")
 
 
 def indirect_search(spark, d):
@@ -72,19 +83,20 @@ def conflict_groups(spark, d):
 
 
 def conflict_links(spark, d):
-    """The lists themselves, for the facts of one laboratory."""
-    found = op.conflict_links(views.facts(spark, d).where("lab = 'Supplier#000000003'"))
+    """The lists themselves, for the facts of a question."""
+    found = op.conflict_links(about(spark, d))
     return found.select("id", F.array_join("conflicts_with", ",").alias("conflicts_with"))
 
 
 def find_contradictions(spark, d):
-    return op.contradictions(views.facts(spark, d).where("lab in ('Supplier#000000001', 'Supplier#000000002', 'Supplier#000000003', 'Supplier#000000004')"))
+    """Among the facts of a question."""
+    return op.contradictions(about(spark, d))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        visible_facts, facts_filtered_ranked, fact_sources_dedup, answer_confidence, evidence_status, doc_fact_counts, scientific_share, find_gaps,
+        visible_facts, facts_filtered_ranked, fact_sources_dedup, answer_confidence, evidence_status, doc_fact_counts, scientific_share, find_gaps, topic_gaps,
         indirect_search, word_match_facts, mark_conflicts, conflict_groups, conflict_links, find_contradictions,
     )
 }
@@ -103,10 +115,11 @@ ORACLE_SQL = {
         from docs_v d left join facts_v f using (document_id) group by d.document_id""",
     "scientific_share": f"""with {views.SQL} select round(avg(coalesce(cast(is_scientific as int), 0)), 2) as scientific_share
         from facts_v left join docs_v using (document_id) where property = 'Brand#13' and not is_hypothesis""",
-    "find_gaps": f"""with {views.SQL}, c as (select count(*) as n, count(distinct lab) as labs from facts_v where lab = 'Supplier#000000001')
-        select 'Нет подтверждённых фактов для заданной комбинации условий.' as gap from c where n = 0
+    "find_gaps": f"""with {views.SQL}, c as (select count(*) as n, count(distinct lab) as labs from facts_v where property = 'Brand#13')
+        select 'Нет подтверждённых фактов для заданной комбинации условий.' as gap
         union all select 'Результаты подтверждены менее чем двумя независимыми источниками.' from c where n > 0 and labs < 2
         union all select 'Нет данных, напрямую подтверждающих целевой показатель «выход по току».' from c where n > 0""",
+    "topic_gaps": f"with {views.SQL} select experiment_id, process, count(*) as facts from facts_v group by all having count(distinct lab) < 2",
     "indirect_search": f"""with {views.SQL} select term, count(*) as facts from facts_v, (values ('PROMO'), ('almond'), ('ECONOMY'), ('nothing like it')) t(term)
         where contains(lower(material), lower(term)) or contains(lower(process), lower(term)) group by term""",
     "word_match_facts": f"""with {views.SQL} select id, material, process, confidence from facts_v
@@ -118,9 +131,9 @@ ORACLE_SQL = {
         select id, case when effect_direction <> 'neutral' and (material, property) in (select (material, property) from g) then 'conflicting' else 'approved' end as status from facts_v""",
     "conflict_groups": f"""with {views.SQL} select lower(material) as material_key, lower(property) as property_key, count(*) filter (where effect_direction = 'increase') as ups,
         count(*) filter (where effect_direction = 'decrease') as downs from facts_v group by 1, 2 having ups > 0 and downs > 0""",
-    "conflict_links": f"""with {views.SQL}, f as (select id, material, property, effect_direction as e from facts_v where lab = 'Supplier#000000003' and effect_direction <> 'neutral')
+    "conflict_links": f"""with {views.SQL}, f as (select id, material, property, effect_direction as e from facts_v where property = 'Brand#13' and effect_direction <> 'neutral')
         select a.id, string_agg(distinct b.id, ',' order by b.id) as conflicts_with from f a join f b using (material, property) where a.e <> b.e group by a.id""",
-    "find_contradictions": f"""with {views.SQL}, f as (select * from facts_v where lab in ('Supplier#000000001', 'Supplier#000000002', 'Supplier#000000003', 'Supplier#000000004'))
+    "find_contradictions": f"""with {views.SQL}, f as (select * from facts_v where property = 'Brand#13')
         select distinct lower(a.material) as material_key, lower(a.property) as property_key, case when a.lab = b.lab then a.lab else least(a.lab, b.lab) || ', ' || greatest(a.lab, b.lab) end as labs
         from f a join f b on a.material = b.material and a.property = b.property
         where a.effect_direction = 'increase' and b.effect_direction = 'decrease' and a.process = b.process and abs(a.temperature_c - b.temperature_c) <= 5""",

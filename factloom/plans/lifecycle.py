@@ -37,8 +37,8 @@ def cascade_delete(spark, d):
 
 
 def retract_document(spark, d):
-    """The conflict links of one laboratory's facts after the hidden documents are deleted."""
-    facts = views.facts(spark, d).where("lab = 'Supplier#000000003'").select("id", "document_id", "material", "property", "effect_direction")
+    """The conflict links of a question's facts after the hidden documents are deleted."""
+    facts = fact_op.filtered(views.facts(spark, d), hypotheses=True, property="Brand#13").select("id", "document_id", "material", "property", "effect_direction")
     linked = facts.join(fact_op.conflict_links(facts), "id", "left").select("id", "document_id", F.coalesce("conflicts_with", F.array().cast("array<string>")).alias("conflicts_with"))
     marked = linked.withColumn("status", F.when(F.size("conflicts_with") > 0, "conflicting").otherwise("approved"))
     left = op.retract(marked, views.documents(spark, d).where("hidden").select("document_id"))
@@ -70,7 +70,7 @@ ORACLE_SQL = {
         union all select * from (values ('doc-new-1', 'note', 2001, cast(null as boolean)), ('doc-new-2', 'note', 2002, null))""",
     "cascade_delete": f"""with {views.SQL} select 'documents' as table_name, count(*) as n from docs_v where not hidden
         union all select 'facts', count(*) from facts_v where document_id not in (select document_id from docs_v where hidden)""",
-    "retract_document": f"""with {views.SQL}, f as (select facts_v.*, hidden from facts_v join docs_v using (document_id) where lab = 'Supplier#000000003'),
+    "retract_document": f"""with {views.SQL}, f as (select facts_v.*, hidden from facts_v join docs_v using (document_id) where property = 'Brand#13'),
         l as (select a.id, count(distinct b.id) filter (where not b.hidden) as links from f a left join f b on a.material = b.material and a.property = b.property
           and ((a.effect_direction = 'increase' and b.effect_direction = 'decrease') or (a.effect_direction = 'decrease' and b.effect_direction = 'increase')) where not a.hidden group by a.id)
         select id, case when links > 0 then 'conflicting' else 'approved' end as status, links from l""",
