@@ -60,9 +60,9 @@ def find_gaps(spark, d):
 
 
 def topic_gaps(spark, d):
-    """Experiments whose results with a process fewer than two laboratories report."""
-    topics = views.facts(spark, d).groupBy("experiment_id", "process").agg(F.count("*").alias("facts"), F.min("lab").alias("a"), F.max("lab").alias("b"))
-    return topics.where("a = b").select("experiment_id", "process", "facts")
+    """Documents whose results with a process come from fewer than two laboratories."""
+    topics = views.facts(spark, d).groupBy("document_id", "process").agg(F.count("*").alias("facts"), F.min("lab").alias("a"), F.max("lab").alias("b"))
+    return topics.where("a = b").select("document_id", "process", "facts")
 
 
 def indirect_search(spark, d):
@@ -119,7 +119,7 @@ ORACLE_SQL = {
         select 'Нет подтверждённых фактов для заданной комбинации условий.' as gap
         union all select 'Результаты подтверждены менее чем двумя независимыми источниками.' from c where n > 0 and labs < 2
         union all select 'Нет данных, напрямую подтверждающих целевой показатель «выход по току».' from c where n > 0""",
-    "topic_gaps": f"with {views.SQL} select experiment_id, process, count(*) as facts from facts_v group by all having count(distinct lab) < 2",
+    "topic_gaps": f"with {views.SQL} select document_id, process, count(*) as facts from facts_v group by all having count(distinct lab) < 2",
     "indirect_search": f"""with {views.SQL} select term, count(*) as facts from facts_v, (values ('PROMO'), ('almond'), ('ECONOMY'), ('nothing like it')) t(term)
         where contains(lower(material), lower(term)) or contains(lower(process), lower(term)) group by term""",
     "word_match_facts": f"""with {views.SQL} select id, material, process, confidence from facts_v
