@@ -49,7 +49,7 @@ def token_ids(tokenizer_path: str):
         ids = tokenizer.encode(word.decode(), add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    memo = Memo(encode, 800_000)
+    memo = Memo(encode, 600_000)
 
     def ids_of(text: str | None) -> bytes:
         data = (text or "").encode()
