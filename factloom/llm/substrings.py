@@ -12,6 +12,8 @@ further. A prefix of up to `crowd` documents is one subtree; a more common one i
 What is first in its own subtree, and only that, is then grouped by a longer prefix, the whole window, and compared by
 partial sums. So no task holds all the suffixes of a common passage, and a passage gives few rows a subtree, however often it occurs.
 
+Copies: a text that a smaller id has too is repeated whole, and only the first of equal texts (by two 64-bit hashes) gives suffixes.
+
 Subtrees: a task sorts its groups' suffixes and takes the common lengths of neighbours, which give the nodes of the subtree
 at any depth, and likewise of the words before the anchors, read backwards. A window that starts j words before its anchor is
 repeated where its node at depth window - j of the one and at depth j of the other hold a smaller id together:
@@ -249,28 +251,37 @@ def subtree_repeats(found: DataFrame, window: int, most: int = 16 << 20) -> Data
     return found.mapInArrow(run, REPEATS)
 
 
-def salted_join(rows: DataFrame, one: DataFrame, key: str, salts: int = 16) -> DataFrame:
+def salted_join(rows: DataFrame, one: DataFrame, keys: list[str], salts: int = 16) -> DataFrame:
     """rows joined with `one`, which has a row for each key at most: each key's rows are dealt to `salts` tasks, by their own values, and its row of `one` to each of them."""
     salt = F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).alias("salt")
-    return rows.select("*", salt).join(one.select("*", F.explode(F.array(*[F.lit(k).cast("long") for k in range(salts)])).alias("salt")), [key, "salt"]).drop("salt")
+    return rows.select("*", salt).join(one.select("*", F.explode(F.array(*[F.lit(k).cast("long") for k in range(salts)])).alias("salt")), [*keys, "salt"]).drop("salt")
+
+
+def copies(docs: DataFrame) -> DataFrame:
+    """(ord, digest) of the documents whose text a document with a smaller id has too."""
+    sums = docs.select(id_order(F.col("doc_id")).alias("ord"), F.xxhash64("text").alias("digest"), F.xxhash64(F.lit(1), F.col("text")).alias("other"))
+    first = sums.groupBy("digest", "other").agg(F.min("ord").alias("least"), F.max("ord").alias("most")).where("least < most").select("digest", "other", "least")
+    return salted_join(sums, first, ["digest", "other"]).where("ord > least").select("ord", "digest").distinct()
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, crowd: int = CROWD) -> DataFrame:
-    """(ord, digest, starts): for each document that has any, the words at which its repeated windows start."""
+    """(ord, digest, starts, whole): for each document that has any, the words at which its repeated windows start; whole: it is a copy, so all do (starts is empty)."""
     prefix = min(prefix, window)
     rows = keyed(docs)
     every = written(prefixes(rows, window, prefix))
     trees = F.ceil(F.count("*") / F.lit(float(crowd))).cast("int").alias("trees")
     shared = every.groupBy("key").agg(F.min("ord").alias("least"), F.max("ord").alias("most"), trees).where("least < most").select("key", "trees")
-    wanted = salted_join(every, shared, "key").groupBy("ord", "digest").agg(F.collect_set(F.struct("key", "trees")).alias("keys"))
+    again = written(copies(docs))
+    wanted = salted_join(every, shared, ["key"]).groupBy("ord", "digest").agg(F.collect_set(F.struct("key", "trees")).alias("keys")).join(again, ["ord", "digest"], "left_anti")
     found = suffixes(rows.join(wanted, ["ord", "digest"]).select("ord", "digest", "text", "keys"), window, prefix)
     inside = written(subtree_repeats(found.repartition("key", "tree").sortWithinPartitions("key", "tree"), window))
     # The prefix grown to the whole window: of each, the first of each tree.
     windows = inside.select("ord", "digest", "anchors", F.explode(F.arrays_zip("keys", "offsets")).alias("w")).select("ord", "digest", "anchors", F.col("w.keys").alias("key"), F.col("w.offsets").alias("offset"))
     least = windows.groupBy("key").agg(F.min("ord").alias("least"), F.max("ord").alias("most")).where("least < most").select("key", "least")
-    across = salted_join(windows, least, "key").where("ord > least").select("ord", "digest", F.transform("anchors", lambda a: a - F.col("offset")).alias("starts"))
+    across = salted_join(windows, least, ["key"]).where("ord > least").select("ord", "digest", F.transform("anchors", lambda a: a - F.col("offset")).alias("starts"))
     both = inside.where(F.size("starts") > 0).select("ord", "digest", "starts").unionByName(across)
-    return both.groupBy("ord", "digest").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    partly = both.groupBy("ord", "digest").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.lit(False).alias("whole"))
+    return partly.unionByName(again.select("ord", "digest", F.array().cast("array<int>").alias("starts"), F.lit(True).alias("whole")))
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, crowd: int = CROWD, layout: bool = False) -> DataFrame:
@@ -279,17 +290,19 @@ def dedup(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, crowd: in
     rows = docs.drop("n_words", "n_removed")
     others = [c for c in rows.columns if c != "text"]
     rows = rows.select(F.struct(*others).alias("row"), "text", id_order(F.col("doc_id")).alias("ord"), F.xxhash64("text").alias("digest"))
-    marked = rows.join(found, ["ord", "digest"], "left").select("row", "text", "starts")
+    marked = rows.join(found, ["ord", "digest"], "left").select("row", "text", "starts", "whole")
     row_kind = marked.schema["row"].dataType.simpleString()
 
     def run(batches):
         for batch in short(batches):
-            texts, starts = batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()
+            texts, starts, whole = batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
             kept, counts, removed = [], [], []
-            for text, at in zip(texts, starts, strict=True):
+            for text, at, copy in zip(texts, starts, whole, strict=True):
                 words = (text or b"").split()
                 gone = 0
-                if at:
+                if copy and len(words) >= window:
+                    left, gone = [], len(words)
+                elif at:
                     edge = np.zeros(len(words) + 1, np.int64)
                     at = np.unique(at)
                     np.add.at(edge, at, 1)
