@@ -95,5 +95,10 @@ word as (select doc_id, unnest(w) as x, unnest(generate_series(1, len(w))) as po
 kept as (select word.doc_id, string_agg(word.x, ' ' order by word.pos) as t from word left join gone using (doc_id, pos) where gone.pos is null group by word.doc_id)
 select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(coalesce(g.n, 0) as bigint) as n_removed, sha256(coalesce(kept.t, '')) as kept_sha256
 from d left join kept using (doc_id) left join (select doc_id, count(*) as n from gone group by doc_id) g using (doc_id)
+""",
+    "op10_sharding": f"""
+with t as (select [{", ".join(map(str, sharding.fill()))}] as owner),
+d as (select doc_id, source, length(text) as n_chars, cast(cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 15) as bigint) % {sharding.SLOTS} as int) as slot from documents)
+select doc_id, source, n_chars, slot, 'shard-' || lpad(cast(owner[slot + 1] as varchar), 3, '0') as shard from d, t
 """,
 }

@@ -12,7 +12,7 @@ empty table gives no rows; other columns are passed through, and a column of the
 from __future__ import annotations
 
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Slots, a prime well over 100 times the number of shards.
@@ -41,12 +41,18 @@ def fill(shards=SHARDS, slots: int = SLOTS, weights: dict[str, int] | None = Non
     return owner
 
 
+def slot_of(key: Column, slots: int = SLOTS) -> Column:
+    """The first 60 bits of the MD5 of a key as text, modulo the slots: any engine can work it out."""
+    digest = F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary"))
+    return F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), F.lit(slots)).cast("int")
+
+
 def shard(rows: DataFrame, key_col: str = "doc_id", shards=SHARDS, slots: int = SLOTS, weights: dict[str, int] | None = None) -> DataFrame:
     """rows with slot (int) and shard (its name)."""
     spark = rows.sparkSession
     names = F.array(*[F.lit(s) for s in shards])
     table = spark.createDataFrame(list(enumerate(fill(shards, slots, weights))), "slot int, shard_no int").select("slot", F.element_at(names, F.col("shard_no") + 1).alias("shard"))
-    place = F.pmod(F.xxhash64(F.coalesce(F.col(key_col).cast("string"), F.lit(""))), F.lit(slots)).cast("int")
+    place = slot_of(F.col(key_col), slots)
     kept = rows.drop(*[c for c in ("slot", "shard") if c != key_col])
     # The table has `slots` rows, whatever the input's size.
     return kept.withColumn("slot", place).join(F.broadcast(table), "slot")

@@ -1,3 +1,4 @@
+import hashlib
 from collections import Counter
 
 import pytest
@@ -37,6 +38,7 @@ def test_rows_are_placed_by_key(spark):
     owner = sharding.fill()
     assert len(rows) == 2 * len(AWKWARD)
     assert all(r.shard == sharding.SHARDS[owner[r.slot]] for r in rows)
+    assert all(r.slot == int(hashlib.md5(str(r.doc_id).encode()).hexdigest()[:15], 16) % sharding.SLOTS for r in rows)
     assert len({(r.doc_id, r.shard) for r in rows}) == len(AWKWARD)
     by_null = sharding.shard(docs.limit(2).selectExpr("cast(null as long) as doc_id")).collect()
     assert len({r.shard for r in by_null}) == 1
