@@ -33,6 +33,11 @@ def _own(spark: SparkSession) -> str:
     return f"factloom-{spark.sparkContext.applicationId}-"
 
 
+def let_go(spark: SparkSession) -> None:
+    """Asks the driver to collect its garbage now: Spark deletes the shuffle files of plans that nothing holds any more, which else stay on the executors' disks for long."""
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Rows of a few numbers that one file holds with ease.
 FILE_ROWS = 200_000
 

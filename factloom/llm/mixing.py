@@ -100,8 +100,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: float = 3, block: int = 64, buck
 
 
 def row_hashes(seed: int) -> tuple[Column, Column]:
-    """Two hashes that tell the rows apart; the first gives their order in the streams."""
-    return F.xxhash64(F.col("doc_id"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")), F.lit(seed)).alias("h"), F.xxhash64(F.col("text"), F.lit(seed), F.col("doc_id")).alias("h2")
+    """Two 60-bit numbers, of the MD5 of id, seed and text, that tell the rows apart; the first gives their order in the streams. Any engine can work them out."""
+    digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f"|{seed}|"), F.coalesce("text", F.lit(""))).cast("binary"))
+    part = lambda at, name: F.conv(F.substring(digest, at, 15), 16, 10).cast("long").alias(name)
+    return part(1, "h"), part(16, "h2")
 
 
 def placed_rows(docs: DataFrame, weights, most: float, block: int, buckets: int, seed: int) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import short, written
+from .common import let_go, short, written
 from .words import Words, groups, xxh64
 
 WINDOW, PREFIX, CROWD = 50, 16, 96
@@ -272,9 +272,11 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX
     trees = F.ceil(F.count("*") / F.lit(float(crowd))).cast("int").alias("trees")
     shared = every.groupBy("key").agg(F.min("ord").alias("least"), F.max("ord").alias("most"), trees).where("least < most").select("key", "trees")
     again = written(copies(docs))
+    let_go(docs.sparkSession)
     wanted = salted_join(every, shared, ["key"]).groupBy("ord", "digest").agg(F.collect_set(F.struct("key", "trees")).alias("keys")).join(again, ["ord", "digest"], "left_anti")
     found = suffixes(rows.join(wanted, ["ord", "digest"]).select("ord", "digest", "text", "keys"), window, prefix)
     inside = written(subtree_repeats(found.repartition("key", "tree").sortWithinPartitions("key", "tree"), window))
+    let_go(docs.sparkSession)
     # The prefix grown to the whole window: of each, the first of each tree.
     windows = inside.select("ord", "digest", "anchors", F.explode(F.arrays_zip("keys", "offsets")).alias("w")).select("ord", "digest", "anchors", F.col("w.keys").alias("key"), F.col("w.offsets").alias("offset"))
     least = windows.groupBy("key").agg(F.min("ord").alias("least"), F.max("ord").alias("most")).where("least < most").select("key", "least")
