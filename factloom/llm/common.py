@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -34,7 +35,8 @@ def _own(spark: SparkSession) -> str:
 
 
 def let_go(spark: SparkSession) -> None:
-    """Asks the driver to collect its garbage now: Spark deletes the shuffle files of plans that nothing holds any more, which else stay on the executors' disks for long."""
+    """Collects the driver's garbage now, Python's and then the JVM's: Spark deletes the shuffle files of plans that nothing holds any more, which else stay on the executors' disks for long."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
