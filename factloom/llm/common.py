@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,8 +37,10 @@ def _own(spark: SparkSession) -> str:
 
 def let_go(spark: SparkSession) -> None:
     """Collects the driver's garbage now, Python's and then the JVM's: Spark deletes the shuffle files of plans that nothing holds any more, which else stay on the executors' disks for long."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what Python lets go in the first round, the JVM finds in the second
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 #: Rows of a few numbers that one file holds with ease.

@@ -251,7 +251,7 @@ def subtree_repeats(found: DataFrame, window: int, most: int = 16 << 20) -> Data
     return found.mapInArrow(run, REPEATS)
 
 
-def salted_join(rows: DataFrame, one: DataFrame, keys: list[str], salts: int = 16) -> DataFrame:
+def salted_join(rows: DataFrame, one: DataFrame, keys: list[str], salts: int = 6) -> DataFrame:
     """rows joined with `one`, which has a row for each key at most: each key's rows are dealt to `salts` tasks, by their own values, and its row of `one` to each of them."""
     salt = F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).alias("salt")
     return rows.select("*", salt).join(one.select("*", F.explode(F.array(*[F.lit(k).cast("long") for k in range(salts)])).alias("salt")), [*keys, "salt"]).drop("salt")
@@ -271,7 +271,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX
     every = written(prefixes(rows, window, prefix))
     trees = F.ceil(F.count("*") / F.lit(float(crowd))).cast("int").alias("trees")
     shared = every.groupBy("key").agg(F.min("ord").alias("least"), F.max("ord").alias("most"), trees).where("least < most").select("key", "trees")
-    again = written(copies(docs))
+    again = written(copies(docs), docs.count())
     let_go(docs.sparkSession)
     wanted = salted_join(every, shared, ["key"]).groupBy("ord", "digest").agg(F.collect_set(F.struct("key", "trees")).alias("keys")).join(again, ["ord", "digest"], "left_anti")
     found = suffixes(rows.join(wanted, ["ord", "digest"]).select("ord", "digest", "text", "keys"), window, prefix)
