@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import mixing, packing, simhash, substrings, toxicity
+from factloom.llm import copies, mixing, packing, substrings, toxicity
 from factloom.llm.common import table, written
 from factloom.llm.queries import tokenizer_file
 
@@ -20,8 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one of smallest doc_id."""
-    return simhash.deduplicate(docs)
+    """One document of each group of near duplicates (five-word shingles, Jaccard similarity 0.8 or more): the one of smallest doc_id."""
+    return copies.deduplicate(docs)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
