@@ -1,6 +1,6 @@
 """Toxicity: nearest labelled examples by exact TF-IDF cosine, over a block-max inverted index.
 
-Fitting: of the labelled documents that are not held out, a sample of `sample` (those of least hash) are the examples, and they alone, near copies once, say
+Fitting: of the labelled documents that are not held out, a sample of `sample` (those of least hash) are the examples, and they alone, those of equal term sets once, say
 which terms tell the labels apart: the `vocabulary` terms of highest chi-square, among those whose share of toxic examples is at least `lift` times,
 or at most 1 / lift times, the whole share. Document frequencies of these terms are counted over all documents. Both bounds are parameters, and what the driver holds and
 broadcasts is bounded by them: the examples' vectors over the vocabulary.
@@ -45,9 +45,9 @@ def fold_of(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
 
 
-def family(terms: set[str]) -> int:
-    """A number that near copies mostly share: the least hash of their longer terms."""
-    return min(map(xxhash.xxh3_64_intdigest, [t for t in terms if len(t) > 6] or terms), default=0) >> 1
+def family(terms: set[str]) -> bytes:
+    """What texts of the same terms share, and no others: a 128-bit digest of the sorted terms."""
+    return xxhash.xxh3_128_digest(" ".join(sorted(terms)))
 
 
 class Index:
@@ -128,10 +128,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 16_384, vocabulary: in
     def families(batches):
         for batch in short(batches):
             found = [set(terms_of(text)) for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([family(f) for f in found], pa.int64()), pa.array([list(f) for f in found], pa.list_(pa.string()))], names=["toxic", "family", "terms"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([family(f) for f in found], pa.binary()), pa.array([list(f) for f in found], pa.list_(pa.string()))], names=["toxic", "family", "terms"])
 
     # Copies count once for each label, or whatever words they happen to share would tell the labels apart.
-    single = written(rows.select("toxic", "text").mapInArrow(families, "toxic int, family long, terms array<string>").dropDuplicates(["family", "toxic"]))
+    single = written(rows.select("toxic", "text").mapInArrow(families, "toxic int, family binary, terms array<string>").dropDuplicates(["family", "toxic"]))
     n, n_toxic = single.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     base = n_toxic / n if n else 0.0
     a, both = F.col("a").cast("double"), F.col("df").cast("double")

@@ -81,3 +81,16 @@ def test_no_labels_and_no_documents(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.score for r in tx.score(documents(spark, AWKWARD), none).collect()} == {0.0}
     assert tx.score(documents(spark, []), none).count() == 0
+
+
+def test_documents_that_share_one_word_count_each(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(6))
+    texts = [f"commonword {word()} {word()} {word()} {'vile' if k % 5 == 0 else ''}" for k in range(300)]
+    texts += texts[:50]
+    labels = [(k, int(k % 300 % 5 == 0)) for k in range(350)]
+    terms, index = tx.fit(documents(spark, texts), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    fitted = [k for k, _ in labels if zlib.crc32(str(k).encode()) % 5]
+    sets = {(frozenset(tx.terms_of(texts[k])), labels[k][1]) for k in fitted}
+    assert index.base == sum(y for _, y in sets) / len(sets) and "vile" in terms
+    assert tx.family({"a", "b"}) == tx.family({"b", "a"}) != tx.family({"a", "c"})
