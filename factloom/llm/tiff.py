@@ -17,7 +17,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -77,74 +76,94 @@ def pack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
+#: Codes of LZW, as values of the format: 256 clears the table, 257 ends the data; codes have 9 to 12 bits.
+CLEAR, END, WIDEST = 256, 257, 12
+SINGLE = [bytes([i]) for i in range(256)]
+
+
+def code_widths(n: int) -> np.ndarray:
+    """Bits of the first n codes after a clear: the k-th is read with 257 + k table entries, and widths grow one entry early."""
+    entries = np.arange(n) + 257
+    return np.minimum(9 + (entries >= 511) + (entries >= 1023) + (entries >= 2047), WIDEST)
+
+
+WIDTHS = code_widths(4096)
+
+
+def read_codes(data: bytes) -> Iterator[list[int]]:
+    """The codes of LZW data, most significant bit first: one list for each stretch between clears. What follows the end is left."""
+    bits = np.frombuffer(data + bytes(4), np.uint8).astype(np.uint32)
+    at, end = 0, 8 * len(data)
+    while at + 9 <= end:
+        found, rest = [], WIDTHS
+        while True:  # a table that is never cleared goes on with the widest codes
+            places = at + np.append(0, np.cumsum(rest))
+            rest = rest[: int(np.searchsorted(places[1:], end, side="right"))]
+            places = places[: len(rest)]
+            first = places >> 3
+            window = bits[first] << 16 | bits[first + 1] << 8 | bits[first + 2]
+            codes = window >> (24 - (places & 7) - rest).astype(np.uint32) & ((1 << rest) - 1).astype(np.uint32)
+            stop = np.flatnonzero((codes == CLEAR) | (codes == END))
+            if len(stop):
+                upto = int(stop[0])
+                found += codes[:upto].tolist()
+                at = end if codes[upto] == END else int(places[upto] + rest[upto])
+                break
+            found += codes.tolist()
+            at = int(places[-1] + rest[-1]) if len(rest) else end
+            if at + WIDEST > end:
+                at = end
+                break
+            rest = np.full(4096, WIDEST)
+        yield found
+
+
 def unpack_lzw(data: bytes) -> bytes:
-    """Variable-width codes of 9 to 12 bits, most significant bit first; 256 clears, 257 ends; widths grow one code early."""
-    table: list[bytes] = [bytes([i]) for i in range(256)] + [b"", b""]
-    out, held, bits, width, last = [], 0, 0, 9, b""
-    entries = table[:]
-    for byte in data:
-        held, bits = held << 8 | byte, bits + 8
-        if bits < width:
-            continue
-        bits -= width
-        code = held >> bits
-        held &= (1 << bits) - 1
-        if code == 257:
-            break
-        if code == 256:
-            entries, width, last = table[:], 9, b""
-            continue
-        if not last:
-            word = entries[code]
-        else:
-            word = entries[code] if code < len(entries) else last + last[:1]
-            entries.append(last + word[:1])
-        out.append(word)
-        last = word
-        if len(entries) >= (1 << width) - 1 and width < 12:
-            width += 1
+    """Variable-width codes: each stands for a string of the table, and each but the first adds one: the last string and the first byte of this one."""
+    out = []
+    for codes in read_codes(data):
+        table, last = [*SINGLE, b"", b""], b""
+        for code in codes:
+            if code < len(table):
+                word = table[code]
+                if last and len(table) < 4096:
+                    table.append(last + word[:1])
+            elif code == len(table) and last:
+                word = last + last[:1]
+                table.append(word)
+            else:
+                raise ValueError("LZW code out of range")
+            out.append(word)
+            last = word
     return b"".join(out)
 
 
 def pack_lzw(data: bytes) -> bytes:
-    """The inverse of unpack_lzw."""
-    out, held, bits = bytearray(), 0, 0
-    codes: dict[bytes, int] = {}
-    width, following, word = 9, 258, b""
-
-    def put(code: int) -> None:
-        nonlocal held, bits
-        held, bits = held << width | code, bits + width
-        while bits >= 8:
-            bits -= 8
-            out.append(held >> bits)
-            held &= (1 << bits) - 1
-
-    find = lambda w: w[0] if len(w) == 1 else codes[w]
-    put(256)
-    for i in range(len(data)):
-        longer = word + data[i : i + 1]
-        if len(longer) == 1 or longer in codes:
-            word = longer
-            continue
-        put(find(word))
-        codes[longer] = following
-        following += 1
-        if following == (1 << width) and width < 12:
-            width += 1
-        if following == 4095:
-            put(256)
-            codes, width, following = {}, 9, 258
-        word = longer[-1:]
-    if word:
-        put(find(word))
-        following += 1
-        if following == (1 << width) and width < 12:
-            width += 1
-    put(257)
-    if bits:
-        out.append(held << (8 - bits) & 255)
-    return bytes(out)
+    """The inverse of unpack_lzw. The table is cleared before it is full."""
+    codes, widths, begun = [CLEAR], [9], 1
+    if data:
+        table: dict[int, int] = {}
+        get, word, following = table.get, data[0], 258
+        for byte in data[1:]:
+            code = get(word << 8 | byte)
+            if code is not None:
+                word = code
+                continue
+            codes.append(word)
+            table[word << 8 | byte] = following
+            following += 1
+            word = byte
+            if following == 4094:
+                codes.append(CLEAR)
+                widths += WIDTHS[: len(codes) - begun].tolist()
+                begun, following = len(codes), 258
+                table.clear()
+        codes.append(word)
+    codes.append(END)
+    widths += WIDTHS[: len(codes) - begun].tolist()
+    width = np.array(widths)
+    bits = np.array(codes)[:, None] >> (width[:, None] - 1 - np.arange(WIDEST)).clip(0) & 1
+    return np.packbits(bits[np.arange(WIDEST) < width[:, None]].astype(np.uint8)).tobytes()
 
 
 UNPACK = {STORED: bytes, PACKBITS: unpack_bits, LZW: unpack_lzw, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress}
@@ -312,27 +331,36 @@ def payload(text: str | None) -> bytes:
     return raw + b"\0" * (-len(raw) % 64 or 64 * (not raw))
 
 
+#: How texts are stored: each codec with each predictor, in strips and in tiles.
+FORMS = [(codec, predictor, tiled) for codec in (PACKBITS, LZW, DEFLATE) for predictor in (1, 2) for tiled in (False, True)]
+
+
+def form_of(data: bytes) -> tuple[int, int, bool]:
+    """Codec, predictor and layout of a payload: by its CRC-32, whatever its size."""
+    return FORMS[zlib.crc32(data) % len(FORMS)]
+
+
 def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 64, page_rows: int = 1024) -> DataFrame:
     """(id, n_bytes, content): each text as a TIFF file of 8-bit pages, `width` samples wide.
 
-    A page has up to `page_rows` rows, so a long text has several. Codec and predictor follow from the number of rows,
-    so that all the codecs of a compressed file are written and read: LZW for pages of up to 4 rows, PackBits for up to 8, deflate beyond.
+    A page has up to `page_rows` rows, so a long text has several. Codec, predictor and strips or tiles follow from the payload's CRC-32,
+    so that texts of all sizes go through each of them.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        for batch in short(batches):
+        for batch in short(batches, 64):
             sizes, files = [], []
             for text in batch.column(1):
                 text = text.as_py()
                 data = payload(text)
                 sizes.append(len((text or "").encode()))
                 image_rows = np.frombuffer(data, np.uint8).reshape(-1, width)
-                n = len(image_rows)
-                codec = LZW if n <= 4 else PACKBITS if n <= 8 else DEFLATE
-                files.append(encode([image_rows[a : a + page_rows] for a in range(0, n, page_rows)], codec, 1 if codec == PACKBITS else 2))
-            for a in range(0, len(files), 256):
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a : a + 256], pa.array(sizes[a : a + 256], pa.int64()), pa.array(files[a : a + 256], pa.binary())], names=[id_col, "n_bytes", "content"])
+                codec, predictor, tiled = form_of(data)
+                # Tiles are 16 rows high and more, by 16; half a page wide.
+                tile = (min(256, -(-len(image_rows) // 16) * 16), max(16, width // 32 * 16)) if tiled else None
+                files.append(encode([image_rows[a : a + page_rows] for a in range(0, len(image_rows), page_rows)], codec, predictor, tile=tile))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(files, pa.binary())], names=[id_col, "n_bytes", "content"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, content binary")
 
@@ -340,13 +368,20 @@ def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
 def round_trip(docs: DataFrame) -> DataFrame:
     """Stores each text as TIFF, reads the stored bytes back and describes what was read: one row per document."""
     read = pages(stored(docs), keep=("n_bytes", "content"), nested=True)
-    samples = F.aggregate("pages", F.lit(b"").cast("binary"), lambda all_, p: F.concat(all_, p["samples"]))
-
-    @F.pandas_udf("string")
-    def features(column: pd.Series) -> pd.Series:
-        return column.map(feature)
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    return read.withColumn("payload", samples).select(
+    def run(batches):
+        for batch in short(batches, 64):
+            payloads = [b"".join(p["samples"] for p in row.as_py()) for row in batch.column(3)]
+            counts = [len(row) for row in batch.column(3)]
+            codecs = [CODEC_NAMES[row[0]["codec"].as_py()] for row in batch.column(3)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array(payloads, pa.binary()), pa.array([feature(p) for p in payloads]), pa.array(counts, pa.int32()), pa.array(codecs, pa.string())],
+                names=["doc_id", "n_bytes", "content", "payload", "feature", "n_pages", "codec"],
+            )
+
+    described = read.mapInArrow(run, f"doc_id {kind}, n_bytes long, content binary, payload binary, feature string, n_pages int, codec string")
+    return described.select(
         "doc_id",
         "n_bytes",
         F.octet_length("payload").cast("long").alias("payload_bytes"),
@@ -354,11 +389,15 @@ def round_trip(docs: DataFrame) -> DataFrame:
         F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"),
         F.octet_length("content").cast("long").alias("media_bytes"),
         F.sha2("content", 256).alias("media_sha256"),
-        features("payload").alias("feature"),
-        F.size("pages").alias("n_pages"),
+        "feature",
+        "n_pages",
+        "codec",
     )
 
 
+CODEC_NAMES = {PACKBITS: "packbits", LZW: "lzw", DEFLATE: "deflate"}
+
+
 def feature(samples: bytes) -> str:
     """Mean, deviation and mean step between neighbours of the samples, then their shares in 8 equal ranges, in thousandths."""
     v = np.frombuffer(samples, np.uint8)

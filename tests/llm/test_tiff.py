@@ -63,8 +63,47 @@ def test_big_endian_16_bit_page():
     assert np.frombuffer(page[8], "<u2").tolist() == [1, 300, 65535, 2]
 
 
+def test_foreign_lzw_and_packbits():
+    """Worked by hand from the format's text: its PackBits example; LZW codes written bit by bit, with a code for the string just being made, and with tables that no clear ends."""
+    packed = bytes.fromhex("FEAA0280002AFDAA0380002A22F7AA")
+    assert tiff.unpack_bits(packed) == bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22AAAAAAAAAAAAAAAAAAAA")
+
+    def written(codes):
+        out, entries, first = "", 258, True
+        for code in codes:
+            width = 9 if entries < 511 else 10 if entries < 1023 else 11 if entries < 2047 else 12
+            out += format(code, f"0{width}b")
+            if code == 256:
+                entries, first = 258, True
+            elif first:
+                first = False
+            else:
+                entries += 1
+        out += "0" * (-len(out) % 8)
+        return bytes(int(out[i : i + 8], 2) for i in range(0, len(out), 8))
+
+    assert tiff.unpack_lzw(written([256, 7, 258, 8, 8, 258, 6, 6, 257])) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
+    assert tiff.unpack_lzw(written([256, 65, 258, 259, 260, 257])) == b"A" * 10
+    assert tiff.unpack_lzw(written([256, 1, 2, 256, 256, 3, 257, 99])) == bytes([1, 2, 3])
+    plain = [k % 251 for k in range(6000)]
+    assert tiff.unpack_lzw(written([256, *plain, 257])) == bytes(plain)
+    with pytest.raises(ValueError):
+        tiff.unpack_lzw(written([256, 7, 300, 257]))
+
+
+def test_form_does_not_follow_size(spark):
+    """Every codec, predictor and layout gets its share of short and of long texts, and of the bytes."""
+    texts = [f"{k} " + "some words of text " * (1 if k % 2 else 400) for k in range(240)]
+    for kind in (texts[::2], texts[1::2]):
+        assert {tiff.form_of(tiff.payload(t)) for t in kind} == set(tiff.FORMS)
+    size = {}
+    for r in tiff.round_trip(documents(spark, texts)).collect():
+        size[r.codec] = size.get(r.codec, 0) + r.payload_bytes
+    assert set(size) == {"packbits", "lzw", "deflate"} and all(n > sum(size.values()) / 5 for n in size.values())
+
+
 def test_texts_survive_storage(spark):
-    texts = [*AWKWARD, "long " * 40_000]
+    texts = [*AWKWARD, "long " * 40_000, *[f"{k} " + "seventeen long pages " * 50_000 for k in range(6)]]
     for r in tiff.round_trip(documents(spark, texts)).collect():
         raw = (texts[r.doc_id] or "").encode()
         data = raw + b"\0" * (-len(raw) % 64 or (0 if raw else 64))
