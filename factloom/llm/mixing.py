@@ -6,12 +6,15 @@ weights of the sources map that point to a source. The slots of a source are ran
 block r of its source's stream: slots and blocks join on (source, rank). The stream wraps round, so a source that is
 wanted more than once is repeated whole before any part of it is taken again. The last block stops at the target.
 
-No step holds a source in one task: running totals within a source (or within its slots) are made of two parts, a
-total by hash bucket and a running sum within the bucket.
+The schedule says where in the mix a document's words stand: `mix` gives each document's first slot and number of slots, and `mixed`
+gives the rows in the order of the slots at which they begin. A source that got fewer slots than it has blocks would be an error, and is raised as one.
 
-Defined cases: null text counts 0 words and is taken 0 times; a null source is a source of its own, ordered last;
-repeated rows are separate documents; ties in hash order are broken by the row's columns, and rows equal in all of
-them are interchangeable; an empty table gives an empty mix; other columns do not matter and are not read.
+Points, bounds and ranks are whole numbers, so any engine finds the same. A hashed order is cut into as many ranges as the number of rows asks for, and running totals within a
+source (or within its slots) are made of two parts: a running sum of the ranges' totals, and one within each range. So the most that one task sees of a source is a range, or one number for each of its ranges.
+
+Defined cases: null text counts 0 words and is taken 0 times (first slot null); a null source is a source of its own, ordered last;
+repeated rows are separate documents; ties in hash order are broken by the row's columns, and rows equal in id, source and text are interchangeable in `mix`;
+in `mixed` their copies are counted together and made from the one whose further columns hash least; an empty table gives an empty mix; other columns do not matter and are not read.
 """
 
 from __future__ import annotations
@@ -57,8 +60,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most: float = 3) -> DataFrame:
     return rows.withColumn("target", F.when(F.col("full"), F.col("cap")).otherwise(F.col("weight") * rest)).drop("level", "full")
 
 
-def schedule(plan: DataFrame, block: int) -> DataFrame:
-    """plan: (source_no, blocks), the blocks each source needs -> (source_no, rank) of every slot.
+def schedule(plan: DataFrame) -> DataFrame:
+    """plan: (source_no, blocks), the blocks each source needs -> (source_no, rank, slot) of every slot that a block takes.
 
     A golden-ratio sequence of n points leaves an interval within a few points of its share, so each source gets
     a few blocks of margin, and the slots after its last block stay unused.
@@ -66,49 +69,61 @@ def schedule(plan: DataFrame, block: int) -> DataFrame:
     spark = plan.sparkSession
     need = plan.agg(F.sum("blocks"), F.count("*")).first()
     if not need[0]:
-        return spark.createDataFrame([], "source_no int, rank long")
-    margin = 3 + math.ceil(math.log2(need[0] + need[1] + 2))
+        return spark.createDataFrame([], "source_no int, rank long, slot long")
+    margin = margin_of(need[0], need[1])
     slots = int(need[0] + margin * need[1])
-    order = Window.orderBy("source_no")
-    span = plan.withColumn("want", (F.col("blocks") + margin).cast("long")).select(
-        "source_no",
-        "blocks",
-        (F.coalesce(F.sum("want").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) / F.lit(float(slots))).alias("low"),
-        (F.sum("want").over(order) / F.lit(float(slots))).alias("high"),
-    )
-    cells = span.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") * CELLS), F.least(F.floor(F.col("high") * CELLS), F.lit(CELLS - 1)))))
-    point = (F.col("id") % PHI_DENOMINATOR * PHI_NUMERATOR % PHI_DENOMINATOR) / F.lit(float(PHI_DENOMINATOR))
-    # Consecutive slots form a bucket; the number of buckets grows with the slots, a bucket's rows do not.
-    run = 1 << 12
-    points = spark.range(slots).select("id", point.alias("point"), F.floor(point * CELLS).alias("cell"), (F.col("id") / run).cast("long").alias("bucket"))
-    dealt = points.join(cells, "cell").where((F.col("point") >= F.col("low")) & (F.col("point") < F.col("high"))).select("source_no", "blocks", "bucket", "id")
-    counts = dealt.groupBy("source_no", "bucket").agg(F.count("*").alias("n"))
-    sums = Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("source_no", "bucket", F.coalesce(F.sum("n").over(sums), F.lit(0)).alias("from"))
-    within = Window.partitionBy("source_no", "bucket").orderBy("id")
-    ranked = dealt.withColumn("k", F.row_number().over(within) - 1).join(starts, ["source_no", "bucket"])
-    return ranked.select("source_no", (F.col("from") + F.col("k")).alias("rank"), "blocks").where(F.col("rank") < F.col("blocks")).drop("blocks")
-
-
-def mix(docs: DataFrame, weights=WEIGHTS, most: float = 3, block: int = 64, buckets: int = 256, seed: int = 7) -> DataFrame:
-    """doc_id, size, source_size, target and taken for each row of docs (doc_id, text, source).
+    # A source has the points from `low` up to below `high`, in units of the denominator.
+    want = F.col("blocks").cast("decimal(38,0)") + F.lit(margin)
+    upto = F.sum(want).over(Window.orderBy("source_no"))
+    bound = lambda part: F.expr("cast(%s * %d div %d as long)" % (part, PHI_DENOMINATOR, slots))
+    span = plan.withColumn("upto", upto.cast("decimal(28,0)")).withColumn("wanted", want.cast("decimal(28,0)"))
+    span = span.select("source_no", "blocks", bound("(upto - wanted)").alias("low"), bound("upto").alias("high"))
+    cell = PHI_DENOMINATOR // CELLS + 1
+    cells = span.where("low < high").withColumn("cell", F.explode(F.sequence(F.expr(f"low div {cell}"), F.expr(f"(high - 1) div {cell}"))))
+    point = F.col("id") % PHI_DENOMINATOR * PHI_NUMERATOR % PHI_DENOMINATOR
+    # Consecutive slots form a run; runs grow as the root of the slots, so that a run's rows and a source's runs stay few.
+    run = max(1 << 12, math.isqrt(slots))
+    points = spark.range(slots).select("id", point.alias("point"), F.expr(f"id div {run}").alias("run")).withColumn("cell", F.expr(f"point div {cell}"))
+    dealt = points.join(cells, "cell").where("point >= low and point < high").select("source_no", "blocks", "run", "id")
+    counts = dealt.groupBy("source_no", "run").agg(F.count("*").alias("n"))
+    sums = Window.partitionBy("source_no").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("source_no", "run", F.coalesce(F.sum("n").over(sums), F.lit(0)).alias("from"))
+    within = Window.partitionBy("source_no", "run").orderBy("id")
+    ranked = dealt.withColumn("k", F.row_number().over(within) - 1).join(starts, ["source_no", "run"])
+    return ranked.withColumn("rank", F.col("from") + F.col("k")).where("rank < blocks").select("source_no", "rank", F.col("id").alias("slot"))
+
+
+def margin_of(blocks: int, sources: int) -> int:
+    """Slots that each source gets over its blocks: for the discrepancy, and for bounds rounded to the denominator."""
+    return 3 + math.ceil(math.log2(blocks + sources + 2)) + 2 * (blocks // PHI_DENOMINATOR)
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, most: float = 3, block: int = 64, seed: int = 7) -> DataFrame:
+    """doc_id, size, source_size, target, taken, first_slot and n_slots for each row of docs (doc_id, text, source).
 
     taken is the number of words that the mix takes from the document, repeats counted; it lies within
-    `most` times its size. A source's taken words are its target, rounded down.
+    `most` times its size. A source's taken words are its target, rounded down. n_slots counts a slot once for each copy of the document in it.
     """
-    return placed_rows(docs, weights, most, block, buckets, seed).select("doc_id", "size", "source_size", "target", "taken")
+    return placed_rows(docs, weights, most, block, seed).select("doc_id", "size", "source_size", "target", "taken", F.get("slots", F.lit(0)).alias("first_slot"), "n_slots")
 
 
 def row_hashes(seed: int) -> tuple[Column, Column]:
-    """Two 60-bit numbers, of the MD5 of id, seed and text, that tell the rows apart; the first gives their order in the streams. Any engine can work them out."""
-    digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f"|{seed}|"), F.coalesce("text", F.lit(""))).cast("binary"))
+    """Two 60-bit numbers, of the MD5 of id, seed, source and text, that tell the rows apart; the first gives their order in the streams. Any engine can work them out."""
+    source = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
+    digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f"|{seed}|"), source, F.lit("|"), F.coalesce("text", F.lit(""))).cast("binary"))
     part = lambda at, name: F.conv(F.substring(digest, at, 15), 16, 10).cast("long").alias(name)
     return part(1, "h"), part(16, "h2")
 
 
-def placed_rows(docs: DataFrame, weights, most: float, block: int, buckets: int, seed: int) -> DataFrame:
-    """What mix returns, with the rows' hashes."""
-    rows = written(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), *row_hashes(seed))).withColumn("bucket", F.pmod(F.shiftrightunsigned("h", 32), F.lit(buckets)).cast("int"))
+#: Rows that a range of a source's hashed order holds, about.
+RANGE_ROWS = 1 << 14
+
+
+def placed_rows(docs: DataFrame, weights, most: float, block: int, seed: int) -> DataFrame:
+    """What mix needs, with the rows' hashes; slots: at which slot each copy of the document begins."""
+    rows = written(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), *row_hashes(seed)))
+    bits = min(24, max(6, (rows.count() // RANGE_ROWS).bit_length()))
+    rows = rows.withColumn("bucket", F.shiftrightunsigned("h", 60 - bits).cast("int"))
     totals = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     sources = totals.groupBy("source").agg(F.sum("bucket_size").alias("source_size"))
     plan = written(
@@ -138,31 +153,32 @@ def placed_rows(docs: DataFrame, weights, most: float, block: int, buckets: int,
         .withColumn("high", F.least(F.col("low") + F.col("size"), F.col("words")))
         .withColumn("rank", F.explode(F.sequence(F.floor(F.col("low") / block), F.floor((F.col("high") - 1) / block))))
         .select(
-            "source_no", "bucket", "row", "rank", (F.least("high", (F.col("rank") + 1) * block) - F.greatest("low", F.col("rank") * block)).alias("words_here")
+            "source_no", "bucket", "row", "round", "rank", (F.least("high", (F.col("rank") + 1) * block) - F.greatest("low", F.col("rank") * block)).alias("words_here")
         )
     )
-    slots = schedule(plan.select("source_no", "blocks"), block)
-    taken = stretch.join(slots, ["source_no", "rank"]).groupBy("source_no", "bucket", "row").agg(F.sum("words_here").alias("taken"))
+    slots = schedule(plan.select("source_no", "blocks"))
+    dealt = stretch.join(slots, ["source_no", "rank"], "left").withColumn("slot", F.coalesce("slot", F.raise_error(F.lit("the schedule leaves a block without a slot")).cast("long")))
+    copy = dealt.groupBy("source_no", "bucket", "row", "round").agg(F.sum("words_here").alias("taken"), F.min("slot").alias("slot"), F.count("*").alias("n_slots"))
+    # `most` + 1 copies at most.
+    taken = copy.groupBy("source_no", "bucket", "row").agg(F.sum("taken").alias("taken"), F.sort_array(F.collect_list("slot")).alias("slots"), F.sum("n_slots").alias("n_slots"))
     return placed.join(taken, ["source_no", "bucket", "row"], "left").select(
-        "doc_id", "h", "h2", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
+        "doc_id", "h", "h2", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("slots", F.array().cast("array<long>")).alias("slots"), F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots")
     )
 
 
-def mixed(docs: DataFrame, weights=WEIGHTS, most: float = 3, block: int = 64, buckets: int = 256, seed: int = 7) -> DataFrame:
-    """The mix itself: docs' rows (doc_id, text, source and others), each as often as the mix takes it whole, and the last of a source cut to the words taken, joined by one space.
+def mixed(docs: DataFrame, weights=WEIGHTS, most: float = 3, block: int = 64, seed: int = 7, position: str | None = None) -> DataFrame:
+    """The mix itself, in the order of its slots: docs' rows (doc_id, text, source and others), each as often as the mix takes it whole, and the last of a source cut to the words taken, joined by one space.
 
-    n_chars, where docs has it, follows the text.
+    n_chars, where docs has it, follows the text. position: name of a further column, the slot at which the row begins.
     """
-    taken = placed_rows(docs, weights, most, block, buckets, seed).where("taken > 0")
-    each = taken.groupBy("h", "h2").agg(
-        F.sum(F.floor(F.col("taken") / F.col("size"))).cast("int").alias("whole"), F.collect_list(F.when(F.col("taken") % F.col("size") > 0, (F.col("taken") % F.col("size")).cast("int"))).alias("parts")
-    )
+    taken = placed_rows(docs, weights, most, block, seed).where("taken > 0")
+    copies = F.transform("slots", lambda slot, k: F.struct(slot.alias("slot"), F.least("size", F.col("taken") - k * F.col("size")).cast("int").alias("words"), F.col("size").alias("of")))
+    each = taken.withColumn("copies", copies).groupBy("h", "h2").agg(F.flatten(F.collect_list("copies")).alias("copies"))
     h, h2 = row_hashes(seed)
     rows = docs.select(F.struct(*docs.columns).alias("row"), "text", h, h2)
-    # Rows equal in all their hashes are one text: their copies are counted together and made from the first.
-    once = rows.join(each, ["h", "h2"]).withColumn("n", F.row_number().over(Window.partitionBy("h", "h2").orderBy(F.lit(0)))).where("n = 1")
-    copies = F.concat(F.when(F.col("whole") > 0, F.array_repeat(F.lit(0), F.col("whole"))).otherwise(F.array().cast("array<int>")), F.col("parts"))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("cut")), " ")
-    out = once.withColumn("cut", F.explode(copies)).withColumn("text", F.when(F.col("cut") > 0, cut).otherwise(F.col("text")))
+    once = rows.join(each, ["h", "h2"]).withColumn("n", F.row_number().over(Window.partitionBy("h", "h2").orderBy(F.xxhash64("row")))).where("n = 1")
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("copy.words")), " ")
+    out = once.withColumn("copy", F.explode("copies")).withColumn("text", F.when(F.col("copy.words") < F.col("copy.of"), cut).otherwise(F.col("text")))
     own = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
-    return out.select(*[own.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+    ordered = out.orderBy("copy.slot", "h", "h2")
+    return ordered.select(*[own.get(c, F.col("row")[c]).alias(c) for c in docs.columns], *([F.col("copy.slot").alias(position)] if position else []))

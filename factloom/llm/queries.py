@@ -101,18 +101,28 @@ with t as (select [{", ".join(map(str, sharding.fill()))}] as owner),
 d as (select doc_id, source, length(text) as n_chars, cast(cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 15) as bigint) % {sharding.SLOTS} as int) as slot from documents)
 select doc_id, source, n_chars, slot, 'shard-' || lpad(cast(owner[slot + 1] as varchar), 3, '0') as shard from d, t
 """,
-    "op8_mixing": r"""
-with d as (select doc_id, source, cast(len(coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])) as bigint) as size, md5(coalesce(cast(doc_id as varchar), '') || '|7|' || coalesce(text, '')) as m from documents),
+    "op8_mixing": rf"""
+with d as (select doc_id, source, cast(len(coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])) as bigint) as size,
+  md5(coalesce(cast(doc_id as varchar), '') || '|7|' || coalesce('=' || source, '') || '|' || coalesce(text, '')) as m from documents),
 n as (select doc_id, source, size, cast('0x' || substr(m, 1, 15) as bigint) as h, cast('0x' || substr(m, 16, 15) as bigint) as h2 from d),
 s as (select source, cast(sum(size) as bigint) as l, row_number() over (order by source nulls last) as k from n group by source),
 w as (select *, 3.0::double * l as cap, case (k - 1) % 3 when 0 then 5.0::double when 1 then 2.0::double else 1.0::double end as weight from s),
 level as (select a.k, a.cap / a.weight as ratio, ((select sum(l) from w) - coalesce(sum(b.cap) filter (where b.cap / b.weight < a.cap / a.weight), 0)) / sum(b.weight) filter (where b.cap / b.weight >= a.cap / a.weight) as lam
   from w a cross join w b group by a.k, a.cap, a.weight),
 rest as (select arg_min(lam, ratio) as lam from level where lam < ratio),
-t as (select source, l, case when lam is null or cap <= lam * weight then cap else weight * lam end as target from w cross join rest),
-p as (select n.doc_id, n.size, n.source, t.l, t.target, cast(floor(t.target) as bigint) as words,
-  coalesce(cast(sum(n.size) over (partition by n.source order by (n.h >> 32) % 256, n.h, n.h2, n.doc_id, n.size rows between unbounded preceding and 1 preceding) as bigint), 0) as start
-  from n join t on n.source is not distinct from t.source)
-select doc_id, size, l as source_size, target, cast(case when l = 0 then 0 else words // l * size + greatest(0, least(size, words % l - start)) end as bigint) as taken from p
+t as (select source, k, l, case when lam is null or cap <= lam * weight then cap else weight * lam end as target from w cross join rest),
+u as (select *, cast(floor(target) as bigint) as words, (cast(floor(target) as bigint) + 63) // 64 as blocks from t),
+g as (select cast(sum(blocks) as bigint) as need, count(*) as ns, 3 + cast(ceil(log2(sum(blocks) + count(*) + 2)) as bigint) + 2 * (cast(sum(blocks) as bigint) // {mixing.PHI_DENOMINATOR}) as margin from u),
+lim as (select k, blocks, cast((sum(blocks + margin) over (order by k) - blocks - margin) * {mixing.PHI_DENOMINATOR} // (need + margin * ns) as bigint) as low,
+  cast(sum(blocks + margin) over (order by k) * {mixing.PHI_DENOMINATOR} // (need + margin * ns) as bigint) as high from u cross join g),
+pt as (select unnest(range(need + margin * ns)) as i from g),
+slot as (select k, i, row_number() over (partition by k order by i) - 1 as rank from (select i, i % {mixing.PHI_DENOMINATOR} * {mixing.PHI_NUMERATOR} % {mixing.PHI_DENOMINATOR} as p from pt) join lim on p >= low and p < high),
+p as (select row_number() over () as r, n.doc_id, n.size, u.k, u.l, u.target, u.words,
+  coalesce(cast(sum(n.size) over (partition by n.source order by n.h, n.h2, n.doc_id, n.size rows between unbounded preceding and 1 preceding) as bigint), 0) as start
+  from n join u on n.source is not distinct from u.source),
+c as (select r, k, c * l + start as low, least(c * l + start + size, words) as high from (select *, unnest(generate_series(0, (words - 1 - start) // l)) as c from p where size > 0 and words > start)),
+b as (select r, k, low, high, unnest(generate_series(low // 64, (high - 1) // 64)) as rank from c),
+x as (select r, cast(sum(least(high, (b.rank + 1) * 64) - greatest(low, b.rank * 64)) as bigint) as taken, min(i) as first_slot, count(*) as n_slots from b join slot on slot.k = b.k and slot.rank = b.rank group by r)
+select doc_id, size, l as source_size, target, coalesce(taken, 0) as taken, first_slot, coalesce(n_slots, 0) as n_slots from p left join x using (r)
 """,
 }
