@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,11 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local master gets a folder of its own; on a cluster it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share: intermediate tables are written there")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="factloom-"))
         found = spark.sparkContext.getCheckpointDir()
     return found
@@ -35,20 +35,14 @@ def _own(spark: SparkSession) -> str:
     return f"factloom-{spark.sparkContext.applicationId}-"
 
 
-def let_go(spark: SparkSession) -> None:
-    """Collects the driver's garbage now, Python's and then the JVM's: Spark deletes the shuffle files of plans that nothing holds any more, which else stay on the executors' disks for long."""
-    for _ in range(2):  # what Python lets go in the first round, the JVM finds in the second
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 #: Rows of a few numbers that one file holds with ease.
 FILE_ROWS = 200_000
+#: Spark's setting that deletes a query's shuffle files when the query ends, not when the driver happens to collect garbage.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def written(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back: its lineage ends there, and a lost executor costs nothing before it.
+    """df as a Parquet table in the shared folder, read back: its lineage ends there, and a lost executor costs nothing before it. The shuffle files that made it are let go.
 
     rows: about how many short rows there are, if that is known; a small table then becomes few files.
     """
@@ -56,8 +50,33 @@ def written(df: DataFrame, rows: int | None = None) -> DataFrame:
     if rows is not None:
         df = df.coalesce(min(shuffle_width(spark), rows // FILE_ROWS + 1))
     path = f"{shared_dir(spark)}/{_own(spark)}{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of written() that no later step reads."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def counted_join(rows: DataFrame, one: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """rows joined with `one`, which has a row for each key at most and in `n` the number of rows with that key; total: all rows.
+
+    A key with over 1 / (8 * shuffle width) of all rows would burden one task: there are fewer than 8 * width of these, so their rows of `one` are broadcast, and rows with those keys are not moved.
+    All other keys are joined by a shuffle. Both tables are read twice, so they should be written ones.
+    """
+    most = 8 * shuffle_width(rows.sparkSession)
+    hot = F.broadcast(one.where(F.col("n") * most > total).drop("n"))
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(one.where(F.col("n") * most <= total).drop("n"), keys))
 
 
 def short(batches, rows: int = 256):

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let_go, short, written
+from .common import dropped, short, written
 from .simhash import components
 from .words import Words, groups, xxh64
 
@@ -122,7 +122,6 @@ def deduplicate(docs: DataFrame, least: Fraction = Fraction(4, 5), shingle: int
     posted = found.select("sid", "n", F.posexplode("tokens").alias("at", "token"))
     met = posted.withColumn("hub", F.min("sid").over(token)).withColumn("end", F.max("sid").over(token)).where("hub < end")
     met = written(met.select("token", "hub", "sid", "n", "at").dropDuplicates(["token", "sid"]))
-    let_go(spark)
 
     def row_key(id_col, digest):
         return [F.coalesce(id_col, F.lit(0)).alias("_id"), id_col.isNull().alias("_null"), digest.alias("_digest")]
@@ -135,7 +134,6 @@ def deduplicate(docs: DataFrame, least: Fraction = Fraction(4, 5), shingle: int
     stars = written(met.where("sid != hub").select(F.col("sid").alias("u"), F.col("hub").alias("v")).distinct())
     links = written(verified(stars, texts, least, shingle, seed))
     root = components(links)
-    let_go(spark)
 
     rooted = met.join(root.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     open_ = rooted.withColumn("low", F.min("root").over(token)).withColumn("high", F.max("root").over(token)).where("low < high").select("token", "sid", "n", "at", "root")
@@ -148,7 +146,6 @@ def deduplicate(docs: DataFrame, least: Fraction = Fraction(4, 5), shingle: int
     pairs = written(pairs.join(stars, ["u", "v"], "left_anti"))
     more = written(verified(pairs, texts, least, shingle, seed))
     root = components(links.unionByName(more))
-    let_go(spark)
 
     stays = own.join(root, own.sid == root.node, "left").groupBy(F.coalesce("root", "sid").alias("root")).agg(F.min("first").alias("first"))
     keys = stays.select(*row_key(F.col("first.doc_id"), F.col("first.digest")))

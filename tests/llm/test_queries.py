@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.llm import queries
-from factloom.llm.common import forget_written, written
+from factloom.llm.common import counted_join, dropped, forget_written, shared_dir, written
 
 from .texts import AWKWARD, documents
 
@@ -42,6 +42,34 @@ def test_awkward_and_empty_tables(spark, folders, name):
     assert queries.QUERIES[name](spark, empty).collect() == []
 
 
+class Cluster:
+    """A session of a cluster without a shared folder."""
+
+    class conf:
+        get = staticmethod(lambda *_: None)
+
+    class sparkContext:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+        getConf = staticmethod(lambda: Cluster.conf)
+
+
+def test_cluster_without_a_shared_folder_is_an_error():
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Cluster)
+
+
+def test_counted_join(spark):
+    rows = written(spark.range(2000).selectExpr("if(id % 3 = 0, -1, id) as k", "id"))
+    one = written(rows.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("most")).where("k % 2 <> 0"))
+    got = counted_join(rows, one, ["k"], 2000)
+    assert sorted(map(tuple, got.collect())) == sorted((k, i, m) for k, i, m in rows.join(one, "k").select("k", "id", "most").collect())
+    assert one.where("n * 8 * 4 > 2000").count() == 1
+    dropped(rows)
+    with pytest.raises(Exception):
+        rows.collect()
+
+
 def test_written_tables_can_be_cleared(spark):
     df = written(spark.range(5).toDF("x"))
     assert df.count() == 5 and written(spark.range(0).toDF("x")).count() == 0
