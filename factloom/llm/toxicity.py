@@ -8,8 +8,8 @@ count: a term weighs log(documents / documents with it), counted over all docume
 toxic examples among those with the term, drawn to the whole share by `shrink` examples, lies from the whole share, plus `floor`; no term is left out, and the contrast does not grow with the sample.
 
 Scoring: a whole text's vector is compared with the examples by cosine. The index keeps, for each term, its examples in blocks of 64 and each block's largest weight.
-The blocks of highest bound are compared first; blocks whose bound is below the k-th cosine then cannot hold a nearer example and are left out (where few can be, all lists are added up
-at once), so the `k` nearest are exact; all that tie with the last of them vote too.
+The blocks of highest bound are compared first; blocks whose bound is below the k-th cosine then cannot hold a nearer example and are left out (a text in which no term stands out leaves
+almost none out, so its lists are added up at once), so the `k` nearest are exact; all that tie with the last of them vote too.
 Votes are weighted by 1 / (distance + 0.1) and mixed with `prior_votes` votes at the base rate; a text without any of the terms has the share of toxic examples among those without any.
 Last, a rising curve (isotonic regression) maps this share to a probability: it is fitted to the examples' own shares, each quarter of them voted on by an index of the others. The nearest examples are the evidence.
 
@@ -38,6 +38,8 @@ TERM = re.compile(r"[^\W\d_]+")
 BLOCK = 64
 FOLDS = 5
 STEM = 4
+#: The weight in a unit vector from which a term stands out. It changes the cost of a search, not its result.
+LEAD = 0.25
 
 
 def terms_of(text: str | None) -> list[str]:
@@ -123,9 +125,19 @@ class Index:
     def nearest(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Example numbers and cosines of the k nearest with a cosine over 0, and of those that tie with the last, nearest first.
 
-        The two most promising blocks give a first k-th cosine; blocks whose bound is below it are left out. Where most blocks are left, whole lists are added up instead.
+        A text with terms that stand out has few blocks that matter: the two most promising ones give a first k-th cosine, and blocks whose bound is below it are left out.
+        Where no term stands out, or few blocks can be left out, whole lists are added up instead.
         """
         terms, weights = self.vector(terms, counts)
+        cosine = self.by_blocks(terms, weights) if weights.max() >= LEAD else None
+        if cosine is None:
+            cosine = self.by_lists(terms, weights)
+        found = np.flatnonzero((cosine > 0) & (cosine >= self.kth(cosine) - 1e-12))
+        found = found[np.lexsort((found, -cosine[found]))]
+        return found, cosine[found]
+
+    def by_blocks(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray | None:
+        """Cosines of the examples in all blocks that can hold one of the nearest; None if these are over a quarter."""
         low, high = self.cells[terms].astype(np.int64), self.cells[terms + 1].astype(np.int64)
         cells, weight = spans(low, high), np.repeat(weights, high - low)
         block = self.cell_block[cells]
@@ -139,20 +151,17 @@ class Index:
 
         first = np.zeros(self.blocks, bool)
         first[np.argsort(-bound, kind="stable")[:2]] = True
-        least = self.kth(within(first))
-        alive = (bound > 0) & (bound >= least - 1e-9)
-        if alive.sum() * 4 <= self.blocks:
-            cosine = within(alive)
-        else:
-            row = self.row[terms]
-            few = np.flatnonzero(row == 0)
-            low, high = self.posted[self.cells[terms[few]]].astype(np.int64), self.posted[self.cells[terms[few] + 1]].astype(np.int64)
-            at = spans(low, high)
-            cosine = np.bincount(self.owner[at], np.repeat(weights[few], high - low) * self.weight[at], len(self.ids))
-            cosine = cosine + np.einsum("i,ij->j", weights[row > 0], self.full[row[row > 0]].astype(np.float64))
-        found = np.flatnonzero((cosine > 0) & (cosine >= self.kth(cosine) - 1e-12))
-        found = found[np.lexsort((found, -cosine[found]))]
-        return found, cosine[found]
+        alive = (bound > 0) & (bound >= self.kth(within(first)) - 1e-9)
+        return within(alive) if alive.sum() * 4 <= self.blocks else None
+
+    def by_lists(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Cosines of all examples."""
+        row = self.row[terms]
+        few = np.flatnonzero(row == 0)
+        low, high = self.posted[self.cells[terms[few]]].astype(np.int64), self.posted[self.cells[terms[few] + 1]].astype(np.int64)
+        at = spans(low, high)
+        cosine = np.bincount(self.owner[at], np.repeat(weights[few], high - low) * self.weight[at], len(self.ids))
+        return cosine + np.einsum("i,ij->j", weights[row > 0], self.full[row[row > 0]].astype(np.float64))
 
     def kth(self, cosine: np.ndarray) -> float:
         """The k-th largest, 0 if there are fewer."""
