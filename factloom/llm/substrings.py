@@ -133,15 +133,15 @@ def prefixes_of(rows: DataFrame, window: int, prefix: int) -> DataFrame:
     return rows.mapInArrow(run, "key long, ord long, digest long, times int")
 
 
-SUFFIX = "key long, level int, ord long, digest long, anchors array<int>, first int, last int, words binary"
+SUFFIX = "key long, ord long, digest long, anchors array<int>, first int, last int, words binary"
 SUFFIX_NAMES = [x.split()[0] for x in SUFFIX.split(", ")]
-SUFFIX_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.binary()]
+SUFFIX_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.binary()]
 
 
 def suffixes(rows: DataFrame, window: int, prefix: int, longer: int) -> DataFrame:
     """rows: ord, digest, text, keys: array<struct<key, crowded>> -> the suffixes at those prefixes; of crowded ones, the suffixes of their windows at the longer prefix.
 
-    level: 0, or 1 at the longer prefix; anchors: the words where the suffix stands, more than
+    anchors: the words where the suffix stands, more than
     one if the document repeats it with all the words around it; first, last: how far before an anchor the nearest and farthest window start;
     words: the hashes from the farthest window's start to the nearest one's end.
     """
@@ -166,16 +166,16 @@ def suffixes(rows: DataFrame, window: int, prefix: int, longer: int) -> DataFram
                     k = order[np.minimum(np.searchsorted(keys, found.key[low:high], sorter=order), len(keys) - 1)]
                     hit[low:high] = keys[k] == found.key[low:high]
                     crowded[low:high] = hit[low:high] & full[k]
-                parts = [(0, found, np.flatnonzero(hit & ~crowded))]
+                parts = [(found, np.flatnonzero(hit & ~crowded))]
                 if crowded.any():
                     deeper = Segments(words, hashes, window, longer, spans(found.low[crowded], found.high[crowded] + 1))
-                    parts.append((1, deeper, np.arange(len(deeper.key))))
+                    parts.append((deeper, np.arange(len(deeper.key))))
                 mine: dict[tuple, list[int]] = {}
-                for level, some, which in parts:
+                for some, which in parts:
                     for key, t, p, q, anchor in zip(some.key[which].view(np.int64).tolist(), some.text[which].tolist(), some.low[which].tolist(), some.high[which].tolist(), some.anchor[which].tolist(), strict=True):
-                        mine.setdefault((key, level, t, anchor - q, anchor - p, hashes[p : q + window].tobytes()), []).append(anchor - int(words.first[t]))
+                        mine.setdefault((key, t, anchor - q, anchor - p, hashes[p : q + window].tobytes()), []).append(anchor - int(words.first[t]))
                 if mine:
-                    out = [(key, level, ids[t + a], digests_[t + a], anchors, first, last, held) for (key, level, t, first, last, held), anchors in mine.items()]
+                    out = [(key, ids[t + a], digests_[t + a], anchors, first, last, held) for (key, t, first, last, held), anchors in mine.items()]
                     yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(zip(*out, strict=True), SUFFIX_TYPES, strict=True)], names=SUFFIX_NAMES)
 
     return rows.mapInArrow(run, SUFFIX)
@@ -304,15 +304,13 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, prefixes: tuple[int,
     wanted = counted_join(every, shared, ["key"], total).groupBy("ord", "digest").agg(F.collect_set(F.struct("key", "crowded")).alias("keys")).join(again, ["ord", "digest"], "left_anti")
     found = written(suffixes(rows.join(wanted, ["ord", "digest"]).select("ord", "digest", "text", "keys"), window, short_, longer))
     dropped(every, shared)
-    # The windows of crowded prefixes, by the longer prefix: those with one document end here, and crowded ones are dealt to several trees.
-    deeper = found.where("level = 1")
+    # What is left without the copies, and by the longer prefixes: groups of one document end here, and crowded ones are dealt to several trees.
     held = F.sum(F.octet_length("words"))
-    parted = deeper.groupBy("key").agg(*ends, F.ceil(held / F.lit(float(limit))).cast("int").alias("trees")).where("least < most").select("key", "n", "trees")
-    parted = written(parted, total)
-    dealt = counted_join(deeper, parted, ["key"], deeper.count()).withColumn("tree", F.pmod(F.xxhash64("ord", "digest", "words"), "trees").cast("int")).withColumn("shared", F.col("trees") > 1)
-    single = found.where("level = 0").withColumn("tree", F.lit(-1)).withColumn("shared", F.lit(False))
-    both = single.select(*TREE).unionByName(dealt.select(*TREE))
-    inside = written(subtree_repeats(both.repartition("key", "tree").sortWithinPartitions("key", "tree"), window))
+    n_found = found.count()
+    parted = found.groupBy("key").agg(*ends, F.ceil(held / F.lit(float(limit))).cast("int").alias("trees")).where("least < most").select("key", "n", "trees")
+    parted = written(parted, n_found)
+    both = counted_join(found, parted, ["key"], n_found).withColumn("tree", F.pmod(F.xxhash64("ord", "digest", "words"), "trees").cast("int")).withColumn("shared", F.col("trees") > 1)
+    inside = written(subtree_repeats(both.select(*TREE).repartition("key", "tree").sortWithinPartitions("key", "tree"), window))
     dropped(found, parted)
     # The prefix grown to the whole window: of each, the first of each tree.
     windows = inside.select("ord", "digest", "anchors", F.explode(F.arrays_zip("keys", "offsets")).alias("w")).select("ord", "digest", "anchors", F.col("w.keys.h").alias("h"), F.col("w.keys.h2").alias("h2"), F.col("w.offsets").alias("offset"))
