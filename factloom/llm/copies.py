@@ -1,13 +1,15 @@
-"""Near copies: texts whose sets of word shingles have a Jaccard similarity of `least` or more, found exactly, by prefix filtering.
+"""Near copies: texts whose sets of word shingles have a Jaccard similarity of `least` or more, all of them. SimHash near-dedup where a similarity is asked for.
 
 Sets: XXH64 of the runs of `shingle` words. Equal sets are one set from then on.
 
-Candidates: with all shingles in one order, two sets that are alike enough share one of the first n - ceil(least * n) + 1 shingles of
+First the method of `simhash`: the sets' fingerprints are self-joined as a binary trie within a Hamming budget. A pair it finds is a link only if the two whole sets are alike enough.
+No budget that a trie can be searched with finds all pairs of a similarity of 0.8 (they differ in 9 or 10 of 64 bits on average), so the links between what are still different components are completed:
+
+With all shingles in one order, two sets that are alike enough share one of the first n - ceil(least * n) + 1 shingles of
 each (n: a set's size). So sets meet on these alone, and a pair is left out where the sizes, or what follows the shared shingle, cannot give the similarity.
 The order changes the cost only, never the result: shingles that a sample of the texts holds often come last.
-
-Links: a candidate is a link only if the two whole sets are alike enough. First each set is compared with the least set of each shingle it meets others on; most groups
-then are one component, and of the others all remaining pairs of different components are compared. Components are found by `simhash.components`.
+In a few rounds the sets of each shingle are compared with one of them, another one each round; most groups then are one component, and of the others all remaining pairs
+of different components are compared. Components are found by `simhash.components`.
 
 Defined cases: a text without words (null and empty too) has the empty set, a copy of any other such text; a text with fewer words than a
 shingle has one shingle, all its words; repeated rows are separate documents; a null id counts as larger than any other; an empty table gives no rows.
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import dropped, short, written
-from .simhash import components
+from .simhash import components, links
 from .words import Words, groups, xxh64
 
 
@@ -76,24 +78,36 @@ def frequent(docs: DataFrame, shingle: int, seed: int, sample: int = 8192, most:
     return often[order], times[order]
 
 
-def verified(pairs: DataFrame, texts: DataFrame, least: Fraction, shingle: int, seed: int) -> DataFrame:
-    """u, v of the pairs whose sets are alike enough. texts: sid, text, each sid once."""
-    both = pairs.join(texts.select(F.col("sid").alias("v"), F.col("text").alias("text_v")), "v").join(texts.select(F.col("sid").alias("u"), F.col("text").alias("text_u")), "u")
+def fingerprint(hashes: np.ndarray) -> int:
+    """A set's SimHash: the bits that over half of its hashes have, as a signed number."""
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * bits > len(hashes), bitorder="little").view(np.int64)[0]) if len(hashes) else 0
+
+
+def verified(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
+    """u, v of the pairs whose sets are alike enough. sets: sid, hashes, each sid once."""
+    side = lambda name: sets.select(F.col("sid").alias(name), F.col("hashes").alias(f"set_{name}"))
+    both = pairs.join(side("v"), "v").join(side("u"), "u").select("u", "v", "set_u", "set_v")
 
     def run(batches):
         for batch in batches:
-            for part in short([batch], 64):
-                a, b = (list(shingle_sets(part.column(k).cast(pa.binary()).to_pylist(), shingle, seed)) for k in (2, 3))
+            for part in short([batch], 512):
+                ends, flat = [], []
+                for k in (2, 3):
+                    column = part.column(k)
+                    ends.append(column.offsets.to_numpy())
+                    flat.append(column.values.to_numpy().view(np.uint64))
                 keep = []
-                for x, y in zip(a, b, strict=True):
+                for i in range(part.num_rows):
+                    x, y = (f[e[i] : e[i + 1]] for f, e in zip(flat, ends, strict=True))
                     shared = len(np.intersect1d(x, y, assume_unique=True))
                     keep.append(least.denominator * shared >= least.numerator * (len(x) + len(y) - shared))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long")
+    return both.mapInArrow(run, "u long, v long")
 
 
-def deduplicate(docs: DataFrame, least: Fraction = Fraction(4, 5), shingle: int = 5, seed: int = 42) -> DataFrame:
+def deduplicate(docs: DataFrame, least: Fraction = Fraction(4, 5), shingle: int = 5, seed: int = 42, budget: int = 2, rounds: int = 3) -> DataFrame:
     """The rows of docs that stay: of each component of near copies the one of smallest doc_id (null last; then by its text's hash), once."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -103,52 +117,77 @@ def deduplicate(docs: DataFrame, least: Fraction = Fraction(4, 5), shingle: int
         often, times = shared_order.value
         seen = set()
         for batch in short(batches):
-            sids, sizes, firsts = [], [], []
+            sids, sizes, firsts, prints, whole = [], [], [], [], []
             for hashes in shingle_sets(batch.column(2).cast(pa.binary()).to_pylist(), shingle, seed):
                 sid = set_digest(hashes)
                 sids.append(sid)
                 sizes.append(len(hashes))
-                # A set that a task has met needs no second prefix; what is forgotten is only dropped later.
-                firsts.append(None if sid in seen else prefix(hashes, often, times, least).view(np.int64))
+                # A set that a task has met needs no second copy; what is forgotten is only dropped later.
+                new = sid not in seen
+                firsts.append(prefix(hashes, often, times, least).view(np.int64) if new else None)
+                whole.append(hashes.view(np.int64) if new else None)
+                prints.append(fingerprint(hashes) if new else None)
                 if len(seen) >= 200_000:
                     seen.clear()
                 seen.add(sid)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], names=["doc_id", "digest", "sid", "n", "tokens"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(sids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(whole, pa.list_(pa.int64()))],
+                names=["doc_id", "digest", "sid", "n", "fp", "tokens", "hashes"],
+            )
+
+    found = written(docs.select("doc_id", F.xxhash64("text").alias("digest"), "text").mapInArrow(run, f"doc_id {kind}, digest long, sid long, n int, fp long, tokens array<long>, hashes array<long>"))
+    own = written(found.groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("first"), F.max("fp").alias("fp")))
+
+    # Pairs by fingerprints: of equal ones each set with the least, and the least sets of those that the trie join links.
+    of_print = written(own.groupBy("fp").agg(F.min("sid").alias("hub"), F.count("*").alias("sets")))
+    equal = own.join(of_print.where("sets > 1"), "fp").where("sid != hub").select(F.col("sid").alias("u"), F.col("hub").alias("v"))
+    near = links(of_print.select("fp"), budget)
+    near = near.join(of_print.select(F.col("fp").alias("u"), F.col("hub").alias("a")), "u").join(of_print.select(F.col("fp").alias("v"), F.col("hub").alias("b")), "v")
+    tested = written(equal.unionByName(near.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))).distinct())
+
+    # What meets on the first shingles.
+    token = Window.partitionBy("token")
+    posted = found.where("tokens is not null").select("sid", "n", F.posexplode("tokens").alias("at", "token"))
+    met = posted.withColumn("one", F.min("sid").over(token)).withColumn("end", F.max("sid").over(token)).where("one < end")
+    met = written(met.select("token", "sid", "n", "at").dropDuplicates(["token", "sid"]))
+    needed = met.select("sid").unionByName(tested.select(F.col("u").alias("sid"))).unionByName(tested.select(F.col("v").alias("sid"))).distinct()
+    sets = written(found.where("hashes is not null").select("sid", "hashes").join(needed, "sid", "left_semi").dropDuplicates(["sid"]))
+    known = written(verified(tested, sets, least))
+    root = components(known)
+    p, q = least.numerator, least.denominator
 
-    found = written(docs.select("doc_id", F.xxhash64("text").alias("digest"), "text").mapInArrow(run, f"doc_id {kind}, digest long, sid long, n int, tokens array<long>"))
-    own = written(found.groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("first")))
+    def could(a: str, b: str):
+        rest = F.least(F.col(f"n{a}") - F.col(f"at{a}"), F.col(f"n{b}") - F.col(f"at{b}"))
+        return (F.col(f"root{a}") != F.col(f"root{b}")) & ((p + q) * rest >= p * (F.col(f"n{a}") + F.col(f"n{b}")))
+
+    open_ = met
+    for turn in range(rounds + 1):
+        rooted = open_.drop("root").join(root.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        rooted = rooted.withColumn("low", F.min("root").over(token)).withColumn("high", F.max("root").over(token)).where("low < high")
+        open_ = written(rooted.select("token", "sid", "n", "at", "root"))
+        if turn < rounds:
+            # The lowest of a hash that changes each round.
+            hub = F.min_by(F.struct("sid", "n", "at", "root"), F.struct(F.xxhash64("sid", F.lit(turn)), "sid"))
+            hubs = open_.groupBy("token").agg(hub.alias("hub")).select("token", *[F.col(f"hub.{c}").alias(f"{c}_b") for c in ("sid", "n", "at", "root")])
+            pairs = open_.join(hubs, "token")
+            pairs = pairs.where(could("", "_b")).select(F.greatest("sid", "sid_b").alias("u"), F.least("sid", "sid_b").alias("v"))
+        else:
+            a, b = (open_.select("token", *[F.col(c).alias(c + side) for c in ("sid", "n", "at", "root")]) for side in ("_a", "_b"))
+            pairs = a.join(b, "token").where((F.col("sid_a") > F.col("sid_b")) & could("_a", "_b")).select(F.col("sid_a").alias("u"), F.col("sid_b").alias("v"))
+        pairs = written(pairs.distinct().join(tested, ["u", "v"], "left_anti"))
+        tested = tested.unionByName(pairs)
+        more = written(verified(pairs, sets, least))
+        if not more.isEmpty():
+            known = known.unionByName(more)
+            root = components(known)
 
-    token = Window.partitionBy("token")
-    posted = found.select("sid", "n", F.posexplode("tokens").alias("at", "token"))
-    met = posted.withColumn("hub", F.min("sid").over(token)).withColumn("end", F.max("sid").over(token)).where("hub < end")
-    met = written(met.select("token", "hub", "sid", "n", "at").dropDuplicates(["token", "sid"]))
+    stays = own.join(root, own.sid == root.node, "left").groupBy(F.coalesce("root", "sid").alias("root")).agg(F.min("first").alias("first"))
 
     def row_key(id_col, digest):
         return [F.coalesce(id_col, F.lit(0)).alias("_id"), id_col.isNull().alias("_null"), digest.alias("_digest")]
 
-    # The texts of sets that meet others, each once.
-    needed = own.join(met.select("sid").distinct(), "sid", "left_semi").select("sid", *row_key(F.col("first.doc_id"), F.col("first.digest")))
-    texts = docs.select(*row_key(F.col("doc_id"), F.xxhash64("text")), "text").join(needed, ["_id", "_null", "_digest"]).select("sid", "text")
-    texts = written(texts.groupBy("sid").agg(F.first("text").alias("text")))
-
-    stars = written(met.where("sid != hub").select(F.col("sid").alias("u"), F.col("hub").alias("v")).distinct())
-    links = written(verified(stars, texts, least, shingle, seed))
-    root = components(links)
-
-    rooted = met.join(root.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    open_ = rooted.withColumn("low", F.min("root").over(token)).withColumn("high", F.max("root").over(token)).where("low < high").select("token", "sid", "n", "at", "root")
-    open_ = written(open_)
-    a, b = (open_.select("token", *[F.col(c).alias(c + side) for c in ("sid", "n", "at", "root")]) for side in ("_a", "_b"))
-    p, q = least.numerator, least.denominator
-    rest = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    could = (F.col("sid_a") > F.col("sid_b")) & (F.col("root_a") != F.col("root_b")) & ((p + q) * rest >= p * (F.col("n_a") + F.col("n_b")))
-    pairs = a.join(b, "token").where(could).select(F.col("sid_a").alias("u"), F.col("sid_b").alias("v")).distinct()
-    pairs = written(pairs.join(stars, ["u", "v"], "left_anti"))
-    more = written(verified(pairs, texts, least, shingle, seed))
-    root = components(links.unionByName(more))
-
-    stays = own.join(root, own.sid == root.node, "left").groupBy(F.coalesce("root", "sid").alias("root")).agg(F.min("first").alias("first"))
-    keys = stays.select(*row_key(F.col("first.doc_id"), F.col("first.digest")))
+    keys = written(stays.select(*row_key(F.col("first.doc_id"), F.col("first.digest"))))
+    dropped(found, of_print, met, sets)
     rows = docs.select(F.struct(*docs.columns).alias("row"), *row_key(F.col("doc_id"), F.xxhash64("text")))
     once = rows.join(keys, ["_id", "_null", "_digest"], "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_null", "_digest").orderBy(F.lit(0)))).where("_n = 1")
     return once.select(*[F.col("row")[c].alias(c) for c in docs.columns])

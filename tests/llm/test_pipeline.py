@@ -1,44 +1,17 @@
-import math
 import random
 import struct
 from collections import Counter
 
-import numpy as np
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from factloom.llm import toxicity as tx
 from factloom.llm.queries import tokenizer_file
 
-from . import test_mixing, test_simhash, test_substrings
+from . import test_copies, test_mixing, test_substrings, test_toxicity
 from .test_toxicity import corpus
 from .texts import AWKWARD, SCHEMA
 
 
-def brute_scores(rows, terms, index, labels):
-    """{doc_id: score} by all cosines, from the terms and the examples of the fit."""
-    known = {i: y for i, y in labels if i is not None}
-    number = {t: k for k, t in enumerate(terms)}
-
-    def vector(text):
-        v = np.zeros(len(terms))
-        for t, n in Counter(x for x in tx.terms_of(text) if x in number).items():
-            v[number[t]] = (1 + math.log(n)) * index.idf[number[t]]
-        return v / (np.linalg.norm(v) or 1)
-
-    texts = {r[0]: r[1] for r in rows}
-    ids = index.ids
-    kept = np.array([vector(texts[i]) for i in ids])
-    out = {}
-    for i, text, *_ in rows:
-        cosine = kept @ vector(text)
-        near = sorted((-round(c, 12), k) for k, c in enumerate(cosine) if c > 0)[: index.k]
-        votes = [(1 / (max(0.0, 1 + c) + 0.1), known[ids[k]]) for c, k in near]
-        total = sum(v for v, _ in votes)
-        out[i] = (sum(v * y for v, y in votes) + index.prior_votes * index.base) / (total + index.prior_votes) if votes else index.bare
-    return out
-
-
 def test_every_stage_against_brute_force(spark, tmp_path):
     rng = random.Random(5)
     texts, labels = corpus(rng, 240)
@@ -50,8 +23,7 @@ def test_every_stage_against_brute_force(spark, tmp_path):
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     stages = dict(corpus_pipeline.STAGES)
 
-    terms, index = tx.fit(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
-    scores = brute_scores(rows, terms, index, labels)
+    scores = test_toxicity.brute_scores(rows, labels, test_toxicity.digests(docs))
     got = stages["toxicity"](spark, docs, str(tmp_path))
     assert got.columns == docs.columns
     left = sorted(got.collect())
@@ -59,8 +31,7 @@ def test_every_stage_against_brute_force(spark, tmp_path):
 
     docs = spark.createDataFrame(left, SCHEMA)
     got = sorted(stages["near_duplicates"](spark, docs.union(docs.limit(3)), str(tmp_path)).collect())
-    of = test_simhash.brute_components([(r.doc_id, test_simhash.brute_fingerprint(r.text)) for r in left])
-    assert got == [r for r in left if of[r.doc_id] == r.doc_id] and len(got) < len(left)
+    assert got == [left[i] for i in sorted(test_copies.brute([r.text for r in left]))] and len(got) < len(left)
 
     left, docs = got, spark.createDataFrame(got, SCHEMA)
     got = sorted(stages["repeated_passages"](spark, docs, str(tmp_path)).collect())
