@@ -161,7 +161,7 @@ class Index:
         low, high = self.posted[self.cells[terms[few]]].astype(np.int64), self.posted[self.cells[terms[few] + 1]].astype(np.int64)
         at = spans(low, high)
         cosine = np.bincount(self.owner[at], np.repeat(weights[few], high - low) * self.weight[at], len(self.ids))
-        return cosine + np.einsum("i,ij->j", weights[row > 0], self.full[row[row > 0]].astype(np.float64))
+        return cosine + np.einsum("i,ij->j", weights[row > 0].astype(np.float32), self.full[row[row > 0]])
 
     def kth(self, cosine: np.ndarray) -> float:
         """The k-th largest, 0 if there are fewer."""
@@ -240,20 +240,23 @@ class Terms:
     """The numbers of the known terms, words and stems apart."""
 
     def __init__(self, terms: list[str]):
-        self.words = {t: i for i, t in enumerate(terms) if not t.endswith("*")}
         self.stems = {t[:-1]: i for i, t in enumerate(terms) if t.endswith("*")}
+        # A word's own number and its stem's, which every example that has the word has too.
+        self.numbers = {t: (i, self.stems[t[:STEM]] if len(t) > STEM else None) for i, t in enumerate(terms) if not t.endswith("*")}
+        self.count = len(terms)
 
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """The known terms of a text, sorted, and their counts."""
-        words, stems, found = self.words, self.stems, {}
+        numbers, stems, found = self.numbers, self.stems, {}
         for word, n in Counter(terms_of(text)).items():
-            i = words.get(word)
-            if i is not None:
-                found[i] = n
-            if len(word) > STEM:
-                i = stems.get(word[:STEM])
-                if i is not None:
-                    found[i] = found.get(i, 0) + n
+            own = numbers.get(word)
+            if own is None:
+                stem = stems.get(word[:STEM]) if len(word) > STEM else None
+            else:
+                found[own[0]] = n
+                stem = own[1]
+            if stem is not None:
+                found[stem] = found.get(stem, 0) + n
         at = np.fromiter(found.keys(), np.int64, len(found))
         order = np.argsort(at)
         return at[order], np.fromiter(found.values(), np.int64, len(found))[order]
@@ -303,7 +306,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4096, most_chars: int
     shared = docs.sparkSession.sparkContext.broadcast(Terms(terms))
 
     def frequencies(batches):
-        known, of, total = shared.value, np.zeros(len(shared.value.words) + len(shared.value.stems), np.int64), 0
+        known, of, total = shared.value, np.zeros(shared.value.count, np.int64), 0
         for batch in short(batches):
             for text in batch.column(0).to_pylist():
                 of[known.of(text)[0]] += 1
