@@ -84,22 +84,17 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * bits > len(hashes), bitorder="little").view(np.int64)[0]) if len(hashes) else 0
 
 
-def verified(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
-    """u, v of the pairs whose sets are alike enough. sets: sid, hashes, each sid once."""
-    side = lambda name: sets.select(F.col("sid").alias(name), F.col("hashes").alias(f"set_{name}"))
-    both = pairs.join(side("v"), "v").join(side("u"), "u").select("u", "v", "set_u", "set_v")
+def verified(pairs: DataFrame, texts: DataFrame, least: Fraction, shingle: int, seed: int) -> DataFrame:
+    """u, v of the pairs whose sets are alike enough. texts: sid, text, each sid once."""
+    side = lambda name: texts.select(F.col("sid").alias(name), F.col("text").alias(f"text_{name}"))
+    both = pairs.join(side("v"), "v").join(side("u"), "u").select("u", "v", "text_u", "text_v")
 
     def run(batches):
         for batch in batches:
-            for part in short([batch], 512):
-                ends, flat = [], []
-                for k in (2, 3):
-                    column = part.column(k)
-                    ends.append(column.offsets.to_numpy())
-                    flat.append(column.values.to_numpy().view(np.uint64))
+            for part in short([batch], 64):
+                a, b = (shingle_sets(part.column(k).cast(pa.binary()).to_pylist(), shingle, seed) for k in (2, 3))
                 keep = []
-                for i in range(part.num_rows):
-                    x, y = (f[e[i] : e[i + 1]] for f, e in zip(flat, ends, strict=True))
+                for x, y in zip(a, b, strict=True):
                     shared = len(np.intersect1d(x, y, assume_unique=True))
                     keep.append(least.denominator * shared >= least.numerator * (len(x) + len(y) - shared))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
@@ -117,25 +112,24 @@ def deduplicate(docs: DataFrame, least: Fraction = Fraction(4, 5), shingle: int
         often, times = shared_order.value
         seen = set()
         for batch in short(batches):
-            sids, sizes, firsts, prints, whole = [], [], [], [], []
+            sids, sizes, firsts, prints = [], [], [], []
             for hashes in shingle_sets(batch.column(2).cast(pa.binary()).to_pylist(), shingle, seed):
                 sid = set_digest(hashes)
                 sids.append(sid)
                 sizes.append(len(hashes))
-                # A set that a task has met needs no second copy; what is forgotten is only dropped later.
+                # A set that a task has met needs no second prefix; what is forgotten is only dropped later.
                 new = sid not in seen
                 firsts.append(prefix(hashes, often, times, least).view(np.int64) if new else None)
-                whole.append(hashes.view(np.int64) if new else None)
                 prints.append(fingerprint(hashes) if new else None)
                 if len(seen) >= 200_000:
                     seen.clear()
                 seen.add(sid)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(whole, pa.list_(pa.int64()))],
-                names=["doc_id", "digest", "sid", "n", "fp", "tokens", "hashes"],
+                [batch.column(0), batch.column(1), pa.array(sids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))],
+                names=["doc_id", "digest", "sid", "n", "fp", "tokens"],
             )
 
-    found = written(docs.select("doc_id", F.xxhash64("text").alias("digest"), "text").mapInArrow(run, f"doc_id {kind}, digest long, sid long, n int, fp long, tokens array<long>, hashes array<long>"))
+    found = written(docs.select("doc_id", F.xxhash64("text").alias("digest"), "text").mapInArrow(run, f"doc_id {kind}, digest long, sid long, n int, fp long, tokens array<long>"))
     own = written(found.groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("first"), F.max("fp").alias("fp")))
 
     # Pairs by fingerprints: of equal ones each set with the least, and the least sets of those that the trie join links.
@@ -150,9 +144,17 @@ def deduplicate(docs: DataFrame, least: Fraction = Fraction(4, 5), shingle: int
     posted = found.where("tokens is not null").select("sid", "n", F.posexplode("tokens").alias("at", "token"))
     met = posted.withColumn("one", F.min("sid").over(token)).withColumn("end", F.max("sid").over(token)).where("one < end")
     met = written(met.select("token", "sid", "n", "at").dropDuplicates(["token", "sid"]))
+
+    def row_key(id_col, digest):
+        return [F.coalesce(id_col, F.lit(0)).alias("_id"), id_col.isNull().alias("_null"), digest.alias("_digest")]
+
+    # The texts of sets that meet others, each once.
     needed = met.select("sid").unionByName(tested.select(F.col("u").alias("sid"))).unionByName(tested.select(F.col("v").alias("sid"))).distinct()
-    sets = written(found.where("hashes is not null").select("sid", "hashes").join(needed, "sid", "left_semi").dropDuplicates(["sid"]))
-    known = written(verified(tested, sets, least))
+    needed = own.join(needed, "sid", "left_semi").select("sid", *row_key(F.col("first.doc_id"), F.col("first.digest")))
+    texts = docs.select(*row_key(F.col("doc_id"), F.xxhash64("text")), "text").join(needed, ["_id", "_null", "_digest"]).select("sid", "text")
+    texts = written(texts.groupBy("sid").agg(F.first("text").alias("text")))
+    dropped(found, of_print)
+    known = written(verified(tested, texts, least, shingle, seed))
     root = components(known)
     p, q = least.numerator, least.denominator
 
@@ -164,7 +166,9 @@ def deduplicate(docs: DataFrame, least: Fraction = Fraction(4, 5), shingle: int
     for turn in range(rounds + 1):
         rooted = open_.drop("root").join(root.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
         rooted = rooted.withColumn("low", F.min("root").over(token)).withColumn("high", F.max("root").over(token)).where("low < high")
-        open_ = written(rooted.select("token", "sid", "n", "at", "root"))
+        before, open_ = open_, written(rooted.select("token", "sid", "n", "at", "root"))
+        if turn:
+            dropped(before)
         if turn < rounds:
             # The lowest of a hash that changes each round.
             hub = F.min_by(F.struct("sid", "n", "at", "root"), F.struct(F.xxhash64("sid", F.lit(turn)), "sid"))
@@ -176,18 +180,15 @@ def deduplicate(docs: DataFrame, least: Fraction = Fraction(4, 5), shingle: int
             pairs = a.join(b, "token").where((F.col("sid_a") > F.col("sid_b")) & could("_a", "_b")).select(F.col("sid_a").alias("u"), F.col("sid_b").alias("v"))
         pairs = written(pairs.distinct().join(tested, ["u", "v"], "left_anti"))
         tested = tested.unionByName(pairs)
-        more = written(verified(pairs, sets, least))
+        more = written(verified(pairs, texts, least, shingle, seed))
         if not more.isEmpty():
             known = known.unionByName(more)
             root = components(known)
 
     stays = own.join(root, own.sid == root.node, "left").groupBy(F.coalesce("root", "sid").alias("root")).agg(F.min("first").alias("first"))
 
-    def row_key(id_col, digest):
-        return [F.coalesce(id_col, F.lit(0)).alias("_id"), id_col.isNull().alias("_null"), digest.alias("_digest")]
-
     keys = written(stays.select(*row_key(F.col("first.doc_id"), F.col("first.digest"))))
-    dropped(found, of_print, met, sets)
+    dropped(own, met, texts, open_)
     rows = docs.select(F.struct(*docs.columns).alias("row"), *row_key(F.col("doc_id"), F.xxhash64("text")))
     once = rows.join(keys, ["_id", "_null", "_digest"], "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_null", "_digest").orderBy(F.lit(0)))).where("_n = 1")
     return once.select(*[F.col("row")[c].alias(c) for c in docs.columns])
