@@ -179,6 +179,17 @@ def conflict_links(facts: DataFrame, synonyms: dict | None = None) -> DataFrame:
     return keyed.join(other, ["material_key", "property_key", "direction"]).groupBy("id").agg(F.array_sort(F.collect_set("other")).alias("conflicts_with"))
 
 
+def conflict_members(facts: DataFrame, synonyms: dict | None = None) -> DataFrame:
+    """id, material_key, property_key, direction, opposites, first_opposite: each fact that has opposites, with its class (the two keys and the direction), their number and the least id of them.
+
+    All facts of one class have the same opposites, the class of the other direction; so this says as much as the lists of `conflict_links`, by group counts and without pairs.
+    """
+    keyed = conflict_keys(facts, synonyms).where("direction in ('increase', 'decrease')").select("id", "material_key", "property_key", "direction")
+    of = keyed.groupBy("material_key", "property_key", "direction").agg(F.count_distinct("id").alias("opposites"), F.min("id").alias("first_opposite"))
+    other = of.withColumn("direction", F.when(F.col("direction") == "increase", "decrease").otherwise("increase"))
+    return keyed.join(other, ["material_key", "property_key", "direction"]).select("id", "material_key", "property_key", "direction", "opposites", "first_opposite")
+
+
 def contradictions(facts: DataFrame, tolerance: float = 5.0, synonyms: dict | None = None) -> DataFrame:
     """material_key, property_key, labs: opposite effects under comparable conditions, once for each pair of laboratories.
 

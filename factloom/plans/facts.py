@@ -83,14 +83,12 @@ def conflict_groups(spark, d):
 
 
 def conflict_links(spark, d):
-    """The lists themselves, for the facts of a question."""
-    found = op.conflict_links(about(spark, d))
-    return found.select("id", F.array_join("conflicts_with", ",").alias("conflicts_with"))
+    """Every fact with opposites: its class, their number and the first of them."""
+    return op.conflict_members(views.facts(spark, d))
 
 
 def find_contradictions(spark, d):
-    """Among the facts of a question."""
-    return op.contradictions(about(spark, d))
+    return op.contradictions(views.facts(spark, d))
 
 
 QUERIES = {
@@ -131,9 +129,10 @@ ORACLE_SQL = {
         select id, case when effect_direction <> 'neutral' and (material, property) in (select (material, property) from g) then 'conflicting' else 'approved' end as status from facts_v""",
     "conflict_groups": f"""with {views.SQL} select lower(material) as material_key, lower(property) as property_key, count(*) filter (where effect_direction = 'increase') as ups,
         count(*) filter (where effect_direction = 'decrease') as downs from facts_v group by 1, 2 having ups > 0 and downs > 0""",
-    "conflict_links": f"""with {views.SQL}, f as (select id, material, property, effect_direction as e from facts_v where property = 'Brand#13' and effect_direction <> 'neutral')
-        select a.id, string_agg(distinct b.id, ',' order by b.id) as conflicts_with from f a join f b using (material, property) where a.e <> b.e group by a.id""",
-    "find_contradictions": f"""with {views.SQL}, f as (select * from facts_v where property = 'Brand#13')
+    "conflict_links": f"""with {views.SQL}, f as (select id, lower(material) as material_key, lower(property) as property_key, effect_direction as direction from facts_v where effect_direction <> 'neutral'),
+        g as (select material_key, property_key, direction, count(distinct id) as opposites, min(id) as first_opposite from f group by 1, 2, 3)
+        select f.id, material_key, property_key, f.direction, g.opposites, g.first_opposite from f join g using (material_key, property_key) where f.direction <> g.direction""",
+    "find_contradictions": f"""with {views.SQL}, f as (select * from facts_v)
         select distinct lower(a.material) as material_key, lower(a.property) as property_key, case when a.lab = b.lab then a.lab else least(a.lab, b.lab) || ', ' || greatest(a.lab, b.lab) end as labs
         from f a join f b on a.material = b.material and a.property = b.property
         where a.effect_direction = 'increase' and b.effect_direction = 'decrease' and a.process = b.process and abs(a.temperature_c - b.temperature_c) <= 5""",

@@ -37,12 +37,11 @@ def cascade_delete(spark, d):
 
 
 def retract_document(spark, d):
-    """The conflict links of a question's facts after the hidden documents are deleted."""
-    facts = fact_op.filtered(views.facts(spark, d), hypotheses=True, property="Brand#13").select("id", "document_id", "material", "property", "effect_direction")
-    linked = facts.join(fact_op.conflict_links(facts), "id", "left").select("id", "document_id", F.coalesce("conflicts_with", F.array().cast("array<string>")).alias("conflicts_with"))
-    marked = linked.withColumn("status", F.when(F.size("conflicts_with") > 0, "conflicting").otherwise("approved"))
-    left = op.retract(marked, views.documents(spark, d).where("hidden").select("document_id"))
-    return left.select("id", "status", F.size("conflicts_with").cast("long").alias("links"))
+    """The status of every fact that stays when the hidden documents are deleted, and how many opposites it keeps."""
+    facts = views.facts(spark, d).select("id", "document_id", "material", "property", "effect_direction")
+    left = op.cascade_delete(views.documents(spark, d).where("hidden").select("document_id"), facts=facts)["facts"]
+    links = fact_op.conflict_members(left).select("id", F.col("opposites").alias("links"))
+    return left.join(links, "id", "left").select("id", F.when(F.col("links") > 0, "conflicting").otherwise("approved").alias("status"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 
 def missing_vectors(spark, d):
@@ -70,9 +69,9 @@ ORACLE_SQL = {
         union all select * from (values ('doc-new-1', 'note', 2001, cast(null as boolean)), ('doc-new-2', 'note', 2002, null))""",
     "cascade_delete": f"""with {views.SQL} select 'documents' as table_name, count(*) as n from docs_v where not hidden
         union all select 'facts', count(*) from facts_v where document_id not in (select document_id from docs_v where hidden)""",
-    "retract_document": f"""with {views.SQL}, f as (select facts_v.*, hidden from facts_v join docs_v using (document_id) where property = 'Brand#13'),
-        l as (select a.id, count(distinct b.id) filter (where not b.hidden) as links from f a left join f b on a.material = b.material and a.property = b.property
-          and ((a.effect_direction = 'increase' and b.effect_direction = 'decrease') or (a.effect_direction = 'decrease' and b.effect_direction = 'increase')) where not a.hidden group by a.id)
+    "retract_document": f"""with {views.SQL}, f as (select facts_v.* from facts_v join docs_v using (document_id) where not hidden),
+        g as (select material, property, effect_direction, count(distinct id) as n from f where effect_direction <> 'neutral' group by all),
+        l as (select f.id, coalesce(max(g.n), 0) as links from f left join g on f.material = g.material and f.property = g.property and f.effect_direction <> 'neutral' and f.effect_direction <> g.effect_direction group by f.id)
         select id, case when links > 0 then 'conflicting' else 'approved' end as status, links from l""",
     "missing_vectors": "select doc_id as key from documents where doc_id not in (select vec_id from embeddings)",
     "label_agg": "select toxic, count(*) as n, count(*) filter (where quality = 1) as good from labels group by toxic",
