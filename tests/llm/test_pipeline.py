@@ -16,7 +16,8 @@ def test_every_stage_against_brute_force(spark, tmp_path):
     rng = random.Random(5)
     texts, labels = corpus(rng, 240)
     passage = " ".join(f"p{k}" for k in range(70))
-    texts += [t + " end" for t in texts[:6]] + texts[6:12] + [f"{rng.random()} {passage} {rng.random()} a b" for _ in range(5)] + AWKWARD
+    own = lambda n: [f"o{rng.randrange(10**6)}" for _ in range(n)]  # noqa: E731  so much that the texts are no near copies
+    texts += [t + " end" for t in texts[:6]] + texts[6:12] + [" ".join([*own(40), passage, *own(40)]) for _ in range(5)] + AWKWARD
     rows = [(k, t, "en", [None, "a", "b", "c"][k % 4], 7) for k, t in enumerate(texts)]
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
