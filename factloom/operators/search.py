@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot
@@ -18,16 +20,64 @@ def nearest(vectors: DataFrame, query: list[float], k: int = 8) -> DataFrame:
     return scored.orderBy(F.col("similarity").desc(), "fragment_id").limit(k)
 
 
+def nearest_each(vectors: DataFrame, queries: DataFrame, k: int = 8, query_rows: int = 4096, vector_rows: int = 16384) -> DataFrame:
+    """query_id, fragment_id, similarity: for each of many queries (query_id, embedding) its k rows of `vectors` (fragment_id, embedding) of highest inner product, ties by id.
+
+    Both sides are dealt by hash to blocks of about `query_rows` and `vector_rows`; a task multiplies one block with one other and keeps k rows a query, and these are merged by query.
+    Rows without id or embedding are left out; an empty side gives no rows.
+    """
+    own = vectors.where("fragment_id is not null and embedding is not null").select("fragment_id", "embedding")
+    asked = queries.where("query_id is not null and embedding is not null").select("query_id", "embedding")
+    n_own, n_asked = own.count() // vector_rows + 1, asked.count() // query_rows + 1
+    deal = lambda rows, key, mine, n_mine, other, n_other: rows.withColumn(mine, F.pmod(F.xxhash64(key), F.lit(n_mine)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
+    left, right = deal(asked, "query_id", "a", n_asked, "b", n_own), deal(own, "fragment_id", "b", n_own, "a", n_asked)
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(a) and len(b):
+            b = b.sort_values("fragment_id")
+            ids, held = b["fragment_id"].to_numpy(), np.stack(b["embedding"].to_numpy()).astype(np.float64)
+            for at in range(0, len(a), 128):
+                part = a.iloc[at : at + 128]
+                similar = np.round(np.stack(part["embedding"].to_numpy()).astype(np.float64) @ held.T, 8)
+                least = np.partition(similar, -min(k, len(ids)), axis=1)[:, -min(k, len(ids))]
+                for query, row, low in zip(part["query_id"], similar, least, strict=True):
+                    at_least = np.flatnonzero(row >= low)
+                    chosen = at_least[np.argsort(-row[at_least], kind="stable")][:k]
+                    found.append(pd.DataFrame({"query_id": query, "fragment_id": ids[chosen], "similarity": row[chosen]}))
+        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "fragment_id": [], "similarity": []}, dtype=object)
+
+    kinds = f"query_id {asked.schema['query_id'].dataType.simpleString()}, fragment_id string, similarity double"
+    near = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(best, kinds)
+    order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "fragment_id")
+    return near.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k).drop("_rank")
+
+
+def _word_share(question: str) -> Column:
+    """The share of the question's words that `text` holds."""
+    terms = sorted({t for t in question.lower().replace("ё", "е").split() if t})
+    hay = F.translate(F.lower("text"), "ё", "е")
+    return sum((F.contains(hay, F.lit(t)).cast("int") for t in terms), F.lit(0)) / max(len(terms), 1)
+
+
+def hybrid_each(vectors: DataFrame, fragments: DataFrame, queries: DataFrame, question: str, hidden: DataFrame | None = None, k: int = 8, fetch: int = 3) -> DataFrame:
+    """query_id, fragment_id, score: `hybrid` for each of many queries (query_id, embedding) with the words of one question."""
+    rows = fragments.join(hidden, "document_id", "left_anti") if hidden is not None else fragments
+    near = nearest_each(vectors.join(rows.select("fragment_id"), "fragment_id", "left_semi"), queries, fetch * k)
+    # The words of a fragment are looked for once, however many queries it is near to.
+    shares = rows.select("fragment_id", _word_share(question).alias("share"))
+    both = near.join(shares, "fragment_id").withColumn("score", F.round(F.col("similarity") * 0.72 + F.col("share") * 0.28, 4)).where("score > 0")
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "fragment_id")
+    return both.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k).select("query_id", "fragment_id", "score")
+
+
 def hybrid(vectors: DataFrame, fragments: DataFrame, query: list[float], question: str, hidden: DataFrame | None = None, k: int = 8, fetch: int = 3) -> DataFrame:
     """fragment_id, score: of the fetch * k nearest visible fragments, 0.72 of similarity and 0.28 of the share of the question's words they hold.
 
     Hidden documents are left out before the cut, so a page of k is full whenever there are k.
     """
-    terms = sorted({t for t in question.lower().replace("ё", "е").split() if t})
     rows = fragments.join(hidden, "document_id", "left_anti") if hidden is not None else fragments
     near = nearest(vectors.join(rows.select("fragment_id"), "fragment_id", "left_semi"), query, fetch * k)
-    hay = F.translate(F.lower("text"), "ё", "е")
-    share = sum((F.contains(hay, F.lit(t)).cast("int") for t in terms), F.lit(0)) / max(len(terms), 1)
     # At most fetch * k rows on one side.
-    both = rows.join(F.broadcast(near), "fragment_id").withColumn("score", F.round(F.col("similarity") * 0.72 + share * 0.28, 4))
+    both = rows.join(F.broadcast(near), "fragment_id").withColumn("score", F.round(F.col("similarity") * 0.72 + _word_share(question) * 0.28, 4))
     return both.where("score > 0").orderBy(F.col("score").desc(), "fragment_id").limit(k).select("fragment_id", "score")

@@ -9,25 +9,24 @@ from ..functions import text as tx
 from ..functions.vectors import dot, hash_embedding
 from ..operators import search as op
 
-#: A fixed query vector of unit length.
-QUERY = tuple(((k * 37) % 11 - 5) / 5 for k in range(64))
-_NORM = sum(x * x for x in QUERY) ** 0.5
-QUERY = tuple(round(x / _NORM, 6) for x in QUERY)
-
-
 def _vectors(spark, d):
     return views.table(spark, d, "embeddings").select(F.concat(F.lit("fragment-v"), F.col("vec_id").cast("string")).alias("fragment_id"), "vec_id", "embedding")
 
 
+def _asked(spark, d):
+    """The stated queries of a search: every vector whose number is divisible by 20."""
+    return views.table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
 def vector_topk(spark, d):
-    return op.nearest(_vectors(spark, d), list(QUERY), 10).select("fragment_id", F.round("similarity", 4).alias("similarity"))
+    return op.nearest_each(_vectors(spark, d), _asked(spark, d), 10).select("query_id", "fragment_id", F.round("similarity", 4).alias("similarity"))
 
 
 def hybrid_search(spark, d):
     """Documents stand for the fragments of the vectors of their number."""
     texts = views.table(spark, d, "documents").select(F.concat(F.lit("fragment-v"), F.col("doc_id").cast("string")).alias("fragment_id"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("document_id"), "text")
     hidden = views.documents(spark, d).where("hidden").select("document_id")
-    return op.hybrid(_vectors(spark, d), texts, list(QUERY), "the and ention of", hidden, 8)
+    return op.hybrid_each(_vectors(spark, d), texts, _asked(spark, d), "the and ention of", hidden, 8)
 
 
 def cosine_pairs(spark, d):
@@ -60,16 +59,19 @@ def quote_in_source(spark, d):
 
 QUERIES = {f.__name__: f for f in (vector_topk, hybrid_search, cosine_pairs, hash_embed, quote_in_source)}
 
-_Q = "[" + ", ".join(f"{x}::double" for x in QUERY) + "]"
+_DOT = "round(list_dot_product(q.embedding::double[], e.embedding::double[]), 8)"
 _KEY = "trim(regexp_replace(translate(lower(text), '«»\"''“”„‘’—–-' || chr(173) || chr(8209), repeat(' ', 14)), '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g'))"
 
 ORACLE_SQL = {
-    "vector_topk": f"""select 'fragment-v' || vec_id as fragment_id, round(list_dot_product(embedding::double[], {_Q}), 4) as similarity from embeddings
-        order by round(list_dot_product(embedding::double[], {_Q}), 8) desc, fragment_id limit 10""",
-    "hybrid_search": f"""with {views.SQL}, near as (select doc_id, text, round(list_dot_product(embedding::double[], {_Q}), 8) as s from embeddings join documents on doc_id = vec_id
-          where 'doc-' || doc_id not in (select document_id from docs_v where hidden) order by s desc, 'fragment-v' || doc_id limit 24)
-        select 'fragment-v' || doc_id as fragment_id, round(s * 0.72 + 0.28 * (cast(contains(lower(text), 'and') as int) + cast(contains(lower(text), 'ention') as int)
-          + cast(contains(lower(text), 'of') as int) + cast(contains(lower(text), 'the') as int)) / 4.0, 4) as score from near where score > 0 order by score desc, fragment_id limit 8""",
+    "vector_topk": f"""select q.vec_id as query_id, 'fragment-v' || e.vec_id as fragment_id, round({_DOT}, 4) as similarity from embeddings q, embeddings e where q.vec_id % 20 = 0
+        qualify row_number() over (partition by q.vec_id order by {_DOT} desc, 'fragment-v' || e.vec_id) <= 10""",
+    "hybrid_search": f"""with {views.SQL}, shown as (select vec_id, embedding, (cast(contains(lower(text), 'and') as int) + cast(contains(lower(text), 'ention') as int)
+            + cast(contains(lower(text), 'of') as int) + cast(contains(lower(text), 'the') as int)) / 4.0 as share
+          from embeddings join documents on doc_id = vec_id where 'doc-' || doc_id not in (select document_id from docs_v where hidden)),
+        near as (select q.vec_id as query_id, 'fragment-v' || e.vec_id as fragment_id, {_DOT} as s, e.share from embeddings q, shown e where q.vec_id % 20 = 0
+          qualify row_number() over (partition by q.vec_id order by s desc, fragment_id) <= 24)
+        select query_id, fragment_id, round(s * 0.72 + 0.28 * share, 4) as score from near where score > 0
+        qualify row_number() over (partition by query_id order by score desc, fragment_id) <= 8""",
     "cosine_pairs": "select a.vec_id, round(list_dot_product(a.embedding::double[], b.embedding::double[]), 6) as cosine from embeddings a join embeddings b on b.vec_id = a.vec_id + 1",
     "hash_embed": r"""with w as (select conv_id || '-' || turn as id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}_]+')) as word from conversations),
         c as (select id, cast('0x' || substr(sha256(word), 1, 4) as int) % 64 as place, count(*) as n from w group by all)
