@@ -119,8 +119,10 @@ def pptx_blocks(data: bytes) -> Iterator[tuple]:
     names = sorted((n for n in archive.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
     for number, name in enumerate(names, 1):
         root, table = ElementTree.fromstring(archive.read(name)), 0
+        # The bodies of cells belong to the tables' rows alone.
+        cells = {body for t in root.iter() if _tag(t) == "tbl" for body in t.iter() if _tag(body) == "txBody"}
         for shape in root.iter():
-            if _tag(shape) == "txBody" and _run_text(shape).strip():
+            if _tag(shape) == "txBody" and shape not in cells and _run_text(shape).strip():
                 yield "pptx_text", f"Slide {number}", None, None, _run_text(shape).strip()
         for t in (e for e in root.iter() if _tag(e) == "tbl"):
             table += 1
@@ -130,16 +132,30 @@ def pptx_blocks(data: bytes) -> Iterator[tuple]:
                     yield "pptx_table_row", f"Slide {number}", table, k, " | ".join(c for c in cells if c)
 
 
+def _sheets(archive: zipfile.ZipFile) -> list[tuple[str, str]]:
+    """File and title of each sheet, in the workbook's order; which file a sheet is in its relations say. Without relations sheets go by the numbers of their files."""
+    listed = [s for s in ElementTree.fromstring(archive.read("xl/workbook.xml")).iter() if _tag(s) == "sheet"]
+    files = sorted((n for n in archive.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
+    if "xl/_rels/workbook.xml.rels" not in archive.namelist():
+        return list(zip(files, [s.attrib.get("name", "") for s in listed] + [""] * len(files), strict=False))
+    targets = {r.attrib.get("Id"): r.attrib.get("Target", "") for r in ElementTree.fromstring(archive.read("xl/_rels/workbook.xml.rels"))}
+    found = []
+    for sheet in listed:
+        target = targets.get(next((v for k, v in sheet.attrib.items() if k.endswith("}id")), None), "")
+        path = target[1:] if target.startswith("/") else f"xl/{target}"
+        if path in archive.namelist():
+            found.append((path, sheet.attrib.get("name", "")))
+    return found
+
+
 def xlsx_rows(data: bytes) -> Iterator[tuple]:
     """For each sheet its first filled row as head, the others as name=value pairs."""
     archive = zipfile.ZipFile(io.BytesIO(data))
     shared = []
     if "xl/sharedStrings.xml" in archive.namelist():
         shared = ["".join(t.text or "" for t in s.iter() if _tag(t) == "t") for s in ElementTree.fromstring(archive.read("xl/sharedStrings.xml")) if _tag(s) == "si"]
-    titles = [s.attrib.get("name", "") for s in ElementTree.fromstring(archive.read("xl/workbook.xml")).iter() if _tag(s) == "sheet"]
-    sheets = sorted((n for n in archive.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
-    for number, name in enumerate(sheets):
-        section, heads = f"XLSX sheet {titles[number] if number < len(titles) else number + 1}", []
+    for number, (name, title) in enumerate(_sheets(archive)):
+        section, heads = f"XLSX sheet {title or number + 1}", []
         for row in (e for e in ElementTree.fromstring(archive.read(name)).iter() if _tag(e) == "row"):
             values: dict[int, str] = {}
             for cell in (c for c in row if _tag(c) == "c"):

@@ -61,3 +61,33 @@ def test_traits(spark):
     assert {r.document_id: r.origin for r in traits.origin(spark.createDataFrame([("a", "Latin text"), ("b", "русский x")], "document_id string, text string")).collect()} == {"a": "foreign", "b": "ru"}
     names = spark.createDataFrame([("d", 1, "Утверждаю Директор И.И. Косов Я.И., Л.Б. Цымбулов"), ("d", 2, "Затицкий Борис Эдуардович; D.M. Bogatyrev; косов Косов Б.Б.")], "document_id string, ordinal int, text string")
     assert traits.authors(names).first().authors == ["Косов Я.И.", "Цымбулов Л.Б.", "Bogatyrev D.M.", "Затицкий Б.Э."]
+
+
+def test_bodies_of_slide_cells_are_rows_only(spark):
+    cell = lambda t: f"<a:tc><a:txBody><a:p><a:r><a:t>{t}</a:t></a:r></a:p></a:txBody></a:tc>"
+    slide = f'<p:sld xmlns:p="p" xmlns:a="a"><p:sp><p:txBody><a:p><a:r><a:t>Title</a:t></a:r></a:p></p:txBody></p:sp><a:tbl><a:tr>{cell("x")}{cell("y")}</a:tr></a:tbl></p:sld>'
+    assert [(x[0], x[-1]) for x in files.pptx_blocks(archive(ppt__slides__slide1_xml=slide))] == [("pptx_text", "Title"), ("pptx_table_row", "x | y")]
+
+
+def test_sheets_follow_the_relations(spark):
+    import io
+    import zipfile
+
+    sheet = lambda t: f'<worksheet xmlns="m"><sheetData><row r="1"><c r="A1" t="inlineStr"><is><t>{t}</t></is></c></row></sheetData></worksheet>'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/workbook.xml", '<workbook xmlns="m" xmlns:r="r"><sheets><sheet name="First" r:id="rId9"/><sheet name="Second" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="x"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/><Relationship Id="rId9" Target="/xl/worksheets/sheet2.xml"/></Relationships>')
+        z.writestr("xl/worksheets/sheet1.xml", sheet("in one"))
+        z.writestr("xl/worksheets/sheet2.xml", sheet("in two"))
+    assert [(x[1], x[-1]) for x in files.xlsx_rows(out.getvalue())] == [("XLSX sheet First", "in two"), ("XLSX sheet Second", "in one")]
+
+
+def test_years_of_the_first_pages_and_origin_of_the_head(spark):
+    schema = "document_id string, page int, ordinal int, text string"
+    rows = [("a", 1, 1, "2001 2001 2001"), ("a", 2, 2, "Москва, 2003 г."), ("a", 5, 3, "год 2010 2010"), ("b", 3, 1, "1999 и 2999, x2005"), ("c", 1, 1, None), ("c", 2, 2, "none"), ("c", 3, 3, "2004")]
+    assert {r.document_id: r.year for r in traits.year_mode(spark.createDataFrame(rows, schema)).collect()} == {"a": 2003, "b": 1999}
+    long = [("l", 1, k, "latin words" if k <= 40 else "русские слова " * 99) for k in range(1, 80)]
+    assert traits.origin(spark.createDataFrame(long, schema)).first().origin == "foreign"
+    names = spark.createDataFrame([("a 9-6-22.doc",), ("b 1.1.99 2.2.21.doc",), ("c_2020.doc",), ("d 2020 2031.doc",), (None,)], "n string")
+    assert [r.y for r in names.select(traits.filename_year(F.col("n"), 2026).alias("y")).collect()] == [2022, 2021, None, 2020, None]
