@@ -68,13 +68,12 @@ def relevant_by_meaning(results: DataFrame, question_vector: list[float], least:
 
 
 def parse_atom(feeds: DataFrame, most: int = 5) -> DataFrame:
-    """feeds (question_id, body: Atom XML) -> title, url, snippet, year, source of its entries."""
+    """feeds (question_id, body: Atom XML) -> title, url, snippet, year, source of its entries; what an entry lacks is empty."""
     body = F.regexp_replace("body", r'xmlns="[^"]*"', "")
-    field = lambda f: F.expr(f"xpath(_body, '//entry/{f}/text()')")
-    rows = feeds.withColumn("_body", body).withColumn("_n", F.expr("xpath(_body, '//entry/id/text()')"))
-    zipped = F.slice(F.arrays_zip(F.col("_n").alias("url"), field("title").alias("title"), field("summary").alias("snippet"), field("published").alias("published")), 1, most)
-    one = rows.select("question_id", F.posexplode(zipped).alias("position", "e"))
-    return _results(one, F.col("e.title"), F.col("e.url"), F.col("e.snippet"), tx.year_in(F.col("e.published")), "arxiv")
+    entries = F.slice(F.regexp_extract_all(body, F.lit(r"(?s)<entry[\s>].*?</entry>"), F.lit(0)), 1, most)
+    field = lambda f: F.expr(f"xpath_string(_entry, '/entry/{f}')")
+    one = feeds.select("question_id", F.posexplode(entries).alias("position", "_entry"))
+    return _results(one, field("title"), field("id"), field("summary"), tx.year_in(field("published")), "arxiv")
 
 
 def parse_crossref(answers: DataFrame, most: int = 5) -> DataFrame:

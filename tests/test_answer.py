@@ -89,3 +89,10 @@ def test_web(spark):
     results = spark.createDataFrame([(1, 0, 0, "A", "http://x.org/1", "медь"), (1, 0, 1, "a", "http://y.org", ""), (1, 1, 0, "B", "https://www.x.org/1/", "s"), (1, 1, 1, "C", "http://z.org", "никель")], "question_id int, priority int, position int, title string, url string, snippet string")
     assert [r.title for r in web.merge_results(results).orderBy("rank").collect()] == ["A", "C"]
     assert [r.url for r in web.relevant(results, "про никеля").collect()] == ["http://z.org"] and web.from_domains(results, ("y.org",)).count() == 1
+
+
+def test_atom_entries_keep_their_own_fields(spark):
+    feed = """<feed xmlns="a" xmlns:x="y"><title>all</title><entry><id>u1</id><title>A</title></entry>
+        <entry><id>u2</id><published>2019-01-02</published><title>B</title><summary>s2 &amp; more</summary><x:c>z</x:c></entry><entry><title>no url</title></entry></feed>"""
+    got = web.parse_atom(spark.createDataFrame([(1, feed), (2, None)], "question_id int, body string")).orderBy("position").collect()
+    assert [(r.title, r.url, r.snippet, r.year) for r in got] == [("A", "u1", "", None), ("B", "u2", "s2 & more", 2019)]
