@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chunking, mixing, packing, sharding, simhash, substrings, tiff, token_counts, toxicity, url_filter
+from . import chunking, mixing, negatives, packing, periodic, sharding, simhash, substrings, tiff, token_counts, toxicity, url_filter
 from .common import table
 
 
@@ -57,6 +57,20 @@ def op10_sharding(spark, sf_dir):
     return sharding.shard(docs.select("doc_id", "source", F.length("text").cast("long").alias("n_chars")))
 
 
+def op11_periodic_runs(spark, sf_dir):
+    return periodic.digests(periodic.detect(periodic.with_periods(table(spark, sf_dir, "documents"))))
+
+
+def relabelled(rows):
+    """The embeddings that op13 mines: of every seventh id the label that follows."""
+    label = F.col("label").cast("long")
+    return rows.select("vec_id", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label).alias("label"), "embedding")
+
+
+def op13_hard_negatives(spark, sf_dir):
+    return negatives.mine(relabelled(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_packing": op2_packing,
@@ -68,6 +82,8 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_tiff": op9_tiff,
     "op10_sharding": op10_sharding,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE_SQL = {
@@ -100,6 +116,46 @@ from d left join kept using (doc_id) left join (select doc_id, count(*) as n fro
 with t as (select [{", ".join(map(str, sharding.fill()))}] as owner),
 d as (select doc_id, source, length(text) as n_chars, cast(cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 15) as bigint) % {sharding.SLOTS} as int) as slot from documents)
 select doc_id, source, n_chars, slot, 'shard-' || lpad(cast(owner[slot + 1] as varchar), 3, '0') as shard from d, t
+""",
+    "op11_periodic_runs": r"""
+with crc as (select list(list_reduce([k, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end) order by k) as t from (select unnest(range(256)) as k)),
+src as (
+  select row_number() over () as r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as w,
+         xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(cast(doc_id as varchar), ''), lambda c: cast(ascii(c) as bigint))), lambda x, y: xor(x >> 8, t[(xor(x, y) & 255) + 1]))) as h
+  from documents, crc),
+cut as (select r, doc_id, w, len(w) as n, h, case when h % 10 = 0 and len(w) > 0 then (h // 10) % len(w) else len(w) end as a from src),
+per as (select *, 1 + (n - a) // (3 + (h // 10) % 8) as p from cut),
+word as (select r, n, pos, case when pos < a then w[pos + 1] else w[a + (pos - a) % p + 1] end as x from (select *, unnest(range(n)) as pos from per)),
+pair as (select l.r, l.pos, k.pos - l.pos as q from word l join word k on l.r = k.r and l.x = k.x and k.pos > l.pos and 3 * (k.pos - l.pos) <= l.n),
+hit as (select r, q from pair group by r, q having count(*) >= greatest(24 - q, 2 * q)),
+isle as (select r, q, pos, pos - row_number() over (partition by r, q order by pos) as g from pair join hit using (r, q)),
+stretch as (select r, q, min(pos) as s, count(*) + q as len from isle group by r, q, g having count(*) >= greatest(24 - q, 2 * q)),
+run as (select r, s, len, min(q) as q from stretch group by r, s, len),
+sums as (
+  select r, count(*) as n_runs, sha256(string_agg(s || ',' || len || ',' || q || chr(10), '' order by s, q)) as runs_sha256,
+         first(struct_pack(s := s, len := len, q := q) order by 1.0::double * len / q desc, s, q) as best
+  from run group by r),
+gone as (select distinct r, unnest(range(s + q, s + len)) as pos from run),
+kept as (select r, string_agg(x, ' ' order by pos) as t from word anti join gone using (r, pos) group by r)
+select doc_id, n as n_words, coalesce(n_runs, 0) as n_runs, best.s as start, best.len as length, best.q as period, 1000 * best.len // best.q as exponent_milli,
+       coalesce(runs_sha256, sha256('')) as runs_sha256, sha256(coalesce(t, '')) as collapsed_sha256
+from per left join sums using (r) left join kept using (r)
+""",
+    "op13_hard_negatives": r"""
+with e as (
+  select vec_id, case when vec_id % 7 = 0 then (cast(label as bigint) + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+  from embeddings where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select a.vec_id as anchor_id, b.vec_id, b.label = a.label as same, cast(list_inner_product(a.v, b.v) as bigint) as score
+  from e a cross join e b where a.vec_id % 50 = 0),
+p as (
+  select anchor_id, vec_id as positive_id, score as positive_score from s where same and vec_id <> anchor_id
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+n as (
+  select anchor_id, positive_id, positive_score, vec_id as negative_id, score as negative_score,
+         row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) as rank
+  from p join s using (anchor_id) where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score)
+select anchor_id, positive_id, cast(rank as int) as rank, negative_id, positive_score, negative_score from n where rank <= 3
 """,
     "op8_mixing": rf"""
 with d as (select doc_id, source, cast(len(coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])) as bigint) as size,
