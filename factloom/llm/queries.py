@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chunking, mixing, negatives, packing, periodic, sharding, simhash, substrings, tiff, token_counts, toxicity, url_filter
+from . import chunking, mixing, negatives, packing, periodic, setjoin, sharding, simhash, substrings, tiff, token_counts, toxicity, url_filter
 from .common import table
 
 
@@ -61,6 +61,10 @@ def op11_periodic_runs(spark, sf_dir):
     return periodic.digests(periodic.detect(periodic.with_periods(table(spark, sf_dir, "documents"))))
 
 
+def op12_jaccard_join(spark, sf_dir):
+    return setjoin.link_components(table(spark, sf_dir, "documents"))
+
+
 def relabelled(rows):
     """The embeddings that op13 mines: of every seventh id the label that follows."""
     label = F.col("label").cast("long")
@@ -83,6 +87,7 @@ QUERIES = {
     "op9_tiff": op9_tiff,
     "op10_sharding": op10_sharding,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_jaccard_join": op12_jaccard_join,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
@@ -140,6 +145,18 @@ kept as (select r, string_agg(x, ' ' order by pos) as t from word anti join gone
 select doc_id, n as n_words, coalesce(n_runs, 0) as n_runs, best.s as start, best.len as length, best.q as period, 1000 * best.len // best.q as exponent_milli,
        coalesce(runs_sha256, sha256('')) as runs_sha256, sha256(coalesce(t, '')) as collapsed_sha256
 from per left join sums using (r) left join kept using (r)
+""",
+    "op12_jaccard_join": r"""
+with recursive d as (
+  select row_number() over () as r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) as w from documents),
+sh as (select distinct r, array_to_string(w[k:k + 3], ' ') as s from (select r, w, unnest(range(1, greatest(len(w) - 2, 2))) as k from d where len(w) > 0)),
+size as (select r, count(*) as n from sh group by r),
+both as (select a.r as x, b.r as y, count(*) as o from sh a join sh b using (s) where a.r < b.r group by a.r, b.r),
+link as (select x, y from both join size a on a.r = x join size b on b.r = y where 100 * o >= 85 * (a.n + b.n - o)),
+edge as (select x, y from link union all select y, x from link),
+reach as (select r, r as y from d union select reach.r, edge.y from reach join edge on edge.x = reach.y)
+select a.doc_id, coalesce(any_value(n), 0) as n_shingles, min(b.doc_id) as component_id
+from d a join reach using (r) join d b on b.r = reach.y left join size on size.r = a.r group by a.r, a.doc_id
 """,
     "op13_hard_negatives": r"""
 with e as (
