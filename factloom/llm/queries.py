@@ -151,8 +151,8 @@ with recursive d as (
   select row_number() over () as r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) as w from documents),
 sh as (select distinct r, array_to_string(w[k:k + 3], ' ') as s from (select r, w, unnest(range(1, greatest(len(w) - 2, 2))) as k from d where len(w) > 0)),
 size as (select r, count(*) as n from sh group by r),
-both as (select a.r as x, b.r as y, count(*) as o from sh a join sh b using (s) where a.r < b.r group by a.r, b.r),
-link as (select x, y from both join size a on a.r = x join size b on b.r = y where 100 * o >= 85 * (a.n + b.n - o)),
+shared as (select a.r as x, b.r as y, count(*) as o from sh a join sh b using (s) where a.r < b.r group by a.r, b.r),
+link as (select x, y from shared join size a on a.r = x join size b on b.r = y where 100 * o >= 85 * (a.n + b.n - o)),
 edge as (select x, y from link union all select y, x from link),
 reach as (select r, r as y from d union select reach.r, edge.y from reach join edge on edge.x = reach.y)
 select a.doc_id, coalesce(any_value(n), 0) as n_shingles, min(b.doc_id) as component_id

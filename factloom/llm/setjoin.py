@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import counted_join, dropped, short, written
+from .common import counted_join, dropped, short, shuffle_width, written
 from .copies import prefix, set_digest, shingle_sets
-from .simhash import components
+from .simhash import components, product
 
 
 def counted(tokens: np.ndarray, counts: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,8 +50,11 @@ def frequent(docs: DataFrame, shingle: int, seed: int, keep: int = 1 << 16) -> t
         tokens, counts, new = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
 
         def merged():
-            fresh = np.concatenate(new) if new else np.zeros(0, np.uint64)
-            return counted(np.concatenate([tokens, fresh]), np.concatenate([counts, np.ones(len(fresh), np.int64)]), 4 * keep)
+            fresh = np.sort(np.concatenate(new)) if new else np.zeros(0, np.uint64)
+            begins = np.flatnonzero(np.concatenate([[True], fresh[1:] != fresh[:-1]])) if len(fresh) else np.zeros(0, np.int64)
+            many = np.diff(np.append(begins, len(fresh)))
+            again = many > 1  # what a thousand texts or so hold once is not frequent
+            return counted(np.concatenate([tokens, fresh[begins[again]]]), np.concatenate([counts, many[again]]), 4 * keep)
 
         for batch in short(batches):
             new += shingle_sets(batch.column(0).cast(pa.binary()).to_pylist(), shingle, seed)
@@ -101,12 +104,11 @@ def differing(bitmaps: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def open_pairs(part: pd.DataFrame, p: int, q: int):
-    """Of one list, the positions a, b of pairs of different roots whose blocks could give the similarity; in blocks."""
-    n, at, root = (part[c].to_numpy() for c in ("n", "at", "root"))
-    blocks, block = np.unique(n.astype(np.int64) << 32 | at.astype(np.int64), return_inverse=True)
+def open_pairs(n: np.ndarray, at: np.ndarray, root: np.ndarray, p: int, q: int):
+    """Of one list, the positions a, b of pairs of different roots whose blocks could give the similarity; in turns."""
+    blocks, block = np.unique(n << 32 | at, return_inverse=True)
     size, position = blocks >> 32, blocks & 0xFFFFFFFF
-    roots, of, times = np.unique(root, return_inverse=True, return_counts=True)
+    _, of, times = np.unique(root, return_inverse=True, return_counts=True)
     minor = np.flatnonzero(of != times.argmax())  # each pair of different roots has one outside the largest
     rank = np.full(len(n), -1)
     rank[minor] = np.arange(len(minor))
@@ -120,37 +122,80 @@ def open_pairs(part: pd.DataFrame, p: int, q: int):
         yield x[a], b
 
 
-def met_pairs(p: int, q: int, best_only: bool):
-    """The task of a list, or of two of its blocks (side 0 and 1): u, v and known: 1 for a link that is derived, null for one to be computed."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sid, n, root = (pdf[c].to_numpy() for c in ("sid", "n", "root"))
-        side, hub = pdf["side"].to_numpy(), pdf["hub"].fillna(0).to_numpy(np.int64)
-        overlap, n_hub = pdf["overlap"].fillna(-1).to_numpy(np.int64), pdf["n_hub"].fillna(0).to_numpy(np.int64)
-        bitmaps = pdf["bits"].tolist()
-        two = len(np.unique(side)) > 1
-        found = []
-        for a, b in open_pairs(pdf, p, q):
-            if two:  # pairs within a block are another task's
-                a, b = a[side[a] != side[b]], b[side[a] != side[b]]
-            shared = (overlap[a] >= 0) & (overlap[b] >= 0) & (hub[a] == hub[b])
-            most = np.minimum(n[a], n[b])
-            most = np.where(shared, np.minimum(most, np.minimum(overlap[a], overlap[b]) + np.minimum(n[a] - overlap[a], n[b] - overlap[b])), most)
-            least = np.where(shared, overlap[a] + overlap[b] - n_hub[a], 0)
-            keep = alike(p, q, most, n[a], n[b])
-            a, b, most, least = a[keep], b[keep], most[keep], least[keep]
-            most = np.minimum(most, (n[a] + n[b] - differing(bitmaps, a, b)) // 2)
-            keep = alike(p, q, most, n[a], n[b])
-            a, b, most, least = a[keep], b[keep], most[keep], least[keep]
-            sure = alike(p, q, least, n[a], n[b])
-            found.append(pd.DataFrame({"a": a, "b": b, "u": np.maximum(sid[a], sid[b]), "v": np.minimum(sid[a], sid[b]), "known": np.where(sure, 1, 0), "short": p * (n[a] + n[b]) - (p + q) * most}))
-        if not found:
-            return pd.DataFrame({"u": [], "v": [], "known": []}).astype("int64")
-        every = pd.concat(found)
-        if best_only and len(every):  # of two components the pair that is furthest above the similarity
-            every["r"], every["s"] = np.maximum(root[every["a"]], root[every["b"]]), np.minimum(root[every["a"]], root[every["b"]])
-            every = every.sort_values(["known", "short"], ascending=[False, True], kind="stable").drop_duplicates(["r", "s"])
-        return every[["u", "v", "known"]]
+ENTRY = ["token", "low", "high", "side", "sid", "n", "at", "root", "hub", "overlap", "n_hub", "bits"]
+
+
+def pairs_of(columns: dict[str, np.ndarray], bitmaps: list[bytes], p: int, q: int, best_only: bool, few: int = 24) -> pd.DataFrame:
+    """u, v and known (1 for a link that is derived, 0 for a pair to be computed) of whole lists, or pairs of their blocks (side 0 and 1), one behind the other."""
+    sid, n, at, root, side = (columns[c] for c in ("sid", "n", "at", "root", "side"))
+    hub, overlap, n_hub = (columns[c] for c in ("hub", "overlap", "n_hub"))
+    turn = np.zeros(len(sid), bool)
+    turn[:1] = True
+    for c in ("token", "low", "high"):
+        turn[1:] |= columns[c][1:] != columns[c][:-1]
+    begins = np.flatnonzero(turn)
+    ends = np.append(begins[1:], len(sid))
+    of = np.cumsum(turn) - 1
+    found = []
+
+    def refine(a, b):
+        two = columns["low"][a] != columns["high"][a]  # pairs within a block are another task's
+        keep = ~two | (side[a] != side[b])
+        a, b = a[keep], b[keep]
+        shared = (overlap[a] >= 0) & (overlap[b] >= 0) & (hub[a] == hub[b])
+        most = np.minimum(n[a], n[b])
+        most = np.where(shared, np.minimum(most, np.minimum(overlap[a], overlap[b]) + np.minimum(n[a] - overlap[a], n[b] - overlap[b])), most)
+        least = np.where(shared, overlap[a] + overlap[b] - n_hub[a], 0)
+        keep = alike(p, q, most, n[a], n[b])
+        a, b, most, least = a[keep], b[keep], most[keep], least[keep]
+        most = np.minimum(most, (n[a] + n[b] - differing(bitmaps, a, b)) // 2)
+        keep = alike(p, q, most, n[a], n[b])
+        a, b, most, least = a[keep], b[keep], most[keep], least[keep]
+        known = alike(p, q, least, n[a], n[b]).astype(np.int64)
+        one = pd.DataFrame({"u": np.maximum(sid[a], sid[b]), "v": np.minimum(sid[a], sid[b]), "known": known})
+        if best_only:  # of two components in a list the pair that is furthest above the similarity
+            one["list"], one["r"], one["s"], one["short"] = of[a], np.maximum(root[a], root[b]), np.minimum(root[a], root[b]), p * (n[a] + n[b]) - (p + q) * most
+            one = one.sort_values(["known", "short"], ascending=[False, True], kind="stable").drop_duplicates(["list", "r", "s"])
+        found.append(one[["u", "v", "known"]].drop_duplicates())
+
+    small = ends - begins <= few
+    low, high = begins[small], ends[small]
+    for k in range(0, len(low), 1 << 13):
+        a, b = product(low[k : k + (1 << 13)], high[k : k + (1 << 13)], low[k : k + (1 << 13)], high[k : k + (1 << 13)])
+        keep = (a < b) & (root[a] != root[b])
+        a, b = a[keep], b[keep]
+        keep = alike(p, q, np.minimum(n[a] - at[a], n[b] - at[b]), n[a], n[b])
+        refine(a[keep], b[keep])
+    for low, high in zip(begins[~small].tolist(), ends[~small].tolist(), strict=True):
+        for a, b in open_pairs(n[low:high], at[low:high], root[low:high], p, q):
+            refine(a + low, b + low)
+    return pd.concat(found).drop_duplicates() if found else pd.DataFrame({"u": [], "v": [], "known": []}).astype("int64")
+
+
+def met_pairs(p: int, q: int, best_only: bool, rows: int = 1 << 15):
+    """The task that reads entries in the order of their lists and hands about `rows` at once, whole lists, to pairs_of()."""
+
+    def handed(part: pa.Table):
+        columns = {c: part[c].to_numpy() for c in ENTRY[:-1]}
+        return pa.RecordBatch.from_pandas(pairs_of(columns, part["bits"].to_pylist(), p, q, best_only), preserve_index=False)
+
+    def run(batches):
+        held = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) < rows:
+                continue
+            part = pa.Table.from_batches(held).combine_chunks()
+            turn = np.zeros(part.num_rows, bool)
+            for c in ("token", "low", "high"):
+                x = part[c].to_numpy()
+                turn[1:] |= x[1:] != x[:-1]
+            cut = np.flatnonzero(turn)
+            if len(cut):
+                yield handed(part.slice(0, cut[-1]))
+                held = part.slice(cut[-1]).to_batches()
+        if held:
+            yield handed(pa.Table.from_batches(held).combine_chunks())
 
     return run
 
@@ -200,7 +245,7 @@ def link_components(docs: DataFrame, least: Fraction = Fraction(85, 100), shingl
                 new = sid is not None and sid not in seen
                 first = prefix(hashes, often, times, least) if new else None
                 firsts.append(first.view(np.int64) if new else None)
-                hots.append(int(np.isin(first, often, kind="sort").sum()) if new else None)
+                hots.append(int((often[np.minimum(np.searchsorted(often, first), len(often) - 1)] == first).sum()) if new and len(often) else 0)
                 if len(seen) >= 200_000:
                     seen.clear()
                 seen.add(sid)
@@ -245,7 +290,7 @@ def link_components(docs: DataFrame, least: Fraction = Fraction(85, 100), shingl
             led = led.select(F.col("u").alias("sid"), F.col("v").alias("hub"), "overlap", "n_hub").unionByName(led.select(F.col("v").alias("sid"), F.col("v").alias("hub"), F.col("n_hub").alias("overlap"), "n_hub"))
             led = led.groupBy("sid").agg(F.max(F.struct("overlap", "hub", "n_hub")).alias("led")).select("sid", "led.*")
             entries = open_.join(sets.select("sid", "bits"), "sid").join(led, "sid", "left")
-            pairs = written(tiled(entries, list_rows).applyInPandas(met_pairs(p, q, turn == rounds), "u long, v long, known long").groupBy("u", "v").agg(F.max("known").alias("known")))
+            pairs = written(tiled(entries, list_rows).mapInArrow(met_pairs(p, q, turn == rounds), "u long, v long, known long").groupBy("u", "v").agg(F.max("known").alias("known")))
             new = written(overlaps(pairs.where("known = 0").join(tested.select("u", "v"), ["u", "v"], "left_anti"), sets))
             more = linked(sized(new)).select("u", "v").unionByName(pairs.where("known = 1").select("u", "v"))
         links = written(more if links is None else links.unionByName(more))
@@ -284,10 +329,11 @@ def leaders(open_: DataFrame, turn: int, p: int, q: int) -> DataFrame:
     return best.select(F.col("sid").alias("u"), F.col("best.hub").alias("v"))
 
 
-def tiled(entries: DataFrame, list_rows: int):
-    """Entries grouped by list; those of a list of over `list_rows` entries by pairs of its blocks (side 0 and 1)."""
-    counted_rows = of_token(entries.select("token", "hot", "sid", "n", "at", "root", "hub", "overlap", "n_hub", "bits"), lists=F.count("sid"))
-    parts = F.ceil(F.col("lists") / list_rows).cast("int")
-    rows = counted_rows.withColumn("parts", parts).withColumn("mine", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    side = F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("side")
-    return rows.select("token", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), side, "sid", "n", "at", "root", "hub", "overlap", "n_hub", "bits").groupBy("token", "low", "high")
+def tiled(entries: DataFrame, list_rows: int) -> DataFrame:
+    """Entries in the order of their lists; those of a list of over `list_rows` entries by pairs of its blocks (side 0 and 1)."""
+    none = {"hub": 0, "overlap": -1, "n_hub": 0}
+    rows = of_token(entries.fillna(none).select("token", "hot", *ENTRY[4:]), lists=F.count("sid"))
+    rows = rows.withColumn("parts", F.ceil(F.col("lists") / list_rows).cast("int")).withColumn("mine", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("side", F.when(F.col("mine") <= F.col("other"), 0).otherwise(1))
+    rows = rows.select("token", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), *ENTRY[3:])
+    return rows.repartition(shuffle_width(entries.sparkSession), "token", "low", "high").sortWithinPartitions("token", "low", "high").select(*ENTRY)

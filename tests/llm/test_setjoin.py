@@ -80,15 +80,16 @@ def test_brute_force(spark, seed, how):
 
 def test_derived_answers_are_right():
     """Links and refusals that follow from a common leader agree with the sets themselves."""
-    import pandas as pd
-
     rng = np.random.default_rng(5)
     base = np.unique(rng.integers(0, 2**63, 120, dtype=np.uint64))
     sets = [base] + [np.unique(np.concatenate([rng.permutation(base)[: 120 - int(rng.integers(0, 18))], rng.integers(0, 2**63, int(rng.integers(0, 18)), dtype=np.uint64)])) for _ in range(60)]
     n = np.array([len(s) for s in sets])
     overlap = np.array([len(np.intersect1d(s, base)) for s in sets])
-    pdf = pd.DataFrame({"sid": np.arange(61), "n": n, "at": 0, "root": np.arange(61), "side": 0, "hub": 0, "overlap": overlap, "n_hub": len(base), "bits": [setjoin.parity(s) for s in sets]})
-    got = setjoin.met_pairs(17, 20, False)(pdf)
+    zero = np.zeros(61, np.int64)
+    columns = {"token": zero, "low": zero, "high": zero, "side": zero, "sid": np.arange(61), "n": n, "at": zero, "root": np.arange(61), "hub": zero, "overlap": overlap, "n_hub": zero + len(base)}
+    got = setjoin.pairs_of(columns, [setjoin.parity(s) for s in sets], 17, 20, False)
+    few = setjoin.pairs_of(columns, [setjoin.parity(s) for s in sets], 17, 20, False, few=100)
+    assert sorted(map(tuple, few.to_numpy())) == sorted(map(tuple, got.to_numpy()))
     links = {(j, i) for i in range(61) for j in range(i + 1, 61) if 20 * len(np.intersect1d(sets[i], sets[j])) >= 17 * len(np.union1d(sets[i], sets[j]))}
     sure = {(u, v) for u, v, k in got.itertuples(index=False) if k}
     assert sure and sure <= links <= {(u, v) for u, v, _ in got.itertuples(index=False)}
