@@ -200,12 +200,15 @@ def met_pairs(p: int, q: int, best_only: bool, rows: int = 1 << 15):
     return run
 
 
-def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """u, v and their overlap. sets: sid, tokens (sorted, as bytes), each sid once."""
-    side = lambda name: sets.select(F.col("sid").alias(name), F.col("tokens").alias(f"t_{name}"))
-    both = pairs.select("u", "v").join(side("u"), "u").join(side("v"), "v").select("u", "v", "t_u", "t_v")
+def overlaps(pairs: DataFrame, members: DataFrame, shingle: int, seed: int) -> DataFrame:
+    """u, v and their overlap, as a written table. members: sid, text, each sid once; only the sets that the pairs name are made."""
 
-    def run(batches):
+    def made(batches):
+        for batch in short(batches):
+            sets = shingle_sets(batch.column(1).cast(pa.binary()).to_pylist(), shingle, seed)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sid", "tokens"])
+
+    def compared(batches):
         for batch in short(batches, 64):
             found = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
@@ -214,7 +217,14 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 found.append(int((b[at] == a).sum()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], names=["u", "v", "overlap"])
 
-    return both.mapInArrow(run, "u long, v long, overlap long")
+    pairs = written(pairs.select("u", "v"))
+    named = pairs.select(F.col("u").alias("sid")).unionByName(pairs.select(F.col("v").alias("sid"))).distinct()
+    sets = written(members.select("sid", "text").join(named, "sid", "left_semi").mapInArrow(made, "sid long, tokens binary"))
+    side = lambda name: sets.select(F.col("sid").alias(name), F.col("tokens").alias(f"t_{name}"))
+    both = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "t_u", "t_v")
+    out = written(both.mapInArrow(compared, "u long, v long, overlap long"))
+    dropped(pairs, sets)
+    return out
 
 
 def of_token(rows: DataFrame, **values) -> DataFrame:
@@ -263,15 +273,15 @@ def link_components(docs: DataFrame, least: Fraction = Fraction(85, 100), shingl
 
     own = written(found.where("sid is not null").groupBy("sid").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("first")))
     docs_of = written(found.select("doc_id", F.col("n").alias("n_shingles"), "sid"))
-    sets = written(member_sets(docs, own.join(met.select("sid").distinct(), "sid", "left_semi"), shingle, seed))
+    members = written(member_texts(docs, own.join(met.select("sid").distinct(), "sid", "left_semi"), shingle, seed))
     dropped(found)
 
     known = spark.createDataFrame([], "u long, v long, overlap long")
     tested, root = known, spark.createDataFrame([], "node long, root long")
-    size = sets.select(F.col("sid").alias("v"), F.col("n").alias("n_hub"))
+    size = members.select(F.col("sid").alias("v"), F.col("n").alias("n_hub"))
     open_ = met
     linked = lambda o: o.where(alike(p, q, F.col("overlap"), F.col("n"), F.col("n_hub")))
-    sized = lambda o: o.join(sets.select(F.col("sid").alias("u"), "n"), "u").join(size, "v")
+    sized = lambda o: o.join(members.select(F.col("sid").alias("u"), "n"), "u").join(size, "v")
     links = None
     for turn in range(rounds + 2):
         rooted = open_.drop("root").join(root.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
@@ -281,7 +291,7 @@ def link_components(docs: DataFrame, least: Fraction = Fraction(85, 100), shingl
         if open_.isEmpty():
             break
         if turn < rounds:
-            new = written(overlaps(leaders(open_, turn, p, q).join(tested.select("u", "v"), ["u", "v"], "left_anti"), sets))
+            new = overlaps(leaders(open_, turn, p, q).join(tested.select("u", "v"), ["u", "v"], "left_anti"), members, shingle, seed)
             tested = tested.unionByName(new)
             more = linked(sized(new)).select("u", "v")
         else:
@@ -289,13 +299,13 @@ def link_components(docs: DataFrame, least: Fraction = Fraction(85, 100), shingl
             led = sized(tested)
             led = led.select(F.col("u").alias("sid"), F.col("v").alias("hub"), "overlap", "n_hub").unionByName(led.select(F.col("v").alias("sid"), F.col("v").alias("hub"), F.col("n_hub").alias("overlap"), "n_hub"))
             led = led.groupBy("sid").agg(F.max(F.struct("overlap", "hub", "n_hub")).alias("led")).select("sid", "led.*")
-            entries = open_.join(sets.select("sid", "bits"), "sid").join(led, "sid", "left")
+            entries = open_.join(members.select("sid", "bits"), "sid").join(led, "sid", "left")
             pairs = written(tiled(entries, list_rows).mapInArrow(met_pairs(p, q, turn == rounds), "u long, v long, known long").groupBy("u", "v").agg(F.max("known").alias("known")))
-            new = written(overlaps(pairs.where("known = 0").join(tested.select("u", "v"), ["u", "v"], "left_anti"), sets))
+            new = overlaps(pairs.where("known = 0").join(tested.select("u", "v"), ["u", "v"], "left_anti"), members, shingle, seed)
             more = linked(sized(new)).select("u", "v").unionByName(pairs.where("known = 1").select("u", "v"))
         links = written(more if links is None else links.unionByName(more))
         root = components(links)
-    dropped(open_, met, sets) if open_ is not met else dropped(met, sets)
+    dropped(open_, members)
 
     rooted = own.join(root, own.sid == root.node, "left").select("sid", "n", "least", F.coalesce("root", "sid").alias("root"))
     of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -304,19 +314,20 @@ def link_components(docs: DataFrame, least: Fraction = Fraction(85, 100), shingl
     return counted_join(docs_of.where("sid is not null"), one, ["sid"], docs_of.count()).select("doc_id", "n_shingles", "component_id").unionByName(alone)
 
 
-def member_sets(docs: DataFrame, needed: DataFrame, shingle: int, seed: int) -> DataFrame:
-    """sid, n, tokens (the sorted hashes, as bytes) and bits (their parity bitmap) of the sets that are listed with others. needed: sid and the row (`first`) that has it."""
+def member_texts(docs: DataFrame, needed: DataFrame, shingle: int, seed: int) -> DataFrame:
+    """sid, n, bits (the parity bitmap) and text of the sets that are listed with others. needed: sid and the row (`first`) that has it."""
+    keys = ["_id", "_null", "_digest"]
     key = lambda id_col, digest: [F.coalesce(id_col, F.lit(0)).alias("_id"), id_col.isNull().alias("_null"), digest.alias("_digest")]
     needed = needed.select("sid", *key(F.col("first.doc_id"), F.col("first.digest")))
-    texts = docs.select(*key(F.col("doc_id"), F.xxhash64("text")), "text").join(needed, ["_id", "_null", "_digest"]).select("sid", "text")
+    texts = docs.select(*key(F.col("doc_id"), F.xxhash64("text")), "text").join(needed, keys).dropDuplicates(keys).select("sid", "text")
 
     def run(batches):
         for batch in short(batches):
             sets = list(shingle_sets(batch.column(1).cast(pa.binary()).to_pylist(), shingle, seed))
-            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([parity(s) for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["sid", "n", "tokens", "bits"])
+            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([parity(s) for s in sets], pa.binary()), batch.column(1)]
+            yield pa.RecordBatch.from_arrays(columns, names=["sid", "n", "bits", "text"])
 
-    return texts.mapInArrow(run, "sid long, n long, tokens binary, bits binary").dropDuplicates(["sid"])
+    return texts.mapInArrow(run, "sid long, n long, bits binary, text string")
 
 
 def leaders(open_: DataFrame, turn: int, p: int, q: int) -> DataFrame:
