@@ -129,10 +129,8 @@ def pairs_of(columns: dict[str, np.ndarray], bitmaps: list[bytes], p: int, q: in
     """u, v and known (1 for a link that is derived, 0 for a pair to be computed) of whole lists, or pairs of their blocks (side 0 and 1), one behind the other."""
     sid, n, at, root, side = (columns[c] for c in ("sid", "n", "at", "root", "side"))
     hub, overlap, n_hub = (columns[c] for c in ("hub", "overlap", "n_hub"))
-    turn = np.zeros(len(sid), bool)
+    turn = turns(columns)
     turn[:1] = True
-    for c in ("token", "low", "high"):
-        turn[1:] |= columns[c][1:] != columns[c][:-1]
     begins = np.flatnonzero(turn)
     ends = np.append(begins[1:], len(sid))
     of = np.cumsum(turn) - 1
@@ -172,12 +170,16 @@ def pairs_of(columns: dict[str, np.ndarray], bitmaps: list[bytes], p: int, q: in
     return pd.concat(found).drop_duplicates() if found else pd.DataFrame({"u": [], "v": [], "known": []}).astype("int64")
 
 
-def met_pairs(p: int, q: int, best_only: bool, rows: int = 1 << 15):
-    """The task that reads entries in the order of their lists and hands about `rows` at once, whole lists, to pairs_of()."""
+def turns(columns: dict[str, np.ndarray]) -> np.ndarray:
+    """Where the next list, or pair of its blocks, begins."""
+    turn = np.zeros(len(columns["token"]), bool)
+    for c in ("token", "low", "high"):
+        turn[1:] |= columns[c][1:] != columns[c][:-1]
+    return turn
 
-    def handed(part: pa.Table):
-        columns = {c: part[c].to_numpy() for c in ENTRY[:-1]}
-        return pa.RecordBatch.from_pandas(pairs_of(columns, part["bits"].to_pylist(), p, q, best_only), preserve_index=False)
+
+def whole_lists(handed, rows: int = 1 << 15):
+    """The task that reads entries in the order of their lists and gives about `rows` at once, whole lists, to handed(table)."""
 
     def run(batches):
         held = []
@@ -186,11 +188,7 @@ def met_pairs(p: int, q: int, best_only: bool, rows: int = 1 << 15):
             if sum(b.num_rows for b in held) < rows:
                 continue
             part = pa.Table.from_batches(held).combine_chunks()
-            turn = np.zeros(part.num_rows, bool)
-            for c in ("token", "low", "high"):
-                x = part[c].to_numpy()
-                turn[1:] |= x[1:] != x[:-1]
-            cut = np.flatnonzero(turn)
+            cut = np.flatnonzero(turns({c: part[c].to_numpy() for c in ("token", "low", "high")}))
             if len(cut):
                 yield handed(part.slice(0, cut[-1]))
                 held = part.slice(cut[-1]).to_batches()
@@ -200,6 +198,45 @@ def met_pairs(p: int, q: int, best_only: bool, rows: int = 1 << 15):
     return run
 
 
+def met_pairs(p: int, q: int, best_only: bool):
+    """The task of pairs_of()."""
+
+    def handed(part: pa.Table):
+        columns = {c: part[c].to_numpy() for c in ENTRY[:-1]}
+        return pa.RecordBatch.from_pandas(pairs_of(columns, part["bits"].to_pylist(), p, q, best_only), preserve_index=False)
+
+    return whole_lists(handed)
+
+
+def viable(p: int, q: int, few: int = 24):
+    """The task that keeps the entries of a list that have a partner there, by size and position. A block without one is skipped with all its entries."""
+
+    def handed(part: pa.Table):
+        columns = {c: part[c].to_numpy() for c in ("token", "low", "high", "n", "at")}
+        n, at, keep = columns["n"], columns["at"], np.zeros(part.num_rows, bool)
+        begins = np.flatnonzero(turns(columns) | (np.arange(part.num_rows) == 0))
+        ends = np.append(begins[1:], part.num_rows)
+        small = ends - begins <= few
+        low, high = begins[small], ends[small]
+        for k in range(0, len(low), 1 << 13):
+            a, b = product(low[k : k + (1 << 13)], high[k : k + (1 << 13)], low[k : k + (1 << 13)], high[k : k + (1 << 13)])
+            fits = (a != b) & alike(p, q, np.minimum(n[a] - at[a], n[b] - at[b]), n[a], n[b])
+            keep[a[fits]] = True
+        for low, high in zip(begins[~small].tolist(), ends[~small].tolist(), strict=True):
+            blocks, block, times = np.unique(n[low:high] << 32 | at[low:high], return_inverse=True, return_counts=True)
+            size, rest = blocks >> 32, (blocks >> 32) - (blocks & 0xFFFFFFFF)
+            served = np.zeros(len(blocks), bool)
+            for k in range(0, len(blocks), 1024):
+                own = np.arange(k, min(k + 1024, len(blocks)))
+                fits = alike(p, q, np.minimum(rest[own][:, None], rest[None, :]), size[own][:, None], size[None, :])
+                fits[np.arange(len(own)), own] &= times[own] > 1  # of a block's only entry, itself is no partner
+                served[own] = fits.any(axis=1)
+            keep[low:high] = served[block]
+        return part.select(["token", "hot", "sid", "n", "at"]).filter(pa.array(keep)).combine_chunks().to_batches()[0] if keep.any() else pa.RecordBatch.from_pylist([], part.select(["token", "hot", "sid", "n", "at"]).schema)
+
+    return whole_lists(handed)
+
+
 def overlaps(pairs: DataFrame, members: DataFrame, shingle: int, seed: int) -> DataFrame:
     """u, v and their overlap, as a written table. members: sid, text, each sid once; only the sets that the pairs name are made."""
 
@@ -269,12 +306,13 @@ def link_components(docs: DataFrame, least: Fraction = Fraction(85, 100), shingl
     posted = found.where("tokens is not null").select("sid", "n", (F.size("tokens") - F.col("hots")).alias("hot_from"), F.posexplode("tokens").alias("at", "token"))
     posted = posted.select("token", (F.col("at") >= F.col("hot_from")).alias("hot"), "sid", "n", "at")
     met = of_token(posted, one=F.min("sid"), end=F.max("sid")).where("one < end").drop("one", "end")
-    met = written(met.dropDuplicates(["token", "sid"]))
+    met = met.dropDuplicates(["token", "sid"])
+    met = written(tiled(met, list_rows).mapInArrow(viable(p, q), "token long, hot boolean, sid long, n long, at int").distinct())
 
     own = written(found.where("sid is not null").groupBy("sid").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("first")))
     docs_of = written(found.select("doc_id", F.col("n").alias("n_shingles"), "sid"))
-    members = written(member_texts(docs, own.join(met.select("sid").distinct(), "sid", "left_semi"), shingle, seed))
     dropped(found)
+    members = written(member_texts(docs, own.join(met.select("sid").distinct(), "sid", "left_semi"), shingle, seed))
 
     known = spark.createDataFrame([], "u long, v long, overlap long")
     tested, root = known, spark.createDataFrame([], "node long, root long")
@@ -299,8 +337,8 @@ def link_components(docs: DataFrame, least: Fraction = Fraction(85, 100), shingl
             led = sized(tested)
             led = led.select(F.col("u").alias("sid"), F.col("v").alias("hub"), "overlap", "n_hub").unionByName(led.select(F.col("v").alias("sid"), F.col("v").alias("hub"), F.col("n_hub").alias("overlap"), "n_hub"))
             led = led.groupBy("sid").agg(F.max(F.struct("overlap", "hub", "n_hub")).alias("led")).select("sid", "led.*")
-            entries = open_.join(members.select("sid", "bits"), "sid").join(led, "sid", "left")
-            pairs = written(tiled(entries, list_rows).mapInArrow(met_pairs(p, q, turn == rounds), "u long, v long, known long").groupBy("u", "v").agg(F.max("known").alias("known")))
+            entries = open_.join(members.select("sid", "bits"), "sid").join(led, "sid", "left").fillna({"hub": 0, "overlap": -1, "n_hub": 0})
+            pairs = written(tiled(entries, list_rows).select(*ENTRY).mapInArrow(met_pairs(p, q, turn == rounds), "u long, v long, known long").groupBy("u", "v").agg(F.max("known").alias("known")))
             new = overlaps(pairs.where("known = 0").join(tested.select("u", "v"), ["u", "v"], "left_anti"), members, shingle, seed)
             more = linked(sized(new)).select("u", "v").unionByName(pairs.where("known = 1").select("u", "v"))
         links = written(more if links is None else links.unionByName(more))
@@ -341,10 +379,9 @@ def leaders(open_: DataFrame, turn: int, p: int, q: int) -> DataFrame:
 
 
 def tiled(entries: DataFrame, list_rows: int) -> DataFrame:
-    """Entries in the order of their lists; those of a list of over `list_rows` entries by pairs of its blocks (side 0 and 1)."""
-    none = {"hub": 0, "overlap": -1, "n_hub": 0}
-    rows = of_token(entries.fillna(none).select("token", "hot", *ENTRY[4:]), lists=F.count("sid"))
-    rows = rows.withColumn("parts", F.ceil(F.col("lists") / list_rows).cast("int")).withColumn("mine", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("side", F.when(F.col("mine") <= F.col("other"), 0).otherwise(1))
-    rows = rows.select("token", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), *ENTRY[3:])
-    return rows.repartition(shuffle_width(entries.sparkSession), "token", "low", "high").sortWithinPartitions("token", "low", "high").select(*ENTRY)
+    """entries with low, high and side, in the order of their lists; those of a list of over `list_rows` entries by pairs of its blocks (side 0 and 1)."""
+    rows = of_token(entries, lists=F.count("sid")).withColumn("parts", F.ceil(F.col("lists") / list_rows).cast("int"))
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.withColumn("side", F.when(F.col("mine") <= F.col("other"), 0).otherwise(1))
+    rows = rows.select(*entries.columns, F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "side")
+    return rows.repartition(shuffle_width(entries.sparkSession), "token", "low", "high").sortWithinPartitions("token", "low", "high")
