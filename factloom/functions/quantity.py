@@ -73,12 +73,13 @@ class Quantities:
         """struct<dimension, unit, factor> of a quantity, or null."""
         return F.try_element_at(self._targets, F.coalesce(quantity, F.lit("")))
 
-    def convert(self, value: Column, unit: Column, quantity: Column) -> Column:
+    def convert(self, value: Column, unit: Column, quantity: Column, spec: Column | None = None, target: Column | None = None) -> Column:
         """struct<value, unit> of a value in the quantity's unit; null where the unit is unknown or of another dimension.
 
         Without a quantity (or an unknown one) the value is as it is; without a unit it is in the quantity's.
+        spec, target: those of the unit and the quantity, where they are columns already: a plan then holds the dictionaries once.
         """
-        spec, target = self.spec(unit), self.target(quantity)
+        spec, target = self.spec(unit) if spec is None else spec, self.target(quantity) if target is None else target
         key = self.key(unit)
         pair = lambda v, u: F.struct(v.cast("double").alias("value"), u.cast("string").alias("unit"))
         as_is = ((quantity == "dimensionless") & (key == "ph")) | ((quantity == "concentration_trace") & (key == "ppm")) | (F.trim(F.coalesce(unit, F.lit(""))) == "")
