@@ -22,6 +22,13 @@ def vector_topk(spark, d):
     return op.nearest_each(_vectors(spark, d), _asked(spark, d), 10).select("query_id", "fragment_id", F.round("similarity", 4).alias("similarity"))
 
 
+def vector_index_topk(spark, d):
+    """`vector_topk` by the inverted-file index."""
+    vectors = _vectors(spark, d)
+    index = op.fit_index(vectors, 10)
+    return op.nearest_in_index(op.in_lists(vectors, index, "fragment_id"), _asked(spark, d), index, 10).select("query_id", "fragment_id", F.round("similarity", 4).alias("similarity"))
+
+
 def hybrid_search(spark, d):
     """Documents stand for the fragments of the vectors of their number."""
     texts = views.table(spark, d, "documents").select(F.concat(F.lit("fragment-v"), F.col("doc_id").cast("string")).alias("fragment_id"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("document_id"), "text")
@@ -57,7 +64,7 @@ def quote_in_source(spark, d):
     return pairs.join(docs, "doc_id").where(F.contains("hay", F.col("needle"))).select("doc_id", "item_id")
 
 
-QUERIES = {f.__name__: f for f in (vector_topk, hybrid_search, cosine_pairs, hash_embed, quote_in_source)}
+QUERIES = {f.__name__: f for f in (vector_topk, vector_index_topk, hybrid_search, cosine_pairs, hash_embed, quote_in_source)}
 
 _DOT = "round(list_dot_product(q.embedding::double[], e.embedding::double[]), 8)"
 _KEY = "trim(regexp_replace(translate(lower(text), '«»\"''“”„‘’—–-' || chr(173) || chr(8209), repeat(' ', 14)), '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g'))"

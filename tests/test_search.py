@@ -45,3 +45,24 @@ def test_hybrid_of_many_is_the_hybrid_of_each(spark):
     for query, vector in asked:
         one = {(query, r.fragment_id, r.score) for r in search.hybrid(vectors, texts, vector, "елка or fir", hidden, 4, 2).collect()}
         assert {g for g in got if g[0] == query} == one
+
+
+def test_index_recall_and_work(spark):
+    """Clouds of vectors: nine in ten true neighbours at least, from less than half of the rows; every row is in one list."""
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(30, 16))
+    held = [(f"f{k:04d}", (centres[k % 30] + rng.normal(size=16) * 0.4).tolist()) for k in range(1500)]
+    vectors = spark.createDataFrame([*held, ("none", None)], "fragment_id string, embedding array<double>")
+    queries = spark.createDataFrame([(k, (centres[k % 30] + rng.normal(size=16) * 0.4).tolist()) for k in range(60)], "query_id long, embedding array<double>")
+    index = search.fit_index(vectors, 10, sample=600, checks=100)
+    indexed = search.in_lists(vectors, index, "fragment_id")
+    assert indexed.count() == 1500 and index.recall >= 0.95
+    for how in ({}, {"query_rows": 7, "vector_rows": 9}):
+        got = {(r.query_id, r.fragment_id): r.similarity for r in search.nearest_in_index(indexed, queries, index, 10, **how).collect()}
+        true = {(r.query_id, r.fragment_id): r.similarity for r in search.nearest_each(vectors, queries, 10).collect()}
+        assert len(got) > 540 and len(got.keys() & true.keys()) >= 0.9 * len(true)
+        assert all(abs(s - true[key]) < 1e-9 for key, s in got.items() if key in true)
+    assert search.in_lists(queries, index, "query_id", index.probes).join(indexed, "list").count() < 0.5 * 60 * 1500
+    empty = search.fit_index(vectors.where("false"), 10)
+    assert search.nearest_in_index(search.in_lists(vectors.where("false"), empty, "fragment_id"), queries.where("false"), empty).collect() == []
