@@ -2,7 +2,7 @@ import json
 import random
 
 from factloom.operators import facts as fact_op
-from factloom.streaming import jobs
+from factloom.streaming import jobs, keyed
 
 
 def test_a_string_split_anywhere():
@@ -68,3 +68,35 @@ def test_conflicts_over_batches(spark, tmp_path):
     assert {r.id: r.status for r in whole.collect()} == {r.id: r.status for r in keep.read().collect()}
     keep(spark.createDataFrame(rows[4:], schema), 4)
     assert {r.status for r in keep.read().collect()} == {"approved"}
+
+
+def test_keyed_conflicts_equal_the_batch_under_any_split(spark, tmp_path):
+    """Batches of several sizes, one epoch twice: the same as all facts at once; ids change their class and direction."""
+    import random
+
+    rng = random.Random(5)
+    schema = "id string, material string, property string, effect_direction string, version long"
+    rows = [(f"f{rng.randrange(25)}", rng.choice(["Cu", "cu ", "Ni", "Zn", None]), rng.choice(["p", "Q"]), rng.choice(["increase", "decrease", "neutral", "рост"]), v) for v in range(60)]
+    latest = spark.createDataFrame(list({r[0]: r for r in rows}.values()), schema)
+    want = sorted(map(tuple, fact_op.mark_conflicts(latest).collect()), key=str)
+    for cuts in ([60], [7, 8, 30, 60]):
+        state = keyed.ConflictState(spark, f"{tmp_path}/{len(cuts)}", order="version", n=8)
+        assert state.current() is None
+        for epoch, (a, b) in enumerate(zip([0, *cuts[:-1]], cuts, strict=True)):
+            batch = spark.createDataFrame(rows[a:b], schema)
+            for _ in range(2 if epoch == 1 else 1):
+                state(batch, epoch)
+        state(spark.createDataFrame([], schema), 9)
+        assert sorted((tuple(r[c] for c in latest.columns + ["status"]) for r in state.current().collect()), key=str) == want
+    assert state.facts.vacuum(9) > 0
+    assert sorted((tuple(r[c] for c in latest.columns + ["status"]) for r in state.current().collect()), key=str) == want
+
+
+def test_a_batch_reads_the_buckets_of_its_keys(spark, tmp_path):
+    schema = "id string, material string, property string, effect_direction string"
+    state = keyed.ConflictState(spark, str(tmp_path), n=64)
+    state(spark.createDataFrame([(f"f{k}", f"m{k}", "p", "increase") for k in range(200)], schema), 0)
+    state(spark.createDataFrame([("new", "m7", "p", "decrease")], schema), 1)
+    assert {r.id: r.status for r in state.current().where("status = 'conflicting'").collect()} == {"f7": "conflicting", "new": "conflicting"}
+    assert sum(epoch == 1 for epoch, _ in state.facts._newest(None).values()) == 1
+    assert state.current().count() == 201
