@@ -87,9 +87,9 @@ ORACLE_SQL = {
     "table_windows": """with r as (select l_orderkey, l_linenumber, min(l_returnflag) as flag, min(l_suppkey) as s from lineitem group by all),
         t as (select l_orderkey as document_id, count(*) as n, string_agg(case when l_orderkey % 2 = 0 then flag else flag || ' ' || s end, ' ' order by l_linenumber) as text from r group by l_orderkey)
         select document_id, n, text from t where regexp_matches(text, '[0-9]') or length(text) >= 6""",
-    "title_pages": """with p as (select l_orderkey as document_id, l_linenumber as page, string_agg(cast(l_partkey as varchar), chr(10) order by l_partkey, l_suppkey, l_quantity, l_extendedprice) as t from lineitem group by all),
-        k as (select *, row_number() over (partition by document_id order by page) as k, row_number() over (partition by document_id order by page desc) as b from p)
-        select document_id, string_agg(case when k <= 2 then substr(t, 1, 8) else right(t, 4) end, chr(10) order by page) as text from k where k <= 2 or b = 1 group by document_id""",
+    "title_pages": """with l as (select l_orderkey as document_id, l_linenumber as page, cast(l_partkey as varchar) as text, row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) as o from lineitem),
+        p as (select *, dense_rank() over (partition by document_id order by page) as k, max(page) over (partition by document_id) as last_page from l)
+        select document_id, substr(string_agg(text, ' ' order by o) filter (where k <= 2), 1, 8) as head, substr(string_agg(text, ' ' order by o) filter (where page = last_page), 1, 4) as tail from p group by document_id""",
     "status_by_day": f"with {views.SQL} select strftime(ts, '%Y-%m-%d') as day, status, count(*) as n from jobs_v group by all",
     "repeated_keys": f"with {views.SQL} select fragment_id, count(*) as n from facts_v group by fragment_id having count(*) > 1",
     "evolved_documents": f"with {views.SQL} select case when year < 1998 then year end as year, case when year >= 1998 then doc_type end as doc_type, count(*) as n from docs_v group by 1, 2",

@@ -57,7 +57,10 @@ def test_traits(spark):
     assert [r.y for r in names.select(traits.filename_year(F.col("n"), 2026).alias("y")).collect()] == [2022, 2022, None]
     frags = spark.createDataFrame([("d", 1, 1, "изд. 2019 и 2019"), ("d", 1, 2, "год 2021"), ("d", 2, 1, "b"), ("d", 3, 1, "c"), ("d", 4, 1, "конец")], "document_id string, page int, ordinal int, text string")
     assert traits.year_mode(frags).first().year == 2021
-    assert traits.title_pages(frags).first().text == "изд. 2019 и 2019\nгод 2021\nb\nконец"
+    assert tuple(traits.title_pages(frags).first()) == ("d", "изд. 2019 и 2019 год 2021 b", "конец")
+    # Both pages count as one text, and the last page gives its start even if it is one of the first two.
+    assert tuple(traits.title_pages(frags.where("page < 3"), 24, 1).first()) == ("d", "изд. 2019 и 2019 год 202", "b")
+    assert tuple(traits.title_pages(frags.where("page = 1"), 100, 4).first()) == ("d", "изд. 2019 и 2019 год 2021", "изд.")
     assert {r.document_id: r.origin for r in traits.origin(spark.createDataFrame([("a", "Latin text"), ("b", "русский x")], "document_id string, text string")).collect()} == {"a": "foreign", "b": "ru"}
     names = spark.createDataFrame([("d", 1, "Утверждаю Директор И.И. Косов Я.И., Л.Б. Цымбулов"), ("d", 2, "Затицкий Борис Эдуардович; D.M. Bogatyrev; косов Косов Б.Б.")], "document_id string, ordinal int, text string")
     assert traits.authors(names).first().authors == ["Косов Я.И.", "Цымбулов Л.Б.", "Bogatyrev D.M.", "Затицкий Б.Э."]
