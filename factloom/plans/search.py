@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import views
 from ..functions import text as tx
 from ..functions.vectors import dot, hash_embedding
+from ..operators import quotes
 from ..operators import search as op
 
 def _vectors(spark, d):
@@ -51,17 +52,10 @@ def hash_embed(spark, d):
 
 
 def quote_in_source(spark, d):
-    """Which documents hold which benchmark passages.
-
-    Both sides meet on their rarest-looking words first: a passage's longest word must be one of the document's, so the join is on equality.
-    """
+    """Which documents hold which benchmark passages."""
     docs = views.table(spark, d, "documents").select("doc_id", tx.quote_key(F.col("text")).alias("hay"))
     items = views.table(spark, d, "benchmark").select("item_id", tx.quote_key(F.col("text")).alias("needle"))
-    inner = F.slice(F.split("needle", " "), 2, F.greatest(F.size(F.split("needle", " ")) - 2, F.lit(1)))
-    key = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    words = docs.select("doc_id", "hay", F.explode(F.array_distinct(F.split("hay", " "))).alias("key")).join(items.select(key.alias("key")).distinct(), "key", "left_semi").select("doc_id", "key")
-    pairs = words.join(items.withColumn("key", key), "key").select("doc_id", "item_id", "needle")
-    return pairs.join(docs, "doc_id").where(F.contains("hay", F.col("needle"))).select("doc_id", "item_id")
+    return quotes.passages_in(docs, items)
 
 
 QUERIES = {f.__name__: f for f in (vector_topk, vector_index_topk, hybrid_search, cosine_pairs, hash_embed, quote_in_source)}
