@@ -8,6 +8,9 @@ many keys as are listed: what is broadcast grows with the list, not with the cor
 
 Two cascades answer a key: is it listed, and, over the listed keys, does it block.
 
+A key longer than every rule's host or path can be none of them, so urls give keys up to those lengths only: few and
+short ones, however long the url is, and among them every key that a rule could equal.
+
 Defined cases: a null url, or one without "://", has empty host and path and fits no rule; a rule given twice counts once
 (the last verdict stands); an empty rule list fits nothing; repeated rows are judged each; an empty table gives no rows;
 other columns are not read. The longest rule wins, between equals the one with the longer host.
@@ -41,11 +44,17 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def keys_of(host: Column, path: Column, lengths: Iterable[int]) -> Column:
-    """Every key that a rule with a path of one of these lengths could fit by: host suffixes at dots, with path starts."""
+def keys_of(host: Column, path: Column, hosts: Iterable[str], lengths: Iterable[int]) -> Column:
+    """Every key that a rule with one of these hosts and a path of one of these lengths could fit by: host suffixes at dots, with path starts.
+
+    A suffix has no more labels and characters than the longest host listed: of a url's labels only the last few are looked at.
+    """
+    hosts = list(hosts)
+    most, longest = max((h.count(".") + 1 for h in hosts), default=1), max(map(len, hosts), default=0)
     labels = F.split(host, r"\.")
-    n = F.size(labels)
-    suffixes = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n - i + 1), "."))
+    last = F.slice(labels, F.greatest(F.size(labels) - most + 1, F.lit(1)), F.lit(most))
+    n = F.size(last)
+    suffixes = F.filter(F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(last, i, n - i + 1), ".")), lambda s: F.length(s) <= longest)
     cuts = F.filter(F.array(*[F.lit(int(x)) for x in sorted(set(lengths))]), lambda m: m <= F.length(path))
     keys = F.flatten(F.transform(suffixes, lambda s: F.transform(cuts, lambda m: F.concat(s, F.substring(path, F.lit(1), m)))))
     return F.when(host != "", keys).otherwise(F.array().cast("array<string>"))
@@ -148,8 +157,9 @@ def build_local(listed: set[str], others: set[str], rate: float = 0.5) -> Cascad
 def judge(pages: DataFrame, rules=RULES, other: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """id, host, path, rule (the longest that fits, or null) and verdict (its, or `other`) of each url."""
     verdicts = dict(rules)
-    lengths = {len(k) - k.find("/") if "/" in k else 0 for k in verdicts} or {0}
-    parts = pages.select(F.col(id_col), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path")).withColumn("keys", keys_of(F.col("host"), F.col("path"), lengths))
+    hosts = {k.partition("/")[0] for k in verdicts}
+    lengths = {len(k) - len(k.partition("/")[0]) for k in verdicts} or {0}
+    parts = pages.select(F.col(id_col), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path")).withColumn("keys", keys_of(F.col("host"), F.col("path"), hosts, lengths))
     size = parts.agg(F.sum(F.size("keys"))).first()[0] or 0
     listed = build(set(verdicts), parts.select(F.explode("keys").alias("key")), size)
     blocked = {k for k, v in verdicts.items() if v == "block"}

@@ -1,5 +1,6 @@
 import random
 
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.llm import url_filter as uf
@@ -43,3 +44,15 @@ def test_cascade_is_exact_over_its_universe():
     cascade = uf.build_local(set(keys[:700]), set(keys[700:]))
     assert len(cascade.levels) > 2
     assert [k in cascade for k in keys] == [k < 700 for k in range(3000)]
+
+
+def test_long_urls_give_few_short_keys(spark):
+    """Keys grow neither with a url's length nor with its dots, and the verdict stays right."""
+    urls = [f"http://{'a.' * n}{end}" for n in (500, 4000, 32_000) for end in ("www.example.com/en/" + "x/" * n, "net/es/1", "org/fr/", "." * n + "com/")]
+    urls += ["http://" + "b" * 200_000 + ".com/" + "y" * 200_000]
+    lengths, hosts = {len(k[k.find("/") :]) for k in dict(uf.RULES)}, {k.split("/")[0] for k in dict(uf.RULES)}
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    keys = pages.select(uf.keys_of(uf.host_of(F.col("url")), uf.path_of(F.col("url")), hosts, lengths).alias("keys")).collect()
+    assert all(len(r["keys"]) <= 9 and sum(map(len, r["keys"])) <= 180 for r in keys)
+    for r in uf.judge(pages).collect():
+        assert (r.host, r.path, r.rule, r.verdict) == brute(urls[r.page_id], dict(uf.RULES))
