@@ -5,8 +5,10 @@ tiles, undoes the horizontal predictor, and gives one row per directory. `encode
 and the round-trip query read: 8-bit greyscale, strips or tiles, any of the codecs, one or more pages.
 
 Defined cases: null content, or bytes that are no TIFF, give one row with page -1, no samples and the reason in
-`error`; a page that can't be decoded (unknown codec, short data, a directory loop) gives its row with the reason,
-and the file's other pages stand; samples are kept unsigned, in file order, 8 or 16 bits (16: in the file's byte
+`error`; a page that can't be decoded (unknown codec, short data, no width or height, fields without values, more
+samples than its segments can hold or than `MOST_BYTES`) gives its row with the reason, and the file's other pages
+stand; a damaged list of directories or a loop in it ends the file with such a row. Nothing is allocated for a page
+before its segments are found to be there and long enough. Samples are kept unsigned, in file order, 8 or 16 bits (16: in the file's byte
 order turned to little-endian). Further columns of the input do not matter: only the id and content are read.
 """
 
@@ -30,7 +32,12 @@ TILE_WIDTH, TILE_HEIGHT, TILE_AT, TILE_BYTES = 322, 323, 324, 325
 STORED, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 FIELD_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 13: 4}
 
-PAGE_SCHEMA = "page int, width int, height int, samples_per_pixel int, bits int, codec int, predictor int, n_segments int, samples binary, error string"
+#: Bytes that a byte of data can stand for at most: PackBits makes 128 of 2, an LZW code of 9 bits and more a string of under 4096, deflate 258 of 2 bits.
+GROWTH = {STORED: 1, PACKBITS: 64, LZW: 4096, DEFLATE: 1032, OLD_DEFLATE: 1032}
+#: Samples of a page that one row can hold (a row of Arrow has at most 2 GiB); a larger page gives an error row.
+MOST_BYTES = 1 << 30
+
+PAGE_SCHEMA = "page int, width long, height long, samples_per_pixel long, bits long, codec long, predictor long, n_segments int, samples binary, error string"
 
 
 # -- codecs -------------------------------------------------------------------------------------------------------
@@ -191,33 +198,55 @@ def directories(data: bytes) -> Iterator[dict]:
             where = at + 10 + 12 * k
             if size > 4:
                 where = struct.unpack_from(order + "I", data, where)[0]
-            if kind in (1, 3, 4):
+            if kind in (1, 3, 4) and tag:
                 tags[tag] = list(struct.unpack_from(f"{order}{count}{'.BHHI'[kind] if kind != 3 else 'H'}", data, where))
         yield tags
         at = struct.unpack_from(order + "I", data, at + 2 + 12 * n)[0]
 
 
+def first(tags: dict, tag: int, other: int) -> int:
+    """A field's first value; `other` where the field is absent or has no values."""
+    return (tags.get(tag) or [other])[0]
+
+
+def inflate(data: bytes, need: int) -> bytes:
+    """The first `need` bytes of deflated data, so that no segment unpacks to more than its page takes."""
+    return zlib.decompressobj().decompress(data, need) if need else b""
+
+
 def image(data: bytes, tags: dict) -> np.ndarray:
     """The samples of one page: height x width x samples per pixel."""
-    one = lambda tag, other: tags.get(tag, [other])[0]
+    one = lambda tag, other: first(tags, tag, other)
     width, height, spp, bits = one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1), one(BITS, 1)
     codec, predictor = one(CODEC, STORED), one(PREDICTOR, 1)
-    if bits not in (8, 16) or predictor not in (1, 2) or codec not in UNPACK or (spp > 1 and one(PLANAR, 1) != 1):
+    if bits not in (8, 16) or predictor not in (1, 2) or codec not in GROWTH or (spp > 1 and one(PLANAR, 1) != 1):
         raise ValueError(f"unsupported page: bits {bits}, predictor {predictor}, codec {codec}")
     kind = np.dtype(np.uint8 if bits == 8 else tags[0] + "u2")
+    if not (width and height and spp):
+        raise ValueError("no width, height or samples")
     tiled = TILE_AT in tags
     if tiled:
-        seg_w, seg_h, places, lengths = one(TILE_WIDTH, 0), one(TILE_HEIGHT, 0), tags[TILE_AT], tags[TILE_BYTES]
+        seg_w, seg_h, places, lengths = one(TILE_WIDTH, 0), one(TILE_HEIGHT, 0), tags[TILE_AT], tags.get(TILE_BYTES, [])
     else:
-        seg_w, seg_h, places = width, min(one(STRIP_ROWS, height), height) or 1, tags.get(STRIP_AT, [])
+        seg_w, seg_h, places = width, min(one(STRIP_ROWS, height), height), tags.get(STRIP_AT, [])
         lengths = tags.get(STRIP_BYTES, [len(data)])
-    across = -(-width // seg_w) if seg_w else 0
+    if not (seg_w and seg_h):
+        raise ValueError("segments without width or height")
+    across = -(-width // seg_w)
+    n, row_bytes = across * -(-height // seg_h), seg_w * spp * kind.itemsize
+    if height * width * spp * kind.itemsize > MOST_BYTES or seg_h * row_bytes > MOST_BYTES:
+        raise ValueError(f"page of {width} x {height} x {spp} samples is larger than a row can hold")
+    if min(len(places), len(lengths)) < n:
+        raise ValueError(f"{min(len(places), len(lengths))} segments of {n}")
+    rows_of = lambda k: seg_h if tiled else min(seg_h, height - k // across * seg_h)
+    for k in range(n):
+        if min(lengths[k], max(0, len(data) - places[k])) * GROWTH[codec] < rows_of(k) * row_bytes:
+            raise ValueError(f"segment {k} is short")
     out = np.zeros((height, width, spp), kind.newbyteorder("<"))
-    for k in range(across * (-(-height // seg_h) if seg_h else 0)):
-        top, left = k // across * seg_h, k % across * seg_w
-        rows = seg_h if tiled else min(seg_h, height - top)
-        raw = UNPACK[codec](data[places[k] : places[k] + lengths[k]])
-        need = rows * seg_w * spp * kind.itemsize
+    for k in range(n):
+        top, left, rows = k // across * seg_h, k % across * seg_w, rows_of(k)
+        packed, need = data[places[k] : places[k] + lengths[k]], rows * row_bytes
+        raw = inflate(packed, need) if codec in (DEFLATE, OLD_DEFLATE) else UNPACK[codec](packed)
         if len(raw) < need:
             raise ValueError(f"segment {k} is short")
         block = np.frombuffer(raw, kind, need // kind.itemsize).reshape(rows, seg_w, spp)
@@ -235,7 +264,7 @@ def decode(data: bytes | None) -> Iterator[tuple]:
         if data is None:
             raise ValueError("no content")
         for page, tags in enumerate(directories(data)):
-            head = [tags.get(t, [d])[0] for t, d in ((WIDTH, 0), (HEIGHT, 0), (SAMPLES, 1), (BITS, 1), (CODEC, STORED), (PREDICTOR, 1))]
+            head = [first(tags, t, d) for t, d in ((WIDTH, 0), (HEIGHT, 0), (SAMPLES, 1), (BITS, 1), (CODEC, STORED), (PREDICTOR, 1))]
             segments = len(tags.get(TILE_AT) or tags.get(STRIP_AT) or [])
             try:
                 yield (page, *head, segments, image(data, tags).tobytes(), None)
@@ -322,7 +351,7 @@ def pages(files: DataFrame, id_col: str = "doc_id", content_col: str = "content"
 
 
 PAGE_NAMES = [x.split()[0] for x in PAGE_SCHEMA.split(", ")]
-PAGE_TYPES = [{"int": pa.int32(), "binary": pa.binary(), "string": pa.string()}[x.split()[1]] for x in PAGE_SCHEMA.split(", ")]
+PAGE_TYPES = [{"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string()}[x.split()[1]] for x in PAGE_SCHEMA.split(", ")]
 
 
 def payload(text: str | None) -> bytes:

@@ -1,4 +1,5 @@
 import hashlib
+import struct
 import zlib
 
 import numpy as np
@@ -91,6 +92,43 @@ def test_foreign_lzw_and_packbits():
         tiff.unpack_lzw(written([256, 7, 300, 257]))
 
 
+def directory(fields, body=b""):
+    """A little-endian file of one directory: fields (tag, kind, count, value), the body behind it."""
+    out = b"II*\0\x08\0\0\0" + struct.pack("<H", len(fields))
+    for tag, kind, count, value in sorted(fields):
+        out += struct.pack("<HHII", tag, kind, count, value)
+    return out + bytes(4) + body
+
+
+MALFORMED = {
+    "width without values": [(256, 4, 0, 0), (257, 4, 1, 1), (258, 4, 1, 8)],
+    "huge page, four bytes": [(256, 4, 1, 2_000_000), (257, 4, 1, 2_000_000), (258, 4, 1, 8), (273, 4, 1, 8), (279, 4, 1, 4)],
+    "wide page, four bytes": [(256, 4, 1, 4_000_000_000), (257, 4, 1, 1), (258, 4, 1, 8), (273, 4, 1, 8), (279, 4, 1, 4)],
+    "large page that deflate could not hold": [(256, 4, 1, 30_000), (257, 4, 1, 30_000), (258, 4, 1, 8), (259, 4, 1, 8), (273, 4, 1, 8), (279, 4, 1, 4)],
+    "tiles without size": [(256, 4, 1, 4), (257, 4, 1, 4), (258, 4, 1, 8), (324, 4, 1, 8), (325, 4, 1, 4)],
+    "tiles without lengths": [(256, 4, 1, 4), (257, 4, 1, 4), (258, 4, 1, 8), (322, 4, 1, 4), (323, 4, 1, 4), (324, 4, 1, 8)],
+    "strip behind the end": [(256, 4, 1, 4), (257, 4, 1, 4), (258, 4, 1, 8), (273, 4, 1, 4_000_000_000), (279, 4, 1, 4_000_000_000)],
+    "field number 0": [(0, 4, 1, 5), (256, 4, 1, 4), (257, 4, 1, 4), (258, 4, 1, 8)],
+    "many samples": [(256, 4, 1, 4), (257, 4, 1, 4), (258, 4, 1, 8), (277, 4, 1, 4_000_000_000), (273, 4, 1, 8), (279, 4, 1, 4)],
+}
+
+
+def test_malformed_directories(spark):
+    """Each gives one row with its reason, beside a good file, and none of them an array of the size it claims."""
+    good = tiff.encode([np.arange(64, dtype=np.uint8).reshape(8, 8)])
+    files = {**{name: directory(fields) for name, fields in MALFORMED.items()}, "values behind the end": directory([(256, 4, 1_000_000_000, 8)]), "cut": good[:-9], "good": good}
+    rows = {r.name: r for r in tiff.pages(spark.createDataFrame(list(files.items()), "name string, content binary"), "name").collect()}
+    assert len(rows) == len(files) and rows["good"].error is None and rows["good"].samples == bytes(range(64))
+    assert all(r.error and r.samples is None for name, r in rows.items() if name != "good")
+    assert rows["wide page, four bytes"].width == 4_000_000_000
+    # A deflated strip that would unpack to far more than the page takes is read as far as needed.
+    packed = zlib.compress(bytes(50_000_000))
+    fields = [(256, 4, 1, 4), (257, 4, 1, 4), (258, 4, 1, 8), (259, 4, 1, 8), (273, 4, 1, 0), (279, 4, 1, len(packed))]
+    fields[4] = (273, 4, 1, 10 + 12 * len(fields) + 4)
+    (page,) = tiff.decode(directory(fields, packed))
+    assert page[8] == bytes(16) and page[9] is None
+
+
 def test_form_does_not_follow_size(spark):
     """Every codec, predictor and layout gets its share of short and of long texts, and of the bytes."""
     texts = [f"{k} " + "some words of text " * (1 if k % 2 else 400) for k in range(240)]
