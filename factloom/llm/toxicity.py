@@ -16,7 +16,7 @@ Last, a rising curve (isotonic regression) maps this share to a probability: it
 Ids are never inputs of a score, except that they say which rows are held out; scores do not depend on the partitions of the tables.
 
 Defined cases: null text is empty, and an empty text has a score like any text without terms; repeated rows are scored
-each; labels without id or label, and of no document, do not matter; of a document labelled twice the higher label counts; of rows with one id and several texts the text of
+each; labels without id or label, and of no document, do not matter; ids must be numbers or their text (others end in a cast error); a text over the characters that are left is no example, the others stay; of a document labelled twice the higher label counts; of rows with one id and several texts the text of
 least hash is the example; without any usable label every score is 0; an empty table gives no rows; further columns are passed through, but for the names of the result's.
 """
 
@@ -264,8 +264,12 @@ def examples_of(docs: DataFrame, labels: DataFrame, sample: int, most_chars: int
     own = own.join(known, "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct("digest", "chars")).alias("own")).select("own.digest", "doc_id", "toxic", "own.chars")
     # `sample` short rows at most, so they may be gathered and broadcast.
     short_rows = own.orderBy("digest", "doc_id").limit(sample).toArrow()
-    inside = int(np.searchsorted(np.cumsum(short_rows["chars"].to_numpy()), most_chars, side="right"))
-    picked = docs.sparkSession.createDataFrame(short_rows.slice(0, inside).drop_columns(["chars"])) if inside else own.limit(0).drop("chars")
+    inside, room = [], most_chars
+    for i, chars in enumerate(short_rows["chars"].to_pylist()):  # a text that no longer fits is passed over, the others stay
+        if chars <= room:
+            inside.append(i)
+            room -= chars
+    picked = docs.sparkSession.createDataFrame(short_rows.take(pa.array(inside, pa.int64())).drop_columns(["chars"])) if inside else own.limit(0).drop("chars")
     texts = docs.select(F.xxhash64("text").alias("digest"), "doc_id", "text").join(F.broadcast(picked), ["digest", "doc_id"])
     return texts.dropDuplicates(["digest", "doc_id"]).select("digest", "doc_id", "toxic", "text")
 

@@ -219,3 +219,14 @@ def test_sample_and_character_bounds(spark):
     assert len(tx.fit(docs, known, sample=50)[1].ids) == 50
     few = tx.fit(docs, known, most_chars=2000)[1].ids
     assert 0 < len(few) and sum(len(texts[i]) for i in few) <= 2000
+
+
+def test_one_overlong_example_leaves_the_others(spark):
+    """A text over the character bound is no example; all others stay, wherever it stands in the order."""
+    texts, labels = corpus(random.Random(6), 60)
+    fitted = [k for k, _ in labels if zlib.crc32(str(k).encode()) % 5]
+    bound = sum(len(texts[k]) for k in fitted)
+    for k in fitted[:3]:
+        changed = [*texts[:k], "long text " * bound, *texts[k + 1 :]]
+        ids = tx.fit(documents(spark, changed), spark.createDataFrame(labels, "doc_id long, toxic int"), most_chars=bound)[1].ids
+        assert k not in list(ids) and len(ids) >= len({texts[i] for i in fitted if i != k})
