@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..domain import REGIONS, SEMANTIC_TYPES
 from ..functions import text as tx
+from ..shared import dropped, written
 from .facts import canonical_entity, first_of_each
 
 
@@ -84,20 +85,27 @@ def fact_projection(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def reachable(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
-    """id, hop: nodes at most `hops` steps along edges from `start` (id), with the least number of steps. Each step joins the last frontier only."""
-    frontier = start.select("id").distinct().withColumn("hop", F.lit(0))
+    """id, hop: nodes at most `hops` steps along edges from `start` (id), with the least number of steps. Each step joins the last frontier only.
+
+    The edges are written once and each frontier too, so a step's plan reads them and the frontiers before it, however the edges were made; no step follows an empty frontier. Ends without id are left out.
+    """
+    step = written(edges.select(F.col("source").alias("id"), F.col("target").alias("next")).where("id is not null and next is not null"))
+    frontier = written(start.select("id").where("id is not null").distinct().withColumn("hop", F.lit(0)))
     seen = frontier
-    step = edges.select(F.col("source").alias("id"), F.col("target").alias("next")).distinct()
     for k in range(1, hops + 1):
-        frontier = frontier.join(step, "id").select(F.col("next").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("hop", F.lit(k))
+        if frontier.isEmpty():
+            break
+        found = frontier.join(step, "id").select(F.col("next").alias("id")).distinct()
+        frontier = written(found.join(seen.select("id"), "id", "left_anti").withColumn("hop", F.lit(k)))
         seen = seen.unionByName(frontier)
+    dropped(step)
     return seen
 
 
 def orphans(nodes: DataFrame, edges: DataFrame, hops: int = 4) -> DataFrame:
-    """Nodes other than claims and fragments that no claim reaches in 1 to `hops` steps."""
-    claims = nodes.where("label = 'Claim'").select("id")
-    reached = reachable(edges, claims, hops).where("hop > 0").select("id")
+    """Nodes other than claims and fragments that no claim reaches in 1 to `hops` steps. What both read is written first, since how it was made may be long."""
+    nodes = written(nodes)
+    reached = reachable(edges, nodes.where("label = 'Claim'"), hops).where("hop > 0").select("id")
     return nodes.where("label not in ('Claim', 'SourceFragment')").join(reached, "id", "left_anti")
 
 

@@ -2,30 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..shared import written
 
 
-def merge_results(results: DataFrame, most: int = 12) -> DataFrame:
+def merge_results(results: DataFrame, most: int = 12, batch: int = 64) -> DataFrame:
     """results (question_id, priority, position, title, url, snippet) -> the first `most` of each question, in order, none with the url or the title of one that was kept.
 
     A fold over each question's ordered results: dropping duplicates by url and then by title would drop results for the sake of ones that are dropped themselves.
+    It takes up to `batch` results of a question a round: the first that nothing kept so far excludes, so each round keeps one at least and `most` rounds are enough. Mostly the first round fills the
+    list or ends the results. A window limit leaves `batch` rows of a question to a task before the shuffle, and equal rows are counted, so no question's results are gathered.
     """
     item = F.struct("priority", "position", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("snippet", F.lit("")).alias("snippet"))
-    lists = results.groupBy("question_id").agg(F.array_sort(F.collect_list(item)).alias("rs"))
-    keyed = F.transform("rs", lambda r: F.struct(r.alias("r"), tx.normalize_url(r["url"]).alias("u"), tx.normalize_text(r["title"]).alias("t")))
-    start = F.struct(F.array().cast("array<string>").alias("us"), F.array().cast("array<string>").alias("ts"), F.slice("rs", 1, 0).alias("kept"))
+    counted = results.groupBy("question_id", item.alias("r")).agg(F.count("*").alias("n"))
+    keyed = counted.withColumns({"u": tx.normalize_url(F.col("r.url")), "t": tx.normalize_text(F.col("r.title"))})
+    copies = F.when((F.col("u") == "") & (F.col("t") == ""), F.least("n", F.lit(most))).otherwise(1)  # rows without either exclude nothing
+    rows = written(keyed.withColumn("copy", F.explode(F.sequence(F.lit(1), copies.cast("int")))).select("question_id", F.struct("r", "copy").alias("at"), "u", "t"))
+    order = Window.partitionBy("question_id").orderBy("at")
+    none = F.array().cast("array<string>")
+    empty = F.struct(none.alias("us"), none.alias("ts"), F.array().cast(f"array<{dict(rows.dtypes)['at']}>").alias("kept"))
 
     def step(s: Column, x: Column) -> Column:
         seen = ((x["u"] != "") & F.array_contains(s["us"], x["u"])) | ((x["t"] != "") & F.array_contains(s["ts"], x["t"]))
         take = ~seen & (F.size(s["kept"]) < most)
         more = lambda list_, v: F.when(take & (v != ""), F.concat(list_, F.array(v))).otherwise(list_)
-        return F.struct(more(s["us"], x["u"]).alias("us"), more(s["ts"], x["t"]).alias("ts"), F.when(take, F.concat(s["kept"], F.array(x["r"]))).otherwise(s["kept"]).alias("kept"))
-
-    kept = F.aggregate(keyed, start, step)["kept"]
-    return lists.select("question_id", F.posexplode(kept).alias("rank", "r")).select("question_id", (F.col("rank") + 1).alias("rank"), "r.title", "r.url", "r.snippet")
+        return F.struct(more(s["us"], x["u"]).alias("us"), more(s["ts"], x["t"]).alias("ts"), F.when(take, F.concat(s["kept"], F.array(x["at"]))).otherwise(s["kept"]).alias("kept"))
+
+    parts, state = [], None
+    for _ in range(most + 1):
+        left = rows.withColumn("s", empty)
+        if state is not None:  # questions that go on: those whose batch was full and whose list was not
+            left = rows.join(state.select("question_id", "s", "last"), rows["question_id"].eqNullSafe(state["question_id"])).drop(state["question_id"])
+            left = left.where((F.col("at") > F.col("last")) & ~F.array_contains("s.us", F.col("u")) & ~F.array_contains("s.ts", F.col("t"))).drop("last")
+        first = left.withColumn("k", F.row_number().over(order)).where(F.col("k") <= batch)
+        lists = first.groupBy("question_id").agg(F.first("s").alias("s"), F.array_sort(F.collect_list(F.struct("at", "u", "t"))).alias("xs"))
+        folded = lists.select("question_id", F.aggregate("xs", F.col("s"), step).alias("s"), F.element_at("xs", -1)["at"].alias("last"), (F.size("xs") == batch).alias("full"))
+        if state is not None:  # those without further results keep their list
+            ended = state.join(folded.select(F.col("question_id").alias("_q")), F.col("question_id").eqNullSafe(F.col("_q")), "left_anti")
+            folded = folded.unionByName(ended.withColumn("full", F.lit(False)).select(folded.columns))
+        folded = written(folded)
+        open_ = F.col("full") & (F.size("s.kept") < most)
+        parts.append(folded.where(~open_))
+        state = folded.where(open_)
+        if state.isEmpty():
+            break
+    done = reduce(DataFrame.unionByName, parts).select("question_id", F.posexplode("s.kept").alias("rank", "x"))
+    return done.select("question_id", (F.col("rank") + 1).alias("rank"), "x.r.title", "x.r.url", "x.r.snippet")
 
 
 def key_terms(text: Column, stop: tuple[str, ...] = ()) -> Column:
