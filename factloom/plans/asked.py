@@ -12,6 +12,7 @@ from ..operators import citations, collect, gate
 from ..operators import facts as fact_op
 from ..operators import graph as graph_op
 from ..questions import Question
+from ..shared import written
 
 
 def _candidates(spark, d):
@@ -50,8 +51,8 @@ def gate_review(spark, d):
 
 
 def gate_facts(spark, d):
-    """The facts of the approved candidates."""
-    facts = gate.facts_of(gate.judged(*_candidates(spark, d)))
+    """The facts of the approved candidates. Verdicts are written first, so a filter on the status doesn't repeat the checks."""
+    facts = gate.facts_of(written(gate.judged(*_candidates(spark, d))))
     return facts.select("id", "material", "material_id", "property", "effect_direction", "temperature_c", "duration_h", F.col("source.fragment_id").alias("fragment_id"))
 
 
