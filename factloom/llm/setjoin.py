@@ -306,8 +306,10 @@ def link_components(docs: DataFrame, least: Fraction = Fraction(85, 100), shingl
     posted = found.where("tokens is not null").select("sid", "n", (F.size("tokens") - F.col("hots")).alias("hot_from"), F.posexplode("tokens").alias("at", "token"))
     posted = posted.select("token", (F.col("at") >= F.col("hot_from")).alias("hot"), "sid", "n", "at")
     met = of_token(posted, one=F.min("sid"), end=F.max("sid")).where("one < end").drop("one", "end")
-    met = met.dropDuplicates(["token", "sid"])
-    met = written(tiled(met, list_rows).mapInArrow(viable(p, q), "token long, hot boolean, sid long, n long, at int").distinct())
+    # Written before it is cut in blocks: that reads it three times, and no filter passes a window, so each time would shuffle all prefixes.
+    listed = written(met.dropDuplicates(["token", "sid"]))
+    met = written(tiled(listed, list_rows).mapInArrow(viable(p, q), "token long, hot boolean, sid long, n long, at int").distinct())
+    dropped(listed)
 
     own = written(found.where("sid is not null").groupBy("sid").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("first")))
     docs_of = written(found.select("doc_id", F.col("n").alias("n_shingles"), "sid"))
