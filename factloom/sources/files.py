@@ -1,4 +1,4 @@
-"""Files to fragments: text, CSV, DOCX, PPTX, XLSX; any other file gives a placeholder, so none is lost.
+"""Files to fragments: text, CSV, DOCX, PPTX, XLSX, PDF; any other file gives a placeholder, so none is lost.
 
 Input: document_id, filename, content (as the binaryFile source gives it). Output: FRAGMENTS. Office files are zip archives of XML; a small reader lists
 their blocks and rows, and everything after that is column functions.
@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import text as tx
+from . import pdf
 
-FRAGMENTS = "document_id string, filename string, ordinal int, element_type string, section string, table int, row int, text string"
+FRAGMENTS = "document_id string, filename string, ordinal int, element_type string, section string, table int, row int, page int, text string"
+PAGES = "document_id string, filename string, pages array<struct<text: string, scan: boolean>>, reason string"
 
 #: extension -> kind of reader.
 KINDS = {"csv": "csv", "xlsx": "xlsx", "xlsm": "xlsx", "docx": "docx", "docm": "docx", "pptx": "pptx", "txt": "text", "md": "text", "json": "text", "pdf": "pdf"}
@@ -176,13 +178,47 @@ def xlsx_rows(data: bytes) -> Iterator[tuple]:
 READERS = {"docx": docx_blocks, "pptx": pptx_blocks, "xlsx": xlsx_rows}
 
 
+def pdf_pages(files: DataFrame) -> DataFrame:
+    """PAGES of PDF files (document_id, filename, content): each page's text and whether it is a scan; without pages, the reason."""
+
+    def run(batches):
+        for rows in batches:
+            out = []
+            for document_id, filename, content in zip(rows["document_id"], rows["filename"], rows["content"], strict=True):
+                pages, reason = None, None
+                try:
+                    pages = [{"text": text, "scan": scan} for text, scan in pdf.page_texts(bytes(content or b""))]
+                except (ValueError, TypeError, AttributeError, KeyError, IndexError, OverflowError) as e:
+                    reason = f"could not be read: {e if type(e) is ValueError else type(e).__name__}"
+                out.append((document_id, filename, pages, reason))
+            yield pd.DataFrame(out, columns=["document_id", "filename", "pages", "reason"])
+
+    return files.select("document_id", "filename", "content").mapInPandas(run, PAGES)
+
+
+def pdf_fragments(files: DataFrame) -> DataFrame:
+    """FRAGMENTS of PDF files: the blocks of each page, numbered through; a page without text says so, a file without pages gives a placeholder."""
+
+    def of_page(page: Column, at: Column) -> Column:
+        number, text = (at + 1).cast("int"), tx.strip(tx.sanitize(page["text"]))
+        said = F.when(text != "", text).otherwise(F.concat(F.lit("PDF page "), number.cast("string"), F.lit(" has no text layer; visual OCR adapter is required.")))
+        blocks = tx.merge_short(tx.split_blocks(said))
+        return F.transform(F.when(F.size(blocks) > 0, blocks).otherwise(F.array(said)), lambda b: F.struct(F.lit("pdf_page_text").alias("element_type"), F.lit("PDF evidence unit").alias("section"), number.alias("page"), b.alias("text")))
+
+    none = F.struct(F.lit("placeholder").alias("element_type"), F.lit("Uploaded file").alias("section"), F.lit(None).cast("int").alias("page"), F.concat("filename", F.lit(": "), "reason").alias("text"))
+    found = F.when(F.col("pages").isNotNull(), F.flatten(F.transform("pages", of_page))).otherwise(F.array(none))
+    rows = pdf_pages(files).select("document_id", "filename", F.posexplode(found).alias("at", "f"))
+    empty = F.lit(None).cast("int")
+    return rows.select("document_id", "filename", (F.col("at") + 1).alias("ordinal"), "f.element_type", "f.section", empty.alias("table"), empty.alias("row"), "f.page", "f.text")
+
+
 def fragments(files: DataFrame) -> DataFrame:
     """FRAGMENTS of all files. Text goes through column functions; archives through READERS, a task's rows at a time."""
     routed = files.withColumn("kind", kind_of(F.col("filename")))
     text = routed.where("kind = 'text'").select("document_id", "filename", decode("content").alias("text"))
     blocks = text.select("document_id", "filename", F.posexplode(tx.merge_short(tx.split_blocks(F.col("text")))).alias("at", "text"))
     none = lambda kind: F.lit(None).cast(kind)
-    plain = blocks.select("document_id", "filename", (F.col("at") + 1).alias("ordinal"), F.lit("paragraph").alias("element_type"), F.lit("Uploaded text").alias("section"), none("int").alias("table"), none("int").alias("row"), "text")
+    plain = blocks.select("document_id", "filename", (F.col("at") + 1).alias("ordinal"), F.lit("paragraph").alias("element_type"), F.lit("Uploaded text").alias("section"), none("int").alias("table"), none("int").alias("row"), none("int").alias("page"), "text")
 
     def run(batches):
         for pdf in batches:
@@ -198,8 +234,8 @@ def fragments(files: DataFrame) -> DataFrame:
                     reason = f"could not be read: {type(e).__name__}"
                 if kind != "csv" or found or reason.startswith("could"):
                     found = found or [("placeholder", "Uploaded file", None, None, f"{filename}: {reason}")]
-                rows += [(document_id, filename, k, *f) for k, f in enumerate(found, 1)]
-            yield pd.DataFrame(rows, columns=["document_id", "filename", "ordinal", "element_type", "section", "table", "row", "text"]).astype({"table": "Int32", "row": "Int32"})
+                rows += [(document_id, filename, k, *f[:4], int(f[1][6:]) if kind == "pptx" and f[1].startswith("Slide ") else None, f[4]) for k, f in enumerate(found, 1)]
+            yield pd.DataFrame(rows, columns=["document_id", "filename", "ordinal", "element_type", "section", "table", "row", "page", "text"]).astype({"table": "Int32", "row": "Int32", "page": "Int32"})
 
-    other = routed.where("kind is null or kind <> 'text'").select("document_id", "filename", "content", "kind").mapInPandas(run, FRAGMENTS)
-    return plain.unionByName(other).withColumn("text", tx.sanitize(F.col("text"))).withColumn("normalized_text", tx.normalize_text(F.col("text")))
+    other = routed.where("kind is null or kind not in ('text', 'pdf')").select("document_id", "filename", "content", "kind").mapInPandas(run, FRAGMENTS)
+    return plain.unionByName(other).unionByName(pdf_fragments(routed.where("kind = 'pdf'"))).withColumn("text", tx.sanitize(F.col("text"))).withColumn("normalized_text", tx.normalize_text(F.col("text")))
