@@ -73,11 +73,11 @@ ORACLE_SQL = {
     "job_latest_status": f"with {views.SQL} select job_id, arg_max(status, (ts, event_id)) as status, count(*) as n_events from jobs_v group by job_id",
     "pending_jobs": f"with {views.SQL}, l as (select job_id, arg_max(status, (ts, event_id)) as status from jobs_v group by job_id) select count(*) filter (where status in ('queued', 'processing')) as pending from l",
     "job_states": f"""with {views.SQL}, e as (select job_id, epoch_us(ts) as us, event_id as id, status from jobs_v),
-        ended as (select job_id, min((us, id)) as at, arg_min(status, (us, id)) as status from e where status in ('completed', 'failed') group by job_id),
-        j as (select e.job_id, any_value(n.at) as at, any_value(n.status) as final, min(us) filter (where e.status = 'queued') as queued, min(us) filter (where e.status = 'processing') as working, max(us) as last, arg_min(e.status, (us, id)) as first,
-          bool_or(e.status = 'processing' and (us, id) < n.at) as processed, bool_or(e.status <> n.status and (us, id) > n.at) as more from e left join ended n using (job_id) group by e.job_id),
+        ended as (select job_id, min((us, id)) as fin, arg_min(status, (us, id)) as status from e where status in ('completed', 'failed') group by job_id),
+        j as (select e.job_id, any_value(n.fin) as fin, any_value(n.status) as final, min(us) filter (where e.status = 'queued') as queued, min(us) filter (where e.status = 'processing') as working, max(us) as last, arg_min(e.status, (us, id)) as first,
+          bool_or(e.status = 'processing' and (us, id) < n.fin) as processed, bool_or(e.status <> n.status and (us, id) > n.fin) as more from e left join ended n using (job_id) group by e.job_id),
         k as (select *, final is null and (select max(us) from e) - last > 3 * 86400000000 as stuck from j)
-        select job_id, case when stuck then 'failed' else coalesce(final, case when working is not null then 'processing' else 'queued' end) end as status, coalesce(at[1], working, queued) as since_us,
+        select job_id, case when stuck then 'failed' else coalesce(final, case when working is not null then 'processing' else 'queued' end) end as status, coalesce(fin[1], working, queued) as since_us,
           concat_ws(',', case when first <> 'queued' then 'not_queued' end, case when final is not null and not processed then 'not_processed' end, case when final is not null and more then 'after_end' end, case when stuck then 'timed_out' end) as issues from k""",
     "checksum_dedup": "select min(doc_id) as doc_id, sha256(text) as checksum, count(*) as n_copies from documents group by sha256(text)",
     "upsert_documents": f"""with {views.SQL} select document_id, case when year >= 1998 then 'report' else doc_type end as doc_type, year, hidden from docs_v
