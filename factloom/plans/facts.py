@@ -26,7 +26,8 @@ def facts_filtered_ranked(spark, d):
 
 
 def fact_sources_dedup(spark, d):
-    return op.sources(views.facts(spark, d), F.col("id")).select("document_id", "fragment_id", "id")
+    # The first of each carries all columns it is given through the sort and the shuffle.
+    return op.sources(views.facts(spark, d).select("document_id", "fragment_id", "id"), F.col("id"))
 
 
 def answer_confidence(spark, d):
