@@ -33,22 +33,35 @@ def entity_mentions(facts: DataFrame) -> DataFrame:
     return facts.select("id", F.explode(named).alias("e")).select("id", "e.*").where(~tx.is_junk(F.col("name")))
 
 
+def _spellings(mentions: DataFrame) -> DataFrame:
+    """type, name, key: each name once, written."""
+    return written(mentions.select("type", "name").distinct().withColumn("key", tx.canonical(F.col("name"))))
+
+
+def _nodes_of(mentions: DataFrame, spellings: DataFrame) -> DataFrame:
+    """type, key, label, id: a key of one spelling has that as its label; only mentions of the others are compared, by the id of the fact."""
+    keys = spellings.groupBy("type", "key").agg(F.count("*").alias("n"), F.min("name").alias("label"))
+    several = spellings.join(keys.where("n > 1").select("type", "key"), ["type", "key"])
+    named = mentions.select("type", "name", "id").join(written(several), ["type", "name"]).select("type", "key", "id", F.col("name").alias("label"))
+    first = keys.where("n = 1").select("type", "key", "label").unionByName(named.groupBy("type", "key").agg(F.min_by("label", F.struct("id", "label")).alias("label")))
+    base = F.concat(F.lower("type"), F.lit("-"), F.coalesce(F.nullif(tx.slug(F.col("label")), F.lit("")), F.substring(F.sha2("key", 256), 1, 12)))
+    numbered = first.withColumn("base", base).withColumn("n", F.row_number().over(Window.partitionBy("base").orderBy("key")))
+    return numbered.select("type", "key", "label", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), F.col("n").cast("string"))).alias("id"))
+
+
 def entity_nodes(mentions: DataFrame) -> DataFrame:
     """type, key, label, id: one node for each (type, canonical name), labelled by its first mention; equal slugs get -2, -3, ... in order of key.
 
     Mentions are first reduced to distinct names, so the numbering sees names, not facts.
     """
-    named = mentions.select("type", tx.canonical(F.col("name")).alias("key"), F.col("name").alias("label"), "id")
-    first = named.groupBy("type", "key").agg(F.min_by("label", F.struct("id", "label")).alias("label"))
-    base = F.concat(F.lower("type"), F.lit("-"), F.coalesce(F.nullif(tx.slug(F.col("label")), F.lit("")), F.substring(F.sha2("key", 256), 1, 12)))
-    numbered = first.withColumn("base", base).withColumn("n", F.row_number().over(Window.partitionBy("base").orderBy("key")))
-    return numbered.select("type", "key", "label", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), F.col("n").cast("string"))).alias("id"))
+    return _nodes_of(mentions, _spellings(mentions))
 
 
 def answer_graph(facts: DataFrame, documents: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """nodes and edges of some facts: claims, what they name, and their documents."""
     mentions = entity_mentions(facts)
-    entities = entity_nodes(mentions)
+    spellings = _spellings(mentions)
+    entities = _nodes_of(mentions, spellings)
     quote = F.col("quote") if "quote" in facts.columns else F.lit(None).cast("string")
     claims = facts.select("id", claim_label(F.col("property"), F.col("effect_direction"), quote, F.col("id")).alias("label"), F.lit("Claim").alias("type"))
     cited = facts.select("document_id").distinct()
@@ -58,44 +71,61 @@ def answer_graph(facts: DataFrame, documents: DataFrame | None = None) -> tuple[
         label = F.coalesce(tx.short_label(F.col("filename")), F.col("document_id"))
     papers = cited.select(F.concat(F.lit("document-"), "document_id").alias("id"), label.alias("label"), F.lit("Document").alias("type"))
     nodes = first_of_each(claims, ["id"], F.col("label")).unionByName(entities.select("id", "label", "type")).unionByName(papers)
-    named = mentions.select(F.col("id").alias("target"), "type", tx.canonical(F.col("name")).alias("key"), F.col("relation").alias("label"))
-    edges = named.join(entities.select("type", "key", F.col("id").alias("source")), ["type", "key"]).select("source", "target", "label")
-    cites = facts.select(F.col("id").alias("source"), F.concat(F.lit("document-"), "document_id").alias("target"), F.lit("CITES").alias("label"))
-    return nodes, edges.unionByName(cites).distinct()
-
-
-def fact_projection(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The stored graph of facts: material, experiment, property, effect, laboratory, fragment and claim nodes, and the six edges between them."""
-    parts = {
-        "Material": F.concat(F.lit("material-"), tx.slug(F.col("material"))),
-        "Experiment": F.col("experiment_id"),
-        "Property": F.concat(F.lit("property-"), tx.slug(F.col("property"))),
-        "Effect": F.concat(F.lit("effect-"), F.col("id")),
-        "Laboratory": F.concat(F.lit("lab-"), tx.slug(F.col("lab"))),
-        "SourceFragment": F.col("fragment_id"),
-        "Claim": F.col("id"),
-    }
-    keyed = facts.select("*", *[c.alias(f"_{n}") for n, c in parts.items()])
-    names = {"Material": "material", "Experiment": "experiment_id", "Property": "property", "Effect": "effect_direction", "Laboratory": "lab", "SourceFragment": "fragment_id", "Claim": "id"}
-    node = F.explode(F.array(*[F.struct(F.col(f"_{n}").alias("id"), F.col(names[n]).alias("name"), F.lit(n).alias("label")) for n in parts]))
-    nodes = keyed.select(node.alias("n")).select("n.*").groupBy("id", "label").agg(F.min("name").alias("name"))
-    ends = (("Claim", "ABOUT", "Material"), ("Claim", "BASED_ON", "Experiment"), ("Experiment", "MEASURED", "Property"), ("Claim", "HAS_EFFECT", "Effect"), ("Experiment", "PERFORMED_AT", "Laboratory"), ("Claim", "SUPPORTED_BY", "SourceFragment"))
-    edge = F.explode(F.array(*[F.struct(F.col(f"_{a}").alias("source"), F.col(f"_{b}").alias("target"), F.lit(r).alias("label")) for a, r, b in ends]))
-    return nodes, keyed.select(edge.alias("e")).select("e.*").distinct()
+    # Names are looked up as they are written; every edge has a fact's id at one end, so rows dealt by it meet their like without another shuffle.
+    ids = written(spellings.join(entities.select("type", "key", F.col("id").alias("source")), ["type", "key"]).select("type", "name", "source"))
+    named = mentions.join(ids, ["type", "name"]).select("id", "source", F.col("id").alias("target"), F.col("relation").alias("label"))
+    cites = facts.select("id", F.col("id").alias("source"), F.concat(F.lit("document-"), "document_id").alias("target"), F.lit("CITES").alias("label"))
+    return nodes, named.unionByName(cites).repartition("id").distinct().drop("id")
+
+
+def fact_projection(facts: DataFrame, claims: DataFrame | None = None, distinct: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The stored graph of facts: material, experiment, property, effect, laboratory, fragment and claim nodes, and the six edges between them.
+
+    claims: the facts whose claims are still there, if others were deleted (what those named stays); distinct: whether edges are each there once, for readers that can't have them repeated.
+    Names become ids once each; claims and their edges are dealt by the fact's id, once.
+    """
+    claims = facts if claims is None else claims
+    slugged = {"Material": ("material-", "material"), "Property": ("property-", "property"), "Laboratory": ("lab-", "lab")}
+    node_id = lambda n: F.concat(F.lit(slugged[n][0]), tx.slug(F.col(slugged[n][1])))
+    names = facts.select(F.explode(F.array(*[F.struct(F.col(c).alias("name"), F.lit(n).alias("label")) for n, (_, c) in slugged.items()])).alias("n")).select("n.*").distinct()
+    prefix = F.create_map(*[F.lit(x) for n, (start, _) in slugged.items() for x in (n, start)])
+    named = names.select(F.concat(F.try_element_at(prefix, F.col("label")), tx.slug(F.col("name"))).alias("id"), "label", "name").groupBy("id", "label").agg(F.min("name").alias("name"))
+    own = facts.select(F.explode(F.array(*[F.struct(F.col(c).alias("id"), F.lit(n).alias("label")) for n, c in (("Experiment", "experiment_id"), ("SourceFragment", "fragment_id"))])).alias("n")).select("n.*").distinct().select("id", "label", F.col("id").alias("name"))
+    effects = facts.select("id", "effect_direction").repartition("id").groupBy("id").agg(F.min("effect_direction").alias("name")).select(F.concat(F.lit("effect-"), "id").alias("id"), F.lit("Effect").alias("label"), "name")
+    stated = claims.select("id").repartition("id").distinct().select("id", F.lit("Claim").alias("label"), F.col("id").alias("name"))
+    nodes = named.unionByName(own).unionByName(effects).unionByName(stated)
+
+    edge = lambda *ends: F.explode(F.array(*[F.struct(a.alias("source"), b.alias("target"), F.lit(r).alias("label")) for a, r, b in ends])).alias("e")
+    of_claim = claims.select("id", "material", "experiment_id", "fragment_id")
+    of_claim = (of_claim.repartition("id") if distinct else of_claim).select("id", edge(
+        (F.col("id"), "ABOUT", node_id("Material")), (F.col("id"), "BASED_ON", F.col("experiment_id")), (F.col("id"), "HAS_EFFECT", F.concat(F.lit("effect-"), F.col("id"))), (F.col("id"), "SUPPORTED_BY", F.col("fragment_id")),
+    )).select("id", "e.*")
+    # Pairs of names are reduced before they become ids.
+    pairs = facts.select(F.explode(F.array(*[F.struct(F.col("experiment_id").alias("source"), F.col(c).alias("name"), F.lit(r).alias("label"), F.lit(p).alias("prefix")) for c, r, p in (("property", "MEASURED", "property-"), ("lab", "PERFORMED_AT", "lab-"))])).alias("e")).select("e.*")
+    of_experiment = (pairs.distinct() if distinct else pairs).select("source", F.concat("prefix", tx.slug(F.col("name"))).alias("target"), "label")
+    if not distinct:
+        return nodes, of_claim.drop("id").unionByName(of_experiment)
+    return nodes, of_claim.distinct().drop("id").unionByName(of_experiment.distinct())
+
+
+#: Ids of a frontier that every task may hold; a larger one is joined by a shuffle.
+HELD_IDS = 2_000_000
 
 
 def reachable(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
     """id, hop: nodes at most `hops` steps along edges from `start` (id), with the least number of steps. Each step joins the last frontier only.
 
-    The edges are written once and each frontier too, so a step's plan reads them and the frontiers before it, however the edges were made; no step follows an empty frontier. Ends without id are left out.
+    The edges are written once and each frontier too, so a step's plan reads them and the frontiers before it, however the edges were made; no step follows an empty frontier. Ends without id are left out, and edges may repeat.
+    A frontier of up to HELD_IDS ids goes to the edges, so that these are not shuffled.
     """
     step = written(edges.select(F.col("source").alias("id"), F.col("target").alias("next")).where("id is not null and next is not null"))
     frontier = written(start.select("id").where("id is not null").distinct().withColumn("hop", F.lit(0)))
     seen = frontier
     for k in range(1, hops + 1):
-        if frontier.isEmpty():
+        n = frontier.count()
+        if not n:
             break
-        found = frontier.join(step, "id").select(F.col("next").alias("id")).distinct()
+        found = step.join(F.broadcast(frontier) if n <= HELD_IDS else frontier, "id").select(F.col("next").alias("id")).distinct()
         frontier = written(found.join(seen.select("id"), "id", "left_anti").withColumn("hop", F.lit(k)))
         seen = seen.unionByName(frontier)
     dropped(step)
@@ -104,9 +134,9 @@ def reachable(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
 
 def orphans(nodes: DataFrame, edges: DataFrame, hops: int = 4) -> DataFrame:
     """Nodes other than claims and fragments that no claim reaches in 1 to `hops` steps. What both read is written first, since how it was made may be long."""
-    nodes = written(nodes)
+    nodes = written(nodes.where("label <> 'SourceFragment'"))
     reached = reachable(edges, nodes.where("label = 'Claim'"), hops).where("hop > 0").select("id")
-    return nodes.where("label not in ('Claim', 'SourceFragment')").join(reached, "id", "left_anti")
+    return nodes.where("label <> 'Claim'").join(reached, "id", "left_anti")
 
 
 def without(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -6,35 +6,51 @@ from pyspark.sql import functions as F
 
 from .. import views
 from ..operators import graph as op
+from ..shared import written
+
+
+def _facts(spark, d, *columns):
+    """Facts with some of their columns, written: the branches of a graph read them instead of joining the tables each."""
+    return written(views.facts(spark, d).select("id", *columns))
+
+
+def _answer_facts(spark, d):
+    return _facts(spark, d, "document_id", "material", "process", "property", "effect_direction")
 
 
 def graph_nodes(spark, d):
-    nodes, _ = op.answer_graph(views.facts(spark, d))
+    nodes, _ = op.answer_graph(_answer_facts(spark, d))
     return nodes.groupBy("type", "id").agg(F.min("label").alias("label"))
 
 
 def graph_edges(spark, d):
-    return op.answer_graph(views.facts(spark, d))[1].groupBy("source", "label").agg(F.count("*").alias("targets"))
+    return op.answer_graph(_answer_facts(spark, d))[1].groupBy("source", "label").agg(F.count("*").alias("targets"))
+
+
+_STORED = ("experiment_id", "fragment_id", "material", "property", "effect_direction", "lab")
 
 
 def graph_projection(spark, d):
-    nodes, edges = op.fact_projection(views.facts(spark, d))
+    nodes, edges = op.fact_projection(_facts(spark, d, *_STORED))
     return nodes.groupBy("label").agg(F.count("*").alias("n")).unionByName(edges.groupBy("label").agg(F.count("*").alias("n")))
 
 
 def _cut_graph(spark, d):
     """The stored graph after the claims of one return flag are deleted: experiments and laboratories may be left alone."""
-    facts = views.facts(spark, d)
-    nodes, edges = op.fact_projection(facts)
-    return op.without(nodes, edges, facts.where("effect_direction <> 'increase' or confidence < 0.99").select("id"))
+    facts = _facts(spark, d, *_STORED, "confidence")
+    gone = F.coalesce(F.expr("effect_direction <> 'increase' or confidence < 0.99"), F.lit(False))
+    # A claim goes with any of its facts.
+    claims = facts.where(~gone).join(facts.where(gone).select("id"), "id", "left_anti")
+    return op.fact_projection(facts, claims, distinct=False)
 
 
 def graph_orphans(spark, d):
-    return op.orphans(*_cut_graph(spark, d)).select("id", "label")
+    nodes, edges = _cut_graph(spark, d)
+    return op.orphans(nodes.select("id", "label"), edges)
 
 
 def graph_reach(spark, d):
-    _, edges = op.fact_projection(views.facts(spark, d))
+    _, edges = op.fact_projection(views.facts(spark, d), distinct=False)
     start = views.facts(spark, d).where("confidence = 1.0 and temperature_c = 50").select("id")
     return op.reachable(edges, start, 2).groupBy("hop").agg(F.count("*").alias("n"))
 
