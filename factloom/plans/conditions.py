@@ -69,7 +69,7 @@ def template_claims(spark, d):
     """Claims of both branches and those of hypotheses on the named material: the union of two templates."""
     nodes, edges, asked = _parameter_graph(spark, d)
     facts = views.facts(spark, d).where("is_hypothesis").select(F.lower(F.element_at(F.split("material", " "), 2)).alias("question_id"), F.regexp_replace("id", "-[0-9]+$", "").alias("claim_id"))
-    return op.template_claims(op.parameter_claims(nodes, edges, asked), facts)
+    return op.template_claims(op.parameter_claims(nodes, edges, asked, distinct=False), facts)
 
 
 QUERIES = {f.__name__: f for f in (condition_matches, parameter_claims, template_claims)}
