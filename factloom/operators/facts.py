@@ -5,10 +5,13 @@ A fact has id, document_id, fragment_id, material, process, property, lab, tempe
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..shared import written
 
 
 def canonical_entity(value: Column, synonyms: dict | None = None) -> Column:
@@ -138,7 +141,8 @@ def gaps(facts: DataFrame, target: str | None = None, numeric_evidence: DataFram
 def loose_search(facts: DataFrame, terms: list[str], synonyms: dict | None = None) -> DataFrame:
     """term, facts: for each loosened term, the facts whose material or process holds it. Facts are read once, the terms are literals."""
     names = F.array(*[F.struct(F.lit(t).alias("term"), F.lower(canonical_entity(F.lit(t), synonyms)).alias("name")) for t in terms])
-    hits = facts.withColumn("hit", F.explode(F.filter(names, lambda n: F.contains(F.lower("material"), n["name"]) | F.contains(F.lower("process"), n["name"]))))
+    some = reduce(lambda a, b: a | b, [F.contains(F.lower(c), F.lower(canonical_entity(F.lit(t), synonyms))) for t in terms for c in ("material", "process")], F.lit(False))
+    hits = facts.where(some).withColumn("hit", F.explode(F.filter(names, lambda n: F.contains(F.lower("material"), n["name"]) | F.contains(F.lower("process"), n["name"]))))
     return hits.groupBy(F.col("hit.term").alias("term")).agg(F.count("*").alias("facts"))
 
 
@@ -179,15 +183,27 @@ def conflict_links(facts: DataFrame, synonyms: dict | None = None) -> DataFrame:
     return keyed.join(other, ["material_key", "property_key", "direction"]).groupBy("id").agg(F.array_sort(F.collect_set("other")).alias("conflicts_with"))
 
 
+def _opposites(keyed: DataFrame) -> DataFrame:
+    """material_key, property_key, direction, opposites, first_opposite of each class that has any, written: a short table. Facts are dealt by id once, and counted there."""
+    each = keyed.where("direction in ('increase', 'decrease')").select("id", "material_key", "property_key", "direction").repartition("id").distinct()
+    of = each.groupBy("material_key", "property_key", "direction").agg(F.count("id").alias("opposites"), F.min("id").alias("first_opposite"))
+    return written(of.where("opposites > 0").withColumn("direction", F.when(F.col("direction") == "increase", "decrease").otherwise("increase")))
+
+
 def conflict_members(facts: DataFrame, synonyms: dict | None = None) -> DataFrame:
     """id, material_key, property_key, direction, opposites, first_opposite: each fact that has opposites, with its class (the two keys and the direction), their number and the least id of them.
 
     All facts of one class have the same opposites, the class of the other direction; so this says as much as the lists of `conflict_links`, by group counts and without pairs.
     """
-    keyed = conflict_keys(facts, synonyms).where("direction in ('increase', 'decrease')").select("id", "material_key", "property_key", "direction")
-    of = keyed.groupBy("material_key", "property_key", "direction").agg(F.count_distinct("id").alias("opposites"), F.min("id").alias("first_opposite"))
-    other = of.withColumn("direction", F.when(F.col("direction") == "increase", "decrease").otherwise("increase"))
-    return keyed.join(other, ["material_key", "property_key", "direction"]).select("id", "material_key", "property_key", "direction", "opposites", "first_opposite")
+    keyed = conflict_keys(facts, synonyms)
+    return keyed.join(_opposites(keyed), ["material_key", "property_key", "direction"]).select("id", "material_key", "property_key", "direction", "opposites", "first_opposite")
+
+
+def conflict_counts(facts: DataFrame, synonyms: dict | None = None) -> DataFrame:
+    """id, links: of every fact, each id once, the number of its opposites, 0 without any; of several facts with one id the most."""
+    keyed = conflict_keys(facts, synonyms)
+    of = _opposites(keyed).select("material_key", "property_key", "direction", "opposites")
+    return keyed.join(of, ["material_key", "property_key", "direction"], "left").groupBy("id").agg(F.max(F.coalesce("opposites", F.lit(0)).cast("long")).alias("links"))
 
 
 def contradictions(facts: DataFrame, tolerance: float = 5.0, synonyms: dict | None = None) -> DataFrame:
@@ -199,19 +215,28 @@ def contradictions(facts: DataFrame, tolerance: float = 5.0, synonyms: dict | No
     keyed = conflict_keys(facts, synonyms).where("direction in ('increase', 'decrease')")
     process = F.coalesce(tx.canonical(F.col("process")), F.lit(""))
     points = keyed.select("material_key", "property_key", "direction", process.alias("process"), F.col("temperature_c").alias("t"), "lab").distinct()
+    points = written(points)
     band = F.floor(F.col("t") / tolerance)
     # The side that is copied stands in its own band and the two beside it; an unknown temperature meets all through band null.
     ups = points.where("direction = 'increase'").drop("direction").withColumn("band", band)
     downs = points.where("direction = 'decrease'").drop("direction").select("material_key", "property_key", F.col("process").alias("process2"), F.col("t").alias("t2"), F.col("lab").alias("lab2")).withColumn("band", F.floor(F.col("t2") / tolerance))
     key = ["material_key", "property_key"]
-    near = ups.where("t is not null").join(downs.where("t2 is not null").withColumn("band", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)]))), [*key, "band"]).where(F.abs(F.col("t") - F.col("t2")) <= tolerance)
-    any_ = [ups.where("t is null").drop("band").join(downs.drop("band"), key), ups.where("t is not null").drop("band").join(downs.where("t2 is null").drop("band"), key)]
-    pairs = near.drop("band")
-    for more in any_:
-        pairs = pairs.unionByName(more)
-    same = (F.col("process") == F.col("process2")) | (F.col("process") == "") | (F.col("process2") == "")
-    labs = F.array_join(F.array_sort(F.array_distinct(F.array(F.coalesce("lab", F.lit("")), F.coalesce("lab2", F.lit(""))))), ", ")
-    return pairs.where(same).select(*key, labs.alias("labs")).distinct()
+
+    def met(ups: DataFrame, downs: DataFrame, *by: str) -> DataFrame:
+        """Pairs with the same keys and `by`, whose temperatures are comparable."""
+        near = ups.where("t is not null").join(downs.where("t2 is not null").withColumn("band", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)]))), [*key, *by, "band"]).where(F.abs(F.col("t") - F.col("t2")) <= tolerance)
+        any_ = [ups.where("t is null").join(downs, [*key, *by]), ups.where("t is not null").join(downs.where("t2 is null"), [*key, *by])]
+        return reduce(DataFrame.unionByName, [p.select(*key, "lab", "lab2") for p in (near, *any_)])
+
+    # The process is part of the join; an empty one, which goes with any, is joined apart.
+    named, named2 = ups.where("process <> ''"), downs.where("process2 <> ''")
+    pairs = met(named, named2.withColumnRenamed("process2", "process"), "process").unionByName(met(ups.where("process = ''"), downs)).unionByName(met(named, downs.where("process2 = ''")))
+    a, b = F.coalesce("lab", F.lit("")), F.coalesce("lab2", F.lit(""))
+    once = pairs.select(*key, F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+    # Texts are made of distinct pairs; different pairs have one text only where a name holds a comma.
+    labs = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.concat_ws(", ", "a", "b"))
+    texts = once.select(*key, labs.alias("labs"))
+    return texts if points.where(F.contains("lab", F.lit(","))).isEmpty() else texts.distinct()
 
 
 def phrase(facts: DataFrame) -> DataFrame:

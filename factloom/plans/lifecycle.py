@@ -8,6 +8,7 @@ from .. import views
 from ..operators import facts as fact_op
 from ..operators import jobstates
 from ..operators import lifecycle as op
+from ..shared import written
 
 
 def job_latest_status(spark, d):
@@ -48,8 +49,7 @@ def retract_document(spark, d):
     """The status of every fact that stays when the hidden documents are deleted, and how many opposites it keeps."""
     facts = views.facts(spark, d).select("id", "document_id", "material", "property", "effect_direction")
     left = op.cascade_delete(views.documents(spark, d).where("hidden").select("document_id"), facts=facts)["facts"]
-    links = fact_op.conflict_members(left).select("id", F.col("opposites").alias("links"))
-    return left.join(links, "id", "left").select("id", F.when(F.col("links") > 0, "conflicting").otherwise("approved").alias("status"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    return fact_op.conflict_counts(written(left)).select("id", F.when(F.col("links") > 0, "conflicting").otherwise("approved").alias("status"), "links")
 
 
 def missing_vectors(spark, d):
