@@ -16,8 +16,8 @@ def number_evidence(facts: DataFrame, hits: DataFrame, n_facts: int = 15, n_hits
     return first.unionByName(then).select(F.row_number().over(Window.orderBy("part", "rank", "fragment_id")).alias("n"), "fragment_id")
 
 
-def translate_markers(text: Column, index: Column) -> Column:
-    """[3], [3, 7] and [5-10] in a text to [ids] by `index` (map of number, as text, to id). Numbers not in it are dropped; a bracket with none that is stays."""
+def markers(text: Column) -> Column:
+    """array<struct<part, numbers>>: a text cut at its brackets, and the numbers that [3], [3, 7] and [5-10] stand for; null for what is between them. The same for any index, so a text that meets many is read once."""
     parts = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\[\s*\d[\d\s,–—\-]*\]|[^\[]+|\["), F.lit(0))
 
     def expand(token: Column) -> Column:
@@ -26,12 +26,22 @@ def translate_markers(text: Column, index: Column) -> Column:
         numbers = F.transform(F.sequence(F.when(fits, low).otherwise(0), F.when(fits, high).otherwise(0)), lambda n: n.cast("string"))
         return F.when(low.isNull(), F.array(token)).when(fits, numbers).otherwise(F.array().cast("array<string>"))
 
-    def resolve(part: Column) -> Column:
+    def numbers(part: Column) -> Column:
         tokens = F.transform(F.split(F.regexp_replace(part, r"^\[|\]$", ""), ","), lambda x: F.trim(x))
-        ids = F.array_distinct(F.array_compact(F.transform(F.flatten(F.transform(tokens, expand)), lambda n: F.try_element_at(index, n))))
-        return F.when(F.size(ids) > 0, F.concat(F.lit("["), F.array_join(ids, ", "), F.lit("]"))).otherwise(part)
+        return F.flatten(F.transform(tokens, expand))
+
+    return F.transform(parts, lambda p: F.struct(p.alias("part"), F.when(p.rlike(r"^\[\s*\d"), numbers(p)).alias("numbers")))
+
 
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\[\s*\d"), resolve(p)).otherwise(p)), "")
+def resolved(marks: Column, index: Column) -> Column:
+    """The text of `markers` with ids by `index` (map of number, as text, to id). Numbers not in it are dropped; a bracket with none that is stays."""
+    found = F.transform(marks, lambda m: F.struct(m["part"].alias("part"), F.array_distinct(F.array_compact(F.transform(m["numbers"], lambda n: F.try_element_at(index, n)))).alias("ids")))
+    return F.array_join(F.transform(found, lambda m: F.when(F.coalesce(F.size(m["ids"]), F.lit(0)) > 0, F.concat(F.lit("["), F.array_join(m["ids"], ", "), F.lit("]"))).otherwise(m["part"])), "")
+
+
+def translate_markers(text: Column, index: Column) -> Column:
+    """[3], [3, 7] and [5-10] in a text to [ids] by `index` (map of number, as text, to id). Numbers not in it are dropped; a bracket with none that is stays."""
+    return resolved(markers(text), index)
 
 
 def cited_ids(text: Column) -> Column:

@@ -164,7 +164,9 @@ def collect_full(
     claims = written(claims) if claims is not None else None
     pools = [fact_op.filtered(visible, confidence_min, hypotheses, question.material, question.property, materials, properties, labs, base.synonyms)]
     if claims is not None:
-        pools.insert(0, visible.join(claims.select(F.col("claim_id").alias("id")), "id", "left_semi").select(visible.columns))
+        # Claims come first: hidden documents are then looked for among their facts alone.
+        led = base.facts.join(claims.select(F.col("claim_id").alias("id")), "id", "left_semi").select(base.facts.columns)
+        pools.insert(0, fact_op.visible(led, base.hidden()).select(visible.columns))
     merged = written(_ranked(fact_op.ranked(fact_op.unique_facts(*pools).drop("list_no"), question.material, question.property, question.process, base.synonyms)))
     facts = fact_op.in_years(merged, base.documents, *years)
     dropped = 0

@@ -58,25 +58,33 @@ def gate_facts(spark, d):
 
 def table_values(spark, d):
     """Values with their units from the rows of tables: the unit in the head, in the first cell, or in a column of its own."""
+    # Equal rows are read once, with their number.
+    rows = views.table(spark, d, "lineitem").groupBy("l_linenumber", "l_quantity").agg(F.count("*").alias("n"))
     text = lambda c: F.round(F.col(c)).cast("int").cast("string")
     kind = F.col("l_linenumber") % 3
     header = F.when(kind == 0, "Amount, °C | Note").when(kind == 1, "Показатель | A | B").otherwise("Item | Amount | Unit")
     row = F.when(kind == 0, F.concat(text("l_quantity"), F.lit(" | x"))).when(kind == 1, F.concat(F.lit("Yield, % | "), text("l_quantity"), F.lit(" | "), text("l_linenumber"))).otherwise(F.concat(F.lit("x | "), text("l_quantity"), F.lit(" | мг/л")))
-    found = views.table(spark, d, "lineitem").select("l_linenumber", F.regexp_replace(gate.values_with_units(header, row), "\n", ";").alias("lines"))
-    return found.groupBy("l_linenumber", "lines").agg(F.count("*").alias("n"))
+    found = rows.select("l_linenumber", F.regexp_replace(gate.values_with_units(header, row), "\n", ";").alias("lines"), "n")
+    return found.groupBy("l_linenumber", "lines").agg(F.sum("n").alias("n"))
 
 
 def citation_markers(spark, d):
     """For each order a text that cites its lines by number: numbers, a list, a range, one that is no line; and the ids it cites then."""
-    lines = views.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("order"), F.col("l_linenumber").alias("n")).distinct()
-    index = lines.groupBy("order").agg(F.map_from_entries(F.collect_list(F.struct(F.col("n").cast("string"), F.concat_ws("-", F.lit("fragment"), F.col("order").cast("string"), F.col("n").cast("string"))))).alias("index"))  # seven lines at most
-    text = citations.translate_markers(F.lit("A [1] b [2, 99], c [3-5] d [2023]."), F.col("index"))
-    return index.select("order", text.alias("text")).select("order", "text", F.size(citations.cited_ids(F.col("text"))).cast("long").alias("cited"))
+    lines = views.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("order")).agg(F.collect_set(F.col("l_linenumber").cast("string")).alias("ns"))  # seven lines at most
+    index = lines.select("order", F.map_from_arrays("ns", F.transform("ns", lambda n: F.concat_ws("-", F.lit("fragment"), F.col("order").cast("string"), n))).alias("index"))
+    # One text for all orders: its markers are read once, in a table of one row.
+    said = spark.range(1).select(citations.markers(F.lit("A [1] b [2, 99], c [3-5] d [2023].")).alias("marks"))
+    text = citations.resolved(F.col("marks"), F.col("index"))
+    return index.crossJoin(F.broadcast(said)).select("order", text.alias("text")).select("order", "text", F.size(citations.cited_ids(F.col("text"))).cast("long").alias("cited"))
 
 
-def _base(spark, d, graph: bool) -> collect.Base:
-    """Facts once for each id; their fragments and vectors are left out."""
-    facts = fact_op.first_of_each(views.facts(spark, d), ["id"], F.col("confidence"), F.col("effect_direction"), F.col("is_hypothesis"))
+def _facts(spark, d) -> DataFrame:
+    """Facts once for each id, written: all questions read them."""
+    return written(fact_op.first_of_each(views.facts(spark, d), ["id"], F.col("confidence"), F.col("effect_direction"), F.col("is_hypothesis")))
+
+
+def _base(spark, d, facts: DataFrame, graph: bool) -> collect.Base:
+    """Their fragments and vectors are left out."""
     fragments = facts.select("fragment_id", "document_id", F.col("material").alias("text"))
     return collect.Base(facts, views.documents(spark, d), fragments, mentions=graph_op.entity_mentions(facts) if graph else None)
 
@@ -92,9 +100,9 @@ ASKED = (
 
 def question_evidence(spark, d):
     """What is found for each question: facts with their confidence, related facts, gaps and hypotheses."""
-    out = []
+    out, facts = [], _facts(spark, d)
     for no, (question, with_graph) in enumerate(ASKED):
-        e = collect.collect_full(spark, _base(spark, d, with_graph), question.text, question)
+        e = collect.collect_full(spark, _base(spark, d, facts, with_graph), question.text, question)
         counts = e.facts.agg(F.count("*").alias("facts"), F.coalesce(F.round(F.avg("confidence"), 2), F.lit(0.0)).alias("confidence"))
         related = e.related.agg(F.count("*").alias("related"))
         # One row on either side.
