@@ -232,11 +232,8 @@ def contradictions(facts: DataFrame, tolerance: float = 5.0, synonyms: dict | No
     named, named2 = ups.where("process <> ''"), downs.where("process2 <> ''")
     pairs = met(named, named2.withColumnRenamed("process2", "process"), "process").unionByName(met(ups.where("process = ''"), downs)).unionByName(met(named, downs.where("process2 = ''")))
     a, b = F.coalesce("lab", F.lit("")), F.coalesce("lab2", F.lit(""))
-    once = pairs.select(*key, F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
-    # Texts are made of distinct pairs; different pairs have one text only where a name holds a comma.
-    labs = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.concat_ws(", ", "a", "b"))
-    texts = once.select(*key, labs.alias("labs"))
-    return texts if points.where(F.contains("lab", F.lit(","))).isEmpty() else texts.distinct()
+    labs = F.when(a == b, a).otherwise(F.concat_ws(", ", F.least(a, b), F.greatest(a, b)))
+    return pairs.select(*key, labs.alias("labs")).distinct()
 
 
 def phrase(facts: DataFrame) -> DataFrame:
