@@ -58,6 +58,11 @@ def dropped(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def collected(spark: SparkSession) -> None:
+    """Has the driver collect its garbage. Spark lets go broadcasts, shuffle state and generated classes of ended queries only then, and a driver that runs many short queries otherwise first fills its heap."""
+    spark._jvm.System.gc()
+
+
 def forget_written(spark: SparkSession) -> int:
     """Deletes every table that written() of this application has left in the shared folder; their number. For the end of a session: results that still read them are lost."""
     root = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))

@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 from factloom.llm import copies
 
 from .texts import AWKWARD, documents
@@ -53,3 +54,13 @@ def test_all_copies_from_0_8_on_and_no_others(spark):
 
 def test_no_documents(spark):
     assert copies.deduplicate(documents(spark, [])).count() == 0
+
+
+def test_pairs_of_a_shared_passage_are_no_rows(spark, monkeypatch):
+    """Texts of different components that meet on a passage, in an order of shingles that does not put it last: what their bitmaps rule out is not made into pairs."""
+    passage, pairs, verified = " ".join(f"p{k}" for k in range(34)), [], copies.verified
+    docs = documents(spark, [" ".join(f"own{n}x{k}" for k in range(20)) + " " + passage for n in range(80)])
+    monkeypatch.setattr(copies, "frequent", lambda *_: (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    monkeypatch.setattr(copies, "verified", lambda found, *how: pairs.append(found.count()) or verified(found, *how))
+    assert copies.deduplicate(docs, rounds=1).count() == 80
+    assert sum(pairs[2:]) < 80  # all pairs: 3160
