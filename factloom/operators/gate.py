@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..domain import Domain
 from ..functions import text as tx
 from ..functions.quantity import Quantities
+from ..shared import written
 from .facts import canonical_entity
 
 _ISSUES = "array<struct<code:string,field:string>>"
+#: The fields of a payload that number_issues reads.
+_NUMBERS = ("temperature_c", "duration_h", "effect_value", "effect_unit", "numeric_parameters")
 
 
 def _issue(code: str, field: str) -> Column:
@@ -64,16 +68,15 @@ def judged(candidates: DataFrame, fragments: DataFrame, domain: Domain | None =
     fragments: fragment_id, text, header (the head of its table, if it is a row of one). Numbers are looked for in the head, the text and the
     row's values with their units; the quotation in the text alone.
     """
-    q = Quantities(domain)
     rows = candidates.withColumn("fragment_id", F.col("source.fragment_id")).join(fragments.select("fragment_id", F.col("text").alias("_text"), F.col("header").alias("_header")), "fragment_id", "left")
-    paired = values_with_units(F.col("_header"), F.col("_text"))
-    context = F.array_join(F.filter(F.array("_header", "_text", paired), lambda p: F.coalesce(p, F.lit("")) != ""), "\n")
-    rows = rows.withColumn("_context", F.when(context != "", context).otherwise(F.coalesce("source.quote", F.lit("")))).withColumn("_hits", q.hits(F.col("_context")))
-    some_text = F.coalesce("_text", F.lit("")) != ""
-    quote = F.when(F.col("source").isNotNull() & some_text, tx.quote_in_source(F.col("source.quote"), F.col("_text")))
-    rows = rows.withColumn("quote_validated", quote)
-    numbers = F.when(F.col("source").isNotNull(), q.number_issues(F.col("payload"), F.col("_context"), F.col("_hits"))).otherwise(F.array().cast(_ISSUES))
-    rows = rows.withColumn("number_issues", numbers).withColumn("_fields", field_issues(F.col("payload")))
+    # What the checks read. Numbers are text, which tells -0.0 from 0.0 as number_in_text does, so equal statements are grouped by strings alone.
+    said = F.to_json(F.struct(*[F.col(f"payload.{f}").alias(f) for f in _NUMBERS]))
+    stated = [F.col("_text"), F.col("_header"), F.col("source").isNotNull().alias("_sourced"), F.col("source.quote").alias("_quote"), said.alias("_said")]
+    # Written, because it is read twice, with other columns each time: Spark would join it twice.
+    rows = written(rows.withColumn("_key", F.sha2(F.to_json(F.struct(*stated)), 256)))
+    kind = T.StructType([f for f in candidates.schema["payload"].dataType.fields if f.name in _NUMBERS])
+    checked = _checked(rows.select("_key", *stated).distinct().withColumn("_said", F.from_json("_said", kind)), Quantities(domain))
+    rows = rows.join(checked, "_key").withColumn("_fields", field_issues(F.col("payload")))
     origin = F.when(F.col("source").isNull(), F.array(_issue("source_missing", "source"))).when(~F.coalesce("quote_validated", F.lit(False)), F.array(_issue("quote_unconfirmed", "quote"))).otherwise(F.array().cast(_ISSUES))
     issues = F.concat("_fields", origin, "number_issues")
     passed = F.coalesce("quote_validated", F.lit(False)).cast("int") + (F.size("number_issues") == 0).cast("int") + (F.size("_fields") == 0).cast("int")
@@ -81,6 +84,17 @@ def judged(candidates: DataFrame, fragments: DataFrame, domain: Domain | None =
     return rows.select(*[c for c in candidates.columns if c not in ("status", "confidence")], "quote_validated", "number_issues", "review_issues", "status", "confidence")
 
 
+def _checked(stated: DataFrame, q: Quantities) -> DataFrame:
+    """_key, quote_validated and number_issues of what candidates state (_text, _header, _sourced, _quote and _said, its numbers), each once however many candidates state it."""
+    paired = values_with_units(F.col("_header"), F.col("_text"))
+    context = F.array_join(F.filter(F.array("_header", "_text", paired), lambda p: F.coalesce(p, F.lit("")) != ""), "\n")
+    rows = stated.withColumn("_context", F.when(context != "", context).otherwise(F.coalesce("_quote", F.lit("")))).withColumn("_hits", q.hits(F.col("_context")))
+    some_text = F.coalesce("_text", F.lit("")) != ""
+    quote = F.when(F.col("_sourced") & some_text, tx.quote_in_source(F.col("_quote"), F.col("_text")))
+    numbers = F.when(F.col("_sourced"), q.number_issues(F.col("_said"), F.col("_context"), F.col("_hits"))).otherwise(F.array().cast(_ISSUES))
+    return rows.select("_key", quote.alias("quote_validated"), numbers.alias("number_issues"))
+
+
 def facts_of(approved: DataFrame, synonyms: dict | None = None) -> DataFrame:
     """Approved candidates as facts. What was not extracted is empty (equipment: null); a missing experiment gets an id from the candidate's."""
     p = lambda f: F.col(f"payload.{f}")

@@ -39,6 +39,17 @@ def test_the_gate(spark):
     assert (f.material_id, f.effect_direction, f.equipment, f.lab, f.temperature_c) == ("material-штейн", "increase", None, "", 750.0)
 
 
+def test_equal_statements_are_checked_once(spark):
+    """The checks stand behind an aggregate by what they read, and tell -0.0 from 0.0, which number_in_text writes in two ways."""
+    fragments = spark.createDataFrame([(f"f{k}", None, text) for k, text in enumerate(["held at 0 x", "held at 0 x", "held at -0 x", "held at 0 x"])], "fragment_id string, header string, text string")
+    rows = [(f"candidate-{k}", payload(material=f"m{k}", property="p", effect_value=v, effect_unit="x", numeric_parameters=[("a", v, None, None, "x", "")]), ("d", f"f{k}", "held at")) for k, v in enumerate((0.0, 0.0, -0.0, -0.0))]
+    judged = gate.judged(spark.createDataFrame(rows, f"id string, payload {PAYLOAD}, source {SOURCE}"), fragments)
+    plan = judged._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("number_issues") < plan.index("Aggregate [_key")
+    found = {r.id: [i.field for i in r.number_issues] for r in judged.collect()}
+    assert found["candidate-0"] == found["candidate-1"] == found["candidate-2"] == [] and found["candidate-3"] == ["effect_value", "a"]
+
+
 def test_values_with_units(spark):
     cases = [("Температура, оС | Расход, л/мин", "60 | 5", "60 оС\n5 л/мин"), ("Показатель | A | B", "t°C | 60 | 60", "60 °C\n60 °C"), ("A | B", "Выход, % | 90 | 91", "90 %\n91 %"), ("№ | Величина | Единицы измерения", "1 | 5 | мг/л", "1 мг/л\n5 мг/л"), ("a", "5", ""), ("a, м | b, с", "1 | 2 | 3 | 4", "")]
     rows = spark.createDataFrame([(k, *c) for k, c in enumerate(cases)], "i int, h string, r string, want string")
