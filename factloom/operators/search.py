@@ -5,7 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,23 +23,32 @@ def nearest(vectors: DataFrame, query: list[float], k: int = 8) -> DataFrame:
     return scored.orderBy(F.col("similarity").desc(), "fragment_id").limit(k)
 
 
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """The vectors of a column, a row each; without a Python object for any of them."""
+    sizes = pc.list_value_length(column).to_numpy()
+    if (sizes != sizes[0]).any():
+        raise ValueError("vectors of different lengths")
+    return pc.list_flatten(column).to_numpy().astype(np.float64, copy=False).reshape(len(sizes), sizes[0])
+
+
 def _best(k: int):
     """The task that keeps, of a block of queries and a block of vectors, k vectors a query."""
 
-    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        found = []
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        asked, chosen, similarity = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         if len(a) and len(b):
-            b = b.sort_values("fragment_id")
-            ids, held = b["fragment_id"].to_numpy(), np.stack(b["embedding"].to_numpy()).astype(np.float64)
+            order = pc.sort_indices(b["fragment_id"]).to_numpy()
+            queries, held = _matrix(a["embedding"]), _matrix(b["embedding"])[order]
             for at in range(0, len(a), 128):
-                part = a.iloc[at : at + 128]
-                similar = np.round(np.stack(part["embedding"].to_numpy()).astype(np.float64) @ held.T, 8)
-                least = np.partition(similar, -min(k, len(ids)), axis=1)[:, -min(k, len(ids))]
-                for query, row, low in zip(part["query_id"], similar, least, strict=True):
+                similar = np.round(queries[at : at + 128] @ held.T, 8)
+                least = np.partition(similar, -min(k, len(held)), axis=1)[:, -min(k, len(held))]
+                for query, (row, low) in enumerate(zip(similar, least, strict=True), at):
                     at_least = np.flatnonzero(row >= low)
-                    chosen = at_least[np.argsort(-row[at_least], kind="stable")][:k]
-                    found.append(pd.DataFrame({"query_id": query, "fragment_id": ids[chosen], "similarity": row[chosen]}))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "fragment_id": [], "similarity": []}, dtype=object)
+                    first = at_least[np.argsort(-row[at_least], kind="stable")][:k]
+                    asked.append(np.full(len(first), query))
+                    chosen.append(order[first].astype(np.int64))
+                    similarity.append(row[first])
+        return pa.table({"query_id": a["query_id"].take(np.concatenate(asked)), "fragment_id": b["fragment_id"].take(np.concatenate(chosen)), "similarity": np.concatenate(similarity)})
 
     return best
 
@@ -56,7 +66,7 @@ def nearest_each(vectors: DataFrame, queries: DataFrame, k: int = 8, query_rows:
     left, right = deal(asked, "query_id", "a", n_asked, "b", n_own), deal(own, "fragment_id", "b", n_own, "a", n_asked)
 
     kinds = f"query_id {asked.schema['query_id'].dataType.simpleString()}, fragment_id string, similarity double"
-    near = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(_best(k), kinds)
+    near = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(_best(k), kinds)
     order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "fragment_id")
     return near.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k).drop("_rank")
 
@@ -136,7 +146,7 @@ def nearest_in_index(indexed: DataFrame, queries: DataFrame, index: VectorIndex,
     deal = lambda rows, key, mine, n_mine, other, n_other: rows.join(blocks, "list").withColumn(mine, F.pmod(F.xxhash64(key), F.col(n_mine)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n_other) - 1))).drop("n_a", "n_b")
     left, right = deal(asked, "query_id", "a", "n_a", "b", "n_b"), deal(indexed, "fragment_id", "b", "n_b", "a", "n_a")
     kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, fragment_id string, similarity double"
-    near = left.groupBy("list", "a", "b").cogroup(right.groupBy("list", "a", "b")).applyInPandas(_best(k), kinds)
+    near = left.groupBy("list", "a", "b").cogroup(right.groupBy("list", "a", "b")).applyInArrow(_best(k), kinds)
     order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "fragment_id")
     return near.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k).drop("_rank")
 

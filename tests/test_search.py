@@ -66,3 +66,12 @@ def test_index_recall_and_work(spark):
     assert search.in_lists(queries, index, "query_id", index.probes).join(indexed, "list").count() < 0.5 * 60 * 1500
     empty = search.fit_index(vectors.where("false"), 10)
     assert search.nearest_in_index(search.in_lists(vectors.where("false"), empty, "fragment_id"), queries.where("false"), empty).collect() == []
+
+
+def test_blocks_are_arrow_tables(spark):
+    """A block's vectors are one array, not an object a row."""
+    vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [1.0, 1.0])], "fragment_id string, embedding array<float>")
+    asked = spark.createDataFrame([(7, [2.0, 1.0])], "query_id long, embedding array<float>")
+    found = search.nearest_each(vectors, asked, 2)
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.query_id, r.fragment_id, r.similarity) for r in found.orderBy("similarity").collect()] == [(7, "a", 2.0), (7, "c", 3.0)]
