@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD, collected, dropped, written
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -121,9 +121,9 @@ RANGE_ROWS = 1 << 14
 
 def placed_rows(docs: DataFrame, weights, most: float, block: int, seed: int) -> DataFrame:
     """What mix needs, with the rows' hashes; slots: at which slot each copy of the document begins."""
-    rows = written(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), *row_hashes(seed)))
-    bits = min(24, max(6, (rows.count() // RANGE_ROWS).bit_length()))
-    rows = rows.withColumn("bucket", F.shiftrightunsigned("h", 60 - bits).cast("int"))
+    sized = written(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), *row_hashes(seed)))
+    bits = min(24, max(6, (sized.count() // RANGE_ROWS).bit_length()))
+    rows = sized.withColumn("bucket", F.shiftrightunsigned("h", 60 - bits).cast("int"))
     totals = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     sources = totals.groupBy("source").agg(F.sum("bucket_size").alias("source_size"))
     plan = written(
@@ -143,6 +143,10 @@ def placed_rows(docs: DataFrame, weights, most: float, block: int, seed: int) ->
     placed = placed.join(starts, placed.source.eqNullSafe(starts.source) & (placed.bucket == starts.bucket)).select(
         "doc_id", "h", "h2", "size", "source_no", placed.bucket, "row", (F.col("from") + F.col("ahead")).alias("start"), "source_size", "target", "words"
     )
+    # Read twice below. As a table of numbers it also ends the plan: Spark plans anew after each exchange, and what the driver holds grows with the plan's length.
+    placed = written(placed)
+    dropped(sized)
+    collected(docs.sparkSession)
     # The document's stretches of the repeated stream, up to the target, and the blocks that each touches.
     rounds = F.when((F.col("size") > 0) & (F.col("words") > F.col("start")), F.floor((F.col("words") - 1 - F.col("start")) / F.col("source_size")).cast("int")).otherwise(F.lit(-1))
     stretch = (
@@ -173,7 +177,9 @@ def mixed(docs: DataFrame, weights=WEIGHTS, most: float = 3, block: int = 64, se
     """
     taken = placed_rows(docs, weights, most, block, seed).where("taken > 0")
     copies = F.transform("slots", lambda slot, k: F.struct(slot.alias("slot"), F.least("size", F.col("taken") - k * F.col("size")).cast("int").alias("words"), F.col("size").alias("of")))
-    each = taken.withColumn("copies", copies).groupBy("h", "h2").agg(F.flatten(F.collect_list("copies")).alias("copies"))
+    # Written, so that the schedule's shuffle files and its part of the plan are gone before texts are moved.
+    each = written(taken.withColumn("copies", copies).groupBy("h", "h2").agg(F.flatten(F.collect_list("copies")).alias("copies")))
+    collected(docs.sparkSession)
     h, h2 = row_hashes(seed)
     rows = docs.select(F.struct(*docs.columns).alias("row"), "text", h, h2)
     once = rows.join(each, ["h", "h2"]).withColumn("n", F.row_number().over(Window.partitionBy("h", "h2").orderBy(F.xxhash64("row")))).where("n = 1")

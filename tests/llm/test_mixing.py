@@ -136,3 +136,14 @@ def test_many_ranges_give_the_same(spark, monkeypatch):
 def test_rows_equal_but_for_their_source_are_two(spark):
     docs = documents(spark, ["one two three"] * 3, ["a", "b", None]).withColumn("doc_id", F.lit(5).cast("long"))
     assert {r.source for r in mixing.mixed(docs).collect()} <= {"a", "b", None} and mixing.mixed(docs).count() >= 2
+
+
+def test_no_plan_holds_the_whole_mix(spark):
+    """What the driver holds while it plans anew after each exchange grows with a plan's exchanges: the schedule, the rows' places and the texts are three plans."""
+    docs = spark.createDataFrame([(i, "a b c d", "xyz"[i % 3]) for i in range(30)], "doc_id long, text string, source string")
+
+    def exchanges(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+    assert exchanges(mixing.mixed(docs)) <= 5
+    assert exchanges(mixing.mix(docs)) <= 14
