@@ -6,7 +6,7 @@ Index: in one order of all shingles, two sets that are alike enough share one of
 So sets are listed under these shingles alone, each with its size and position there. The order, by how often the whole corpus holds the frequent ones, changes the cost only.
 
 Skipping by position: the entries of a list are in blocks of one size and position, and two blocks are compared once: if they cannot give the similarity, all their pairs are skipped.
-Skipping by answers: overlaps are computed with a leader first, the set that shares most lists. Where sets are in one component, no pair of theirs is looked at again. For two sets x and y of different components with
+Skipping by answers: overlaps are computed with a leader first, the set that shares most lists, unless parity bitmaps rule the link out: so small an overlap answers nothing. Where sets are in one component, no pair of theirs is looked at again. For two sets x and y of different components with
 a common leader h, their overlap is derived from the computed ones: at least o(x,h) + o(y,h) - |h| and at most min(o(x,h), o(y,h)) + min(|x| - o(x,h), |y| - o(y,h)). So it is a link, or none, without being computed.
 What is still open is bounded by parity bitmaps (their differing bits are at most the sets' differing shingles), and only then compared in full: first the likeliest pair of two components in each list, then all.
 
@@ -100,8 +100,30 @@ def viable(p: int, q: int, few: int = 24):
     return whole_lists(handed)
 
 
+def perhaps(rows: DataFrame, named: DataFrame, words: int = 1 << 18) -> DataFrame:
+    """The rows whose sid is among the named ones, and some others: those that share a bit of 64 * words, which sids, as hashes, fall in evenly. What is broadcast is bounded by `words`, and no row is moved."""
+    word, bit = F.shiftright("sid", 6).bitwiseAND(F.lit(words - 1)), F.expr("shiftleft(1L, cast(sid & 63 as int))")
+    seen = named.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("seen"))
+    return rows.withColumn("word", word).join(F.broadcast(seen), "word").where(bit.bitwiseAND(F.col("seen")) != 0).select(rows.columns)
+
+
+def possible(pairs: DataFrame, members: DataFrame, p: int, q: int) -> DataFrame:
+    """The pairs u, v that could be alike enough by their parity bitmaps. members: sid, n, bits."""
+
+    def run(batches):
+        for batch in short(batches, 4096):
+            a, n_u, n_v = np.arange(batch.num_rows), batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            apart = differing(batch.column(4).to_pylist() + batch.column(5).to_pylist(), a, a + batch.num_rows)
+            keep = alike(p, q, np.minimum(np.minimum(n_u, n_v), (n_u + n_v - apart) // 2), n_u, n_v)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda name: members.select(F.col("sid").alias(name), F.col("n").alias(f"n_{name}"), F.col("bits").alias(f"bits_{name}"))
+    both = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "n_u", "n_v", "bits_u", "bits_v")
+    return both.mapInArrow(run, "u long, v long")
+
+
 def overlaps(pairs: DataFrame, members: DataFrame, shingle: int, seed: int) -> DataFrame:
-    """u, v and their overlap, as a written table. members: sid, text, each sid once; only the sets that the pairs name are made."""
+    """u, v and their overlap, as a written table. members: sid, text, each sid once. Texts are not moved: only the sets that the pairs name (and the few that `perhaps` takes for such) are made where their texts lie."""
 
     def made(batches):
         for batch in short(batches):
@@ -118,8 +140,7 @@ def overlaps(pairs: DataFrame, members: DataFrame, shingle: int, seed: int) -> D
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], names=["u", "v", "overlap"])
 
     pairs = written(pairs.select("u", "v"))
-    named = pairs.select(F.col("u").alias("sid")).unionByName(pairs.select(F.col("v").alias("sid"))).distinct()
-    sets = written(members.select("sid", "text").join(named, "sid", "left_semi").mapInArrow(made, "sid long, tokens binary"))
+    sets = written(perhaps(members.select("sid", "text"), pairs.select(F.explode(F.array("u", "v")).alias("sid"))).mapInArrow(made, "sid long, tokens binary"))
     side = lambda name: sets.select(F.col("sid").alias(name), F.col("tokens").alias(f"t_{name}"))
     both = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "t_u", "t_v")
     out = written(both.mapInArrow(compared, "u long, v long, overlap long"))
@@ -186,7 +207,8 @@ def link_components(docs: DataFrame, least: Fraction = Fraction(85, 100), shingl
         if open_.isEmpty():
             break
         if turn < rounds:
-            new = overlaps(leaders(open_, turn, p, q).join(tested.select("u", "v"), ["u", "v"], "left_anti"), members, shingle, seed)
+            led = leaders(open_, turn, p, q).join(tested.select("u", "v"), ["u", "v"], "left_anti")
+            new = overlaps(possible(led, members, p, q), members, shingle, seed)
             tested = tested.unionByName(new)
             more = linked(sized(new)).select("u", "v")
         else:

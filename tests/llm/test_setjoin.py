@@ -114,3 +114,30 @@ def test_null_ids_repeated_rows_and_threshold(spark):
     assert rows == sorted([(5, 37, 5), (6, 37, 5), (6, 37, 5), (7, 38, 5), (None, 38, 5), (8, 1, 8), (9, 0, 9), (None, 0, None)], key=str)
     exact = setjoin.link_components(docs, least=Fraction(1)).collect()
     assert {r.doc_id: r.component_id for r in exact if r.doc_id} == {5: 5, 6: 5, 7: 7, 8: 8, 9: 9}
+
+
+@pytest.mark.parametrize("words", [1, 16, 1 << 18])
+def test_texts_of_named_sets_are_not_moved(spark, words):
+    rng = random.Random(words)
+    sids = [rng.randrange(-(1 << 63), 1 << 63) for _ in range(400)] + [0, -1, 63, -(1 << 63), (1 << 63) - 1]
+    rows = spark.createDataFrame([(s, "text") for s in sids], "sid long, text string")
+    named = set(rng.sample(sids, 40)) | set(sids[-5:])
+    found = setjoin.perhaps(rows, spark.createDataFrame([(s,) for s in named], "sid long"), words)
+    got = [r["sid"] for r in found.collect()]
+    assert named <= set(got) and len(set(got)) == len(got) and found.columns == ["sid", "text"]
+    assert words == 1 or len(got) <= 60 + 400 * 45 // (64 * words)  # others are few
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan and "LeftSemi" not in plan
+
+
+def test_only_hopeless_pairs_go_before_their_texts(spark):
+    rng = random.Random(3)
+    sets = {0: np.unique(np.array([rng.getrandbits(64) for _ in range(200)], np.uint64))}
+    for sid, kept in enumerate((200, 198, 190, 184, 170, 120, 0), 1):
+        sets[sid] = np.unique(np.concatenate([sets[0][:kept], np.array([rng.getrandbits(64) for _ in range(200 - kept)], np.uint64)]))
+    members = spark.createDataFrame([(s, len(x), bytearray(setjoin.parity(x))) for s, x in sets.items()], "sid long, n long, bits binary")
+    pairs = [(a, b) for a in sets for b in sets if a > b]
+    kept = {tuple(r) for r in setjoin.possible(spark.createDataFrame(pairs, "u long, v long"), members, 85, 100).collect()}
+    like = {(a, b): len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b])) for a, b in pairs}
+    assert all(pair in kept for pair, x in like.items() if x >= 0.85)
+    assert (7, 0) not in kept and (6, 0) not in kept
