@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import collected, dropped, forget_written, shared_dir, written  # noqa: F401
+from ..shared import FILE_ROWS, collected, dropped, forget_written, shared_dir, written  # noqa: F401
 
 #: A word is a run of anything but ASCII white space; bytes.split() cuts UTF-8 at exactly these bytes.
 WORD = r"[^\x20\x09-\x0D]+"

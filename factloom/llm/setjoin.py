@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import counted_join, dropped, short, written
 from .copies import prefix, set_digest, shingle_sets
-from .lists import ENTRY, alike, differing, met_pairs, of_token, pairs_of, parity, tiled, turns, whole_lists  # noqa: F401
-from .simhash import components, product
+from .lists import ENTRY, alike, differing, met_pairs, of_token, pairs_of, parity, possible, tiled, viable  # noqa: F401
+from .simhash import components
 
 
 def counted(tokens: np.ndarray, counts: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,35 +71,6 @@ def frequent(docs: DataFrame, shingle: int, seed: int, keep: int = 1 << 16) -> t
     return often[order], times[order]
 
 
-def viable(p: int, q: int, few: int = 24):
-    """The task that keeps the entries of a list that have a partner there, by size and position. A block without one is skipped with all its entries."""
-
-    def handed(part: pa.Table):
-        columns = {c: part[c].to_numpy() for c in ("token", "low", "high", "n", "at")}
-        n, at, keep = columns["n"], columns["at"], np.zeros(part.num_rows, bool)
-        begins = np.flatnonzero(turns(columns) | (np.arange(part.num_rows) == 0))
-        ends = np.append(begins[1:], part.num_rows)
-        small = ends - begins <= few
-        low, high = begins[small], ends[small]
-        for k in range(0, len(low), 1 << 13):
-            a, b = product(low[k : k + (1 << 13)], high[k : k + (1 << 13)], low[k : k + (1 << 13)], high[k : k + (1 << 13)])
-            fits = (a != b) & alike(p, q, np.minimum(n[a] - at[a], n[b] - at[b]), n[a], n[b])
-            keep[a[fits]] = True
-        for low, high in zip(begins[~small].tolist(), ends[~small].tolist(), strict=True):
-            blocks, block, times = np.unique(n[low:high] << 32 | at[low:high], return_inverse=True, return_counts=True)
-            size, rest = blocks >> 32, (blocks >> 32) - (blocks & 0xFFFFFFFF)
-            served = np.zeros(len(blocks), bool)
-            for k in range(0, len(blocks), 1024):
-                own = np.arange(k, min(k + 1024, len(blocks)))
-                fits = alike(p, q, np.minimum(rest[own][:, None], rest[None, :]), size[own][:, None], size[None, :])
-                fits[np.arange(len(own)), own] &= times[own] > 1  # of a block's only entry, itself is no partner
-                served[own] = fits.any(axis=1)
-            keep[low:high] = served[block]
-        return part.select(["token", "hot", "sid", "n", "at"]).filter(pa.array(keep)).combine_chunks().to_batches()[0] if keep.any() else pa.RecordBatch.from_pylist([], part.select(["token", "hot", "sid", "n", "at"]).schema)
-
-    return whole_lists(handed)
-
-
 def perhaps(rows: DataFrame, named: DataFrame, words: int = 1 << 18) -> DataFrame:
     """The rows whose sid is among the named ones, and some others: those that share a bit of 64 * words, which sids, as hashes, fall in evenly. What is broadcast is bounded by `words`, and no row is moved."""
     word, bit = F.shiftright("sid", 6).bitwiseAND(F.lit(words - 1)), F.expr("shiftleft(1L, cast(sid & 63 as int))")
@@ -107,21 +78,6 @@ def perhaps(rows: DataFrame, named: DataFrame, words: int = 1 << 18) -> DataFram
     return rows.withColumn("word", word).join(F.broadcast(seen), "word").where(bit.bitwiseAND(F.col("seen")) != 0).select(rows.columns)
 
 
-def possible(pairs: DataFrame, members: DataFrame, p: int, q: int) -> DataFrame:
-    """The pairs u, v that could be alike enough by their parity bitmaps. members: sid, n, bits."""
-
-    def run(batches):
-        for batch in short(batches, 4096):
-            a, n_u, n_v = np.arange(batch.num_rows), batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            apart = differing(batch.column(4).to_pylist() + batch.column(5).to_pylist(), a, a + batch.num_rows)
-            keep = alike(p, q, np.minimum(np.minimum(n_u, n_v), (n_u + n_v - apart) // 2), n_u, n_v)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    side = lambda name: members.select(F.col("sid").alias(name), F.col("n").alias(f"n_{name}"), F.col("bits").alias(f"bits_{name}"))
-    both = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "n_u", "n_v", "bits_u", "bits_v")
-    return both.mapInArrow(run, "u long, v long")
-
-
 def overlaps(pairs: DataFrame, members: DataFrame, shingle: int, seed: int) -> DataFrame:
     """u, v and their overlap, as a written table. members: sid, text, each sid once. Texts are not moved: only the sets that the pairs name (and the few that `perhaps` takes for such) are made where their texts lie."""
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import short, written
+from .common import FILE_ROWS, short, written
 from .words import Words, groups, xxh64
 
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
@@ -205,12 +205,41 @@ def links(fps: DataFrame, budget: int = 2, capacity: int = 4096, step: int = 3)
     return rows.groupBy("depth", "a", "b", "differing").applyInPandas(run, "u long, v long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """edges u, v -> node, root: each node of an edge with the least node of its component. Alternating large and small stars."""
+def spanned(most: int = 1 << 20):
+    """The task that gives star edges u, v (v the least) of the components of the edges it reads; of over `most` edges at once, some are reduced to such before it reads on."""
+
+    def run(batches):
+        held, rows, limit = [], 0, most
+
+        def reduced():
+            u, v = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+            ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+            node, root = forest(len(ids), [(at[: len(u)], at[len(u) :])])
+            return ids[node], ids[root]
+
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            rows += batch.num_rows
+            if rows > limit:
+                held = [reduced()]
+                rows = len(held[0][0])
+                limit = max(most, 2 * rows)
+        if held:
+            u, v = reduced()
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return run
+
+
+def components(edges: DataFrame, rows: int = FILE_ROWS) -> DataFrame:
+    """edges u, v -> node, root: each node of an edge but the roots with the least node of its component. Tasks of about `rows` edges make them forests of stars; those of several tasks are joined by alternating large and small stars."""
     flip = lambda e: e.select(F.col("v").alias("u"), F.col("u").alias("v"))
-    e = written(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    state, n = None, e.count()
-    while True:
+    e = edges if hasattr(edges, "written_at") else written(edges)
+    n = e.count()
+    tasks = n // rows + 1
+    e = written(e.select("u", "v").where("u != v").coalesce(tasks).mapInArrow(spanned(), "u long, v long"))
+    state = None
+    while tasks > 1:
         both = e.unionByName(flip(e))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), n)
@@ -219,7 +248,8 @@ def components(edges: DataFrame) -> DataFrame:
         e = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), n)
         before, state = state, e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if before == state:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            break
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def classes(found: DataFrame, budget: int = 2, id_col: str = "doc_id", **how) -> DataFrame:

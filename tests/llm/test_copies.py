@@ -64,3 +64,15 @@ def test_pairs_of_a_shared_passage_are_no_rows(spark, monkeypatch):
     monkeypatch.setattr(copies, "verified", lambda found, *how: pairs.append(found.count()) or verified(found, *how))
     assert copies.deduplicate(docs, rounds=1).count() == 80
     assert sum(pairs[2:]) < 80  # all pairs: 3160
+
+
+def test_entries_without_a_partner_meet_nothing(spark, monkeypatch):
+    """Texts of one size that share a shingle which comes too late in them for any link: none of their entries is joined with bitmaps."""
+    own = [[f"own{n}x{k}" for k in range(100)] for n in range(60)]
+    late = next(w for w in (f"s{k} a b c d" for k in range(10**4)) if abs(float(next(copies.shingle_sets([w.encode()]))[0]) / 2**64 - 0.17) < 0.001)
+    docs = documents(spark, [f"{' '.join(words)} {late}" for words in own])
+    joined, tiled = [], copies.tiled
+    monkeypatch.setattr(copies, "frequent", lambda *_: (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    monkeypatch.setattr(copies, "tiled", lambda entries, *how: ("bits" in entries.columns and joined.append(entries.count())) or tiled(entries, *how))
+    assert copies.deduplicate(docs).count() == 60
+    assert sum(joined) < 20  # all that share it in their first shingles: over 40, in each of two turns

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from factloom.llm import simhash
@@ -86,5 +87,26 @@ def test_long_chain(spark):
     assert got == {k: -40 for k in range(-39, 61)} | {101: 100}
 
 
+def test_components_of_few_edges_take_two_tables(spark, monkeypatch):
+    made, written = [], simhash.written
+    monkeypatch.setattr(simhash, "written", lambda *how: made.append(1) or written(*how))
+    assert simhash.components(spark.createDataFrame([(k, k + 1) for k in range(40)], "u long, v long")).where("root = 0").count() == 40
+    assert len(made) == 2
+
+
+def test_components_by_several_tasks(spark):
+    rng = random.Random(8)
+    edges = [(rng.randrange(90), rng.randrange(90)) for _ in range(60)] + [(k, k + 1) for k in range(100, 140)]
+    root = {k: k for e in edges for k in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "u long, v long").repartition(7), rows=20).collect()}
+    assert got == {k: r for k, r in root.items() if k != r}
+    u, v = np.array(edges).T
+    few = list(simhash.spanned(most=5)(pa.RecordBatch.from_arrays([pa.array(u[k : k + 9]), pa.array(v[k : k + 9])], names=["u", "v"]) for k in range(0, len(u), 9)))
+    assert len(few) == 1 and dict(zip(*(c.to_pylist() for c in few[0].columns), strict=True)) == got
+
+
 def test_empty(spark):
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
