@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..shared import written
+from . import opposed
 
 
 def canonical_entity(value: Column, synonyms: dict | None = None) -> Column:
@@ -206,28 +207,41 @@ def conflict_counts(facts: DataFrame, synonyms: dict | None = None) -> DataFrame
     return keyed.join(of, ["material_key", "property_key", "direction"], "left").groupBy("id").agg(F.max(F.coalesce("opposites", F.lit(0)).cast("long")).alias("links"))
 
 
-def contradictions(facts: DataFrame, tolerance: float = 5.0, synonyms: dict | None = None) -> DataFrame:
+def contradictions(facts: DataFrame, tolerance: float = 5.0, synonyms: dict | None = None, block_rows: int = 8192) -> DataFrame:
     """material_key, property_key, labs: opposite effects under comparable conditions, once for each pair of laboratories.
 
     Comparable: the same process (an empty one goes with any) and temperatures within the tolerance (an unknown one goes with any).
-    Facts are first reduced to the distinct (key, process, temperature, lab), then joined within bands as wide as the tolerance, so the join is an equality join.
+    Facts are first reduced to a row for each (key, process, direction, band of temperatures, lab), with its lowest and highest temperature. A key's laboratories are dealt to blocks of about `block_rows` rows,
+    and every two blocks meet in a cell of their own (`opposed`): a pair belongs to one cell, which makes it once, so no pairs are shuffled, and a key of many rows is work for many tasks.
     """
-    keyed = conflict_keys(facts, synonyms).where("direction in ('increase', 'decrease')")
-    process = F.coalesce(tx.canonical(F.col("process")), F.lit(""))
-    points = keyed.select("material_key", "property_key", "direction", process.alias("process"), F.col("temperature_c").alias("t"), "lab").distinct()
-    band = F.floor(F.col("t") / tolerance)
-    # The side that is copied stands in its own band and the two beside it; an unknown temperature meets all through band null.
-    ups = points.where("direction = 'increase'").drop("direction").withColumn("band", band)
-    downs = points.where("direction = 'decrease'").drop("direction").select("material_key", "property_key", F.col("process").alias("process2"), F.col("t").alias("t2"), F.col("lab").alias("lab2")).withColumn("band", F.floor(F.col("t2") / tolerance))
-    key = ["material_key", "property_key"]
-    near = ups.where("t is not null").join(downs.where("t2 is not null").withColumn("band", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)]))), [*key, "band"]).where(F.abs(F.col("t") - F.col("t2")) <= tolerance)
-    any_ = [ups.where("t is null").drop("band").join(downs.drop("band"), key), ups.where("t is not null").drop("band").join(downs.where("t2 is null").drop("band"), key)]
-    pairs = near.drop("band")
-    for more in any_:
-        pairs = pairs.unionByName(more)
-    same = (F.col("process") == F.col("process2")) | (F.col("process") == "") | (F.col("process2") == "")
-    labs = F.array_join(F.array_sort(F.array_distinct(F.array(F.coalesce("lab", F.lit("")), F.coalesce("lab2", F.lit(""))))), ", ")
-    return pairs.where(same).select(*key, labs.alias("labs")).distinct()
+    keyed = conflict_keys(facts, synonyms).where("direction in ('increase', 'decrease') and material_key is not null and property_key is not null")
+    t, key = F.col("temperature_c").cast("double"), ["material_key", "property_key"]
+    scaled = t / tolerance
+    band = F.when(F.abs(scaled) < 2.0**52, F.floor(scaled).cast("double")).otherwise(scaled)  # beyond, quotients are whole; null: unknown; nan: comparable with unknown ones only
+    process, lab = F.coalesce(tx.canonical(F.col("process")), F.lit("")), F.coalesce("lab", F.lit(""))
+    named = keyed.select(*key, (F.col("direction") == "increase").alias("up"), process.alias("process"), band.alias("band"), lab.alias("lab"), t.alias("t"))
+    points = written(named.groupBy(*key, "up", "process", "band", "lab").agg(F.min("t").alias("lo"), F.max("t").alias("hi")))
+    # A text may name different pairs only where a laboratory's name holds what joins them.
+    groups = points.groupBy(*key).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"), F.max(F.contains("lab", F.lit(", "))).alias("joined"), F.count("*").alias("n"))
+    special = written(groups.withColumn("moved", F.col("n") * F.col("blocks")).drop("n"))
+    moved, any_joined = special.agg(F.coalesce(F.sum("moved"), F.lit(0)), F.coalesce(F.max("joined"), F.lit(False))).head()
+
+    def paired(points: DataFrame) -> DataFrame:
+        block = F.pmod(F.xxhash64("lab"), F.col("blocks")).cast("int")
+        met = points.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        met = met.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other"), "side": (F.col("block") > F.col("other")).cast("int")}).withColumn("cell", F.xxhash64(*key, "i", "j"))
+        n = min(int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions")), moved // block_rows + 1)
+        cells = met.select(*opposed.POINTS).repartition(n, "cell").sortWithinPartitions("cell")
+        found = cells.mapInArrow(opposed.pairs(tolerance, block_rows), opposed.FOUND).select(*key, "lab", F.explode("others").alias("other"))
+        return found.select(*key, F.when(F.col("lab") == F.col("other"), F.col("lab")).otherwise(F.concat(F.least("lab", "other"), F.lit(", "), F.greatest("lab", "other"))).alias("labs"))
+
+    # Keys of one block, which most are, need not be looked up; the others are fewer than rows / block_rows.
+    large = special.where("blocks > 1").select(*key, "blocks")
+    points = points.join(F.broadcast(large), key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    if not any_joined:
+        return paired(points)
+    joined = special.where("joined").select(*key)
+    return paired(points.join(joined, key, "left_anti")).unionByName(paired(points.join(joined, key, "left_semi")).distinct())
 
 
 def phrase(facts: DataFrame) -> DataFrame:
