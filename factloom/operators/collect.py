@@ -86,17 +86,17 @@ def _ranked(facts: DataFrame) -> DataFrame:
     return facts.withColumn("rank", (F.lit(_BEST) - F.round(F.col("rank_score") * 1_000_000)).cast("long")).drop("rank_score")
 
 
-def traversed(spark: SparkSession, base: Base, question: Question, k: int = 40) -> DataFrame | None:
-    """claim_id: what the graph leads to from a question's names, numbers and region, each once; None where nothing was asked of the graph or there is none."""
+def traversed(spark: SparkSession, base: Base, question: Question) -> DataFrame | None:
+    """claim_id: all that the graph leads to from a question's names, numbers and region, each once; None where nothing was asked of the graph or there is none."""
     found = []
     terms = _terms(question)
     if terms and base.mentions is not None:
-        found.append(graph.entity_neighbours(base.mentions, terms, k))
+        found.append(graph.entity_neighbours(base.mentions, terms))
     asked = [c.parameter for c in _conditions(question)]
     if asked and base.nodes is not None and base.edges is not None:
         found.append(conditions.parameter_claims(base.nodes, base.edges, spark.createDataFrame([(0, p) for p in asked], "question_id int, parameter string")).select("claim_id"))
     if question.region and base.regions is not None:
-        found.append(graph.region_claims(base.regions, question.region, k))
+        found.append(graph.region_claims(base.regions, question.region, None))
     return reduce(DataFrame.unionByName, found).distinct() if found else None
 
 

@@ -151,8 +151,8 @@ def junk_nodes(nodes: DataFrame) -> DataFrame:
     return nodes.where(tx.is_junk(F.col("name")))
 
 
-def entity_neighbours(mentions: DataFrame, terms: list[str], k: int | None = 40) -> DataFrame:
-    """claim ids that mention an entity whose name holds a term, any case; the first k by id. Terms are literals, so mentions are read once."""
+def entity_neighbours(mentions: DataFrame, terms: list[str], k: int | None = None) -> DataFrame:
+    """claim ids that mention an entity whose name holds a term, any case; all, or the first k by id. Terms are literals, so mentions are read once."""
     hit = F.exists(F.array(*[F.lit(t.lower()) for t in terms]), lambda t: F.contains(F.lower("name"), t))
     found = mentions.where(hit).select(F.col("id").alias("claim_id")).distinct()
     return found.orderBy("claim_id").limit(k) if k else found

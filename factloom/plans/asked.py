@@ -132,7 +132,7 @@ ORACLE_SQL = {
           || case when len(c) > 0 then array_to_string(c, ', ') else '3-5' end || '] d [2023].' as text, len(a) + len(b) + len(c) as cited from f""",
     "question_evidence": f"""with {views.SQL}, one as (select distinct on (id) * from facts_v order by id, confidence, effect_direction, is_hypothesis),
         seen as (select f.*, d.year from one f join docs_v d on d.document_id = f.document_id where not d.hidden),
-        led as (select id from one where contains(lower(material), 'small ring') or contains(lower(process), 'small ring') order by id limit 40),
+        led as (select id from one where contains(lower(material), 'small ring') or contains(lower(process), 'small ring')),
         q as (select 0 as no, * from seen where (id in (select id from led) or (lower(material) = 'small ring' and lower(property) = 'brand#2' and not is_hypothesis))
           union all select 1, * from seen where lower(property) = 'brand#17' and not is_hypothesis
           union all select 2, * from seen where lower(material) = 'ring' and not is_hypothesis),

@@ -56,7 +56,7 @@ def graph_reach(spark, d):
 
 
 def entity_neighbors(spark, d):
-    return op.entity_neighbours(op.entity_mentions(views.facts(spark, d)), ["MINT", "promo"])
+    return op.entity_neighbours(op.entity_mentions(views.facts(spark, d)), ["MINT", "promo"], 40)
 
 
 def region_claims(spark, d):

@@ -88,3 +88,11 @@ def test_a_question_gives_an_answer(spark):
     assert errors == ["TimeoutError: late"] * 3 and got.status == "none" and got.experiments.count() == 0
     got, errors = collect.ask(spark, b, "медь", broken)
     assert len(errors) == 1 and got.status == "direct" and got.experiments.count() == 3 and got.summary.startswith("Ответ собран без языковой модели")
+
+
+def test_the_graph_leads_to_all_claims_of_a_name_and_of_a_region(spark):
+    b = base(spark)
+    b.mentions = spark.createDataFrame([(f"claim-{k}", "Material", "медный сплав") for k in range(100)], "id string, type string, name string")
+    b.regions = spark.createDataFrame([(f"claim-{k}", ["США"]) for k in range(100, 200)], "id string, regions array<string>")
+    found = collect.traversed(spark, b, Question("q", material="сплав", region="США"))
+    assert found.count() == found.distinct().count() == 200  # 40 of each before
