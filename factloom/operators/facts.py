@@ -207,12 +207,12 @@ def conflict_counts(facts: DataFrame, synonyms: dict | None = None) -> DataFrame
     return keyed.join(of, ["material_key", "property_key", "direction"], "left").groupBy("id").agg(F.max(F.coalesce("opposites", F.lit(0)).cast("long")).alias("links"))
 
 
-def contradictions(facts: DataFrame, tolerance: float = 5.0, synonyms: dict | None = None, block_rows: int = 8192) -> DataFrame:
+def contradictions(facts: DataFrame, tolerance: float = 5.0, synonyms: dict | None = None, block: int = 8192) -> DataFrame:
     """material_key, property_key, labs: opposite effects under comparable conditions, once for each pair of laboratories.
 
     Comparable: the same process (an empty one goes with any) and temperatures within the tolerance (an unknown one goes with any).
-    Facts are first reduced to a row for each (key, process, direction, band of temperatures, lab), with its lowest and highest temperature. A key's laboratories are dealt to blocks of about `block_rows` rows,
-    and every two blocks meet in a cell of their own (`opposed`): a pair belongs to one cell, which makes it once, so no pairs are shuffled, and a key of many rows is work for many tasks.
+    Facts are first reduced to a row for each (key, process, direction, band of temperatures, lab), with its lowest and highest temperature. A key's laboratories are dealt to blocks of about `block` laboratories,
+    of eight times as many rows at most, and every two blocks meet in a cell of their own (`opposed`): a pair belongs to one cell, which makes it once, so no pairs are shuffled, and a key of many rows is work for many tasks.
     """
     keyed = conflict_keys(facts, synonyms).where("direction in ('increase', 'decrease') and material_key is not null and property_key is not null")
     t, key = F.col("temperature_c").cast("double"), ["material_key", "property_key"]
@@ -222,20 +222,19 @@ def contradictions(facts: DataFrame, tolerance: float = 5.0, synonyms: dict | No
     named = keyed.select(*key, (F.col("direction") == "increase").alias("up"), process.alias("process"), band.alias("band"), lab.alias("lab"), t.alias("t"))
     points = written(named.groupBy(*key, "up", "process", "band", "lab").agg(F.min("t").alias("lo"), F.max("t").alias("hi")))
     # A text may name different pairs only where a laboratory's name holds what joins them.
-    groups = points.groupBy(*key).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"), F.max(F.contains("lab", F.lit(", "))).alias("joined"), F.count("*").alias("n"))
+    groups = points.groupBy(*key).agg(F.ceil(F.greatest(F.approx_count_distinct("lab") / block, F.count("*") / (8 * block))).cast("int").alias("blocks"), F.max(F.contains("lab", F.lit(", "))).alias("joined"), F.count("*").alias("n"))
     special = written(groups.withColumn("moved", F.col("n") * F.col("blocks")).drop("n"))
     moved, any_joined = special.agg(F.coalesce(F.sum("moved"), F.lit(0)), F.coalesce(F.max("joined"), F.lit(False))).head()
 
     def paired(points: DataFrame) -> DataFrame:
-        block = F.pmod(F.xxhash64("lab"), F.col("blocks")).cast("int")
-        met = points.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        met = points.withColumn("block", F.pmod(F.xxhash64("lab"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         met = met.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other"), "side": (F.col("block") > F.col("other")).cast("int")}).withColumn("cell", F.xxhash64(*key, "i", "j"))
-        n = min(int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions")), moved // block_rows + 1)
+        n = min(int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions")), moved // block + 1)
         cells = met.select(*opposed.POINTS).repartition(n, "cell").sortWithinPartitions("cell")
-        found = cells.mapInArrow(opposed.pairs(tolerance, block_rows), opposed.FOUND).select(*key, "lab", F.explode("others").alias("other"))
+        found = cells.mapInArrow(opposed.pairs(tolerance, block), opposed.FOUND).select(*key, "lab", F.explode("others").alias("other"))
         return found.select(*key, F.when(F.col("lab") == F.col("other"), F.col("lab")).otherwise(F.concat(F.least("lab", "other"), F.lit(", "), F.greatest("lab", "other"))).alias("labs"))
 
-    # Keys of one block, which most are, need not be looked up; the others are fewer than rows / block_rows.
+    # Keys of one block, which most are, need not be looked up; the others are few beside the rows.
     large = special.where("blocks > 1").select(*key, "blocks")
     points = points.join(F.broadcast(large), key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     if not any_joined:

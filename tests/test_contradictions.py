@@ -35,15 +35,15 @@ def found(spark, rows, **more):
     return sorted(tuple(r) for r in fact_op.contradictions(spark.createDataFrame(rows, SCHEMA), **more).collect())
 
 
-@pytest.mark.parametrize("block_rows", [3, 40, 8192])
-def test_cells_find_each_pair_once(spark, block_rows):
+@pytest.mark.parametrize("block", [3, 20, 8192])
+def test_cells_find_each_pair_once(spark, block):
     rows = made(160, [None, "A", "b", *(f"lab {k}" for k in range(40))])
-    assert found(spark, rows, block_rows=block_rows) == by_all_pairs(rows)
+    assert found(spark, rows, block=block) == by_all_pairs(rows)
 
 
 def test_texts_that_name_different_pairs_are_there_once(spark):
     rows = made(120, ["A", "B", "A, B", "C", "B, C", "A, B, C", ""], ("Cu",)) + made(30, ["x", "y"], ("Ni",), 4)
-    assert found(spark, rows, block_rows=5) == by_all_pairs(rows)
+    assert found(spark, rows, block=2) == by_all_pairs(rows)
 
 
 def test_few_and_no_facts(spark):
